@@ -5,13 +5,21 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusmill.llm import sentencepiece_codec
+from corpusmill.llm import sentencepiece_codec, sharding
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents dealt to eight shards whose counts differ by one at most, equal texts together."""
+    placed = sharding.balanced_shards(_table(spark, sf_dir, "documents"), num_shards=8)
+    return placed.select(
+        "doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard")
+    )
+
+
 def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's piece ids, and whether decoding them gives the text back."""
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
@@ -24,5 +32,8 @@ def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {"op10_sentencepiece": op10_sentencepiece}
+QUERIES = {
+    "op1_sharding": op1_sharding,
+    "op10_sentencepiece": op10_sentencepiece,
+}
 ORACLES: dict[str, str] = {}

@@ -41,8 +41,8 @@ def globally_ranked(df: DataFrame, order: list[Column], rank: str, label: str) -
     """
     spark = df.sparkSession
     laid = df.repartitionByRange(shuffle_partitions(spark), *order).sortWithinPartitions(*order)
-    laid = materialize(laid.withColumn("__at", F.monotonically_increasing_id()), label)
-    laid = laid.withColumn("__part", F.shiftright("__at", _ROW_BITS))
+    laid = materialize(laid.withColumn("__place", F.monotonically_increasing_id()), label)
+    laid = laid.withColumn("__part", F.shiftright("__place", _ROW_BITS))
     sizes = laid.groupBy("__part").agg(F.count("*").alias("__n")).collect()  # a row a partition
     before, starts = 0, []
     for part, n in sorted((r["__part"], r["__n"]) for r in sizes):
@@ -50,8 +50,8 @@ def globally_ranked(df: DataFrame, order: list[Column], rank: str, label: str) -
         before += n
     schema = T.StructType([T.StructField("__part", T.LongType()), T.StructField("__before", T.LongType())])
     starts_df = F.broadcast(spark.createDataFrame(starts, schema))
-    place = F.col("__at").bitwiseAND((1 << _ROW_BITS) - 1)
-    return laid.join(starts_df, "__part").withColumn(rank, place + F.col("__before")).drop("__at", "__part", "__before")
+    place = F.col("__place").bitwiseAND((1 << _ROW_BITS) - 1)
+    return laid.join(starts_df, "__part").withColumn(rank, place + F.col("__before")).drop("__place", "__part", "__before")
 
 
 def connected_components(edges: DataFrame, a: str, b: str, label: str) -> DataFrame:
