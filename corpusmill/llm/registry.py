@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusmill.llm import sentencepiece_codec, sharding
+from corpusmill.llm import imatch, line_dedup, mixing, quality_crf, secret_scan, sentencepiece_codec, sharding
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -20,6 +20,42 @@ def op1_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op2_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's secrets by pattern, and all spans with those the randomness tests add."""
+    found = secret_scan.scan(_table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_assign", "n_access", "n_hex", "base_sha256", "spans", "n_random")
+
+
+def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's slot and place when sources are mixed by square-root weights."""
+    return mixing.schedule(_table(spark, sf_dir, "documents")).drop("__row")
+
+
+def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's text without the lines of recurring templates."""
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    return line_dedup.dedup_lines(docs, dropped_col="n_dropped")
+
+
+def op8_imatch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's I-Match fingerprint against those of its edited text and of the next document."""
+    return imatch.fingerprints(_table(spark, sf_dir, "documents"))
+
+
+def op9_quality_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's quality score; only rows outside the held-out fifth teach labels."""
+    docs, labels = _table(spark, sf_dir, "documents").select("doc_id", "text"), _table(spark, sf_dir, "labels")
+    fold = lambda c: F.pmod(F.crc32(F.col(c).cast("string").cast("binary")), F.lit(5))
+    model = quality_crf.fit(docs, labels, usable=fold("__id") != 0)
+    scored = quality_crf.score(docs, model)
+    return scored.select(
+        "doc_id",
+        (fold("doc_id") == 0).alias("held_out"),
+        "score",
+        (F.col("score") >= quality_crf.THRESHOLD).cast("int").alias("predicted"),
+    )
+
+
 def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's piece ids, and whether decoding them gives the text back."""
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
@@ -34,6 +70,11 @@ def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_sharding": op1_sharding,
+    "op2_secret_scan": op2_secret_scan,
+    "op5_mixing": op5_mixing,
+    "op7_line_dedup": op7_line_dedup,
+    "op8_imatch": op8_imatch,
+    "op9_quality_crf": op9_quality_crf,
     "op10_sentencepiece": op10_sentencepiece,
 }
 ORACLES: dict[str, str] = {}
