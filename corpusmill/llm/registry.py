@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusmill.llm import imatch, line_dedup, mixing, quality_crf, secret_scan, sentencepiece_codec, sharding
+from corpusmill.llm import imatch, line_dedup, mixing, ngram_join, quality_crf, secret_scan, sentencepiece_codec, sharding
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -26,6 +26,11 @@ def op2_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_assign", "n_access", "n_hex", "base_sha256", "spans", "n_random")
 
 
+def op3_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's set of 3-word shingles by size, and its component of sets with Jaccard similarity 0.9 or more."""
+    return ngram_join.join_components(_table(spark, sf_dir, "documents"), words=3, percent=90)
+
+
 def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's slot and place when sources are mixed by square-root weights."""
     return mixing.schedule(_table(spark, sf_dir, "documents")).drop("__row")
@@ -71,6 +76,7 @@ def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_sharding": op1_sharding,
     "op2_secret_scan": op2_secret_scan,
+    "op3_ngram_join": op3_ngram_join,
     "op5_mixing": op5_mixing,
     "op7_line_dedup": op7_line_dedup,
     "op8_imatch": op8_imatch,
