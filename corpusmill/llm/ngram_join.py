@@ -26,13 +26,12 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corpusmill.llm.shared import connected_components, materialize
+from corpusmill.llm.shared import connected_components, materialize, only_ids
 
 WORDS, PERCENT = 5, 80
 HEAVY_TOKENS = 65_536  # order 1 ranks at most so many common tokens; the order matters for speed only
 SMALL_BUCKET = 8
 PIVOT_GROWTH = 16
-BROADCAST_IDS = 500_000  # more ids than this join by a shuffle
 
 _M1, _M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 _STEP = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F], np.uint64)
@@ -113,8 +112,7 @@ def verified(pairs: DataFrame, docs: DataFrame, id_col: str, text_col: str, word
     """The pairs (a, b) whose sets are similar enough, on whole texts."""
     ids = materialize(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct(), "ids")
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("t"))
-    near = F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
-    texts = materialize(texts.join(near, "id", "left_semi"), "texts")
+    texts = materialize(only_ids(texts, ids, "id"), "texts")
     both = pairs.join(texts.select(F.col("id").alias("b"), F.col("t").alias("tb")), "b")
     both = both.join(texts.select(F.col("id").alias("a"), F.col("t").alias("ta")), "a")
 

@@ -5,7 +5,17 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusmill.llm import imatch, line_dedup, mixing, ngram_join, quality_crf, secret_scan, sentencepiece_codec, sharding
+from corpusmill.llm import (
+    imatch,
+    line_dedup,
+    mixing,
+    ngram_join,
+    quality_crf,
+    secret_scan,
+    sentencepiece_codec,
+    sharding,
+    suffix_dedup,
+)
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -36,6 +46,11 @@ def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.schedule(_table(spark, sf_dir, "documents")).drop("__row")
 
 
+def op6_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What is left of every document without 50-byte strings that a document with a smaller id holds."""
+    return suffix_dedup.digest(_table(spark, sf_dir, "documents"))
+
+
 def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's text without the lines of recurring templates."""
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
@@ -78,6 +93,7 @@ QUERIES = {
     "op2_secret_scan": op2_secret_scan,
     "op3_ngram_join": op3_ngram_join,
     "op5_mixing": op5_mixing,
+    "op6_suffix_dedup": op6_suffix_dedup,
     "op7_line_dedup": op7_line_dedup,
     "op8_imatch": op8_imatch,
     "op9_quality_crf": op9_quality_crf,

@@ -88,3 +88,12 @@ def connected_components(edges: DataFrame, a: str, b: str, label: str) -> DataFr
         if now == seen:
             return current.groupBy(F.col("u").alias("node")).agg(F.min("v").alias("component"))
         seen = now
+
+
+BROADCAST_IDS = 500_000  # 8 bytes each; more ids than this meet their rows by a shuffle
+
+
+def only_ids(rows: DataFrame, ids: DataFrame, col: str) -> DataFrame:
+    """The rows whose `col` is in ids (a distinct, written table of that column), without a shuffle where ids are few."""
+    few = ids.count() <= BROADCAST_IDS
+    return rows.join(F.broadcast(ids) if few else ids, col, "left_semi")
