@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpusmill.llm import (
+    collision_ann,
     imatch,
     line_dedup,
     mixing,
@@ -41,6 +42,12 @@ def op3_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.join_components(_table(spark, sf_dir, "documents"), words=3, percent=90)
 
 
+def op4_collision_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ten nearest vectors of every vector whose id is divisible by 100."""
+    vectors = _table(spark, sf_dir, "embeddings")
+    return collision_ann.nearest_neighbours(vectors.filter(F.col("vec_id") % 100 == 0), vectors, k=10)
+
+
 def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's slot and place when sources are mixed by square-root weights."""
     return mixing.schedule(_table(spark, sf_dir, "documents")).drop("__row")
@@ -92,6 +99,7 @@ QUERIES = {
     "op1_sharding": op1_sharding,
     "op2_secret_scan": op2_secret_scan,
     "op3_ngram_join": op3_ngram_join,
+    "op4_collision_ann": op4_collision_ann,
     "op5_mixing": op5_mixing,
     "op6_suffix_dedup": op6_suffix_dedup,
     "op7_line_dedup": op7_line_dedup,
