@@ -28,7 +28,7 @@ from pyspark.ml.feature import Bucketizer
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corpusmill.llm.shared import shuffle_partitions
+from corpusmill.llm.shared import id_or_least, shuffle_partitions, without_least
 
 LOWEST_SHARE, HIGHEST_SHARE = 1 / 5000, 1 / 10
 SEEDS = 16
@@ -102,17 +102,16 @@ def in_order_with_next(docs: DataFrame, id_col: str, text_col: str) -> DataFrame
     each) are added as the tail of the part before, the first of all as the tail of the last.
     """
     spark = docs.sparkSession
-    rows = docs.select(F.col(id_col).alias("id"), F.coalesce(text_col, F.lit("")).alias("text"))
-    at = F.coalesce(F.col("id").cast("double"), F.lit(float("-inf")))
+    rows = docs.select(id_or_least(id_col).alias("id"), F.coalesce(text_col, F.lit("")).alias("text"))
     n = shuffle_partitions(spark)
-    cuts = sorted(set(rows.select("id").na.drop().approxQuantile("id", [i / n for i in range(1, n)], 0.2 / n)))
+    cuts = sorted(set(rows.approxQuantile("id", [i / n for i in range(1, n)], 0.2 / n)))
     bucket = Bucketizer(splits=[float("-inf"), *cuts, float("inf")], inputCol="at", outputCol="part")
-    parted = bucket.transform(rows.withColumn("at", at)).withColumn("part", F.col("part").cast("int")).drop("at")
+    parted = bucket.transform(rows.withColumn("at", F.col("id").cast("double"))).withColumn("part", F.col("part").cast("int")).drop("at")
     heads = parted.groupBy("part").agg(F.min("id").alias("id")).collect()  # a row a part
     first_of = sorted((r["part"], r["id"]) for r in heads)
     ends = [(first_of[i - 1][0], first_of[i][1]) for i in range(len(first_of))]
     tails = spark.createDataFrame(ends, "part int, id long")
-    tail_rows = rows.join(F.broadcast(tails), rows["id"].eqNullSafe(tails["id"])).select("part", F.lit(True).alias("tail"), rows["id"], "text")
+    tail_rows = rows.join(F.broadcast(tails), "id").select("part", F.lit(True).alias("tail"), "id", "text")
     whole = parted.select("part", F.lit(False).alias("tail"), "id", "text").unionByName(tail_rows)
     return whole.repartition(n, "part").sortWithinPartitions("part", "tail", "id", "text")
 
@@ -139,12 +138,10 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
                     digest = hashlib.sha256(edited.encode()).hexdigest()
                     done.append((old_id, len(old), digest, spelled(fp), spelled(fe), likeness(fp, fe), likeness(fp, now)))
                 held = None if tail else (part, id_, text, now)
-            frame = pd.DataFrame(done, columns=[x.split()[0] for x in schema.split(", ")])
-            frame[id_col] = frame[id_col].astype("Int64")
-            yield frame
+            yield pd.DataFrame(done, columns=[x.split()[0] for x in schema.split(", ")])
 
     schema = (
         f"{id_col} long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, "
         "near_edited double, near_next double"
     )
-    return in_order_with_next(docs, id_col, text_col).mapInPandas(compare, schema)
+    return in_order_with_next(docs, id_col, text_col).mapInPandas(compare, schema).withColumn(id_col, without_least(id_col))

@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corpusmill.llm.shared import connected_components, materialize, only_ids
+from corpusmill.llm.shared import connected_components, id_or_least, materialize, only_ids, without_least
 
 WORDS, PERCENT = 5, 80
 HEAVY_TOKENS = 65_536  # order 1 ranks at most so many common tokens; the order matters for speed only
@@ -100,12 +100,11 @@ def signatures(docs: DataFrame, id_col: str, text_col: str, words: int, percent:
                     first = own[:k]
                 second, third = ((np.sort(_mix(own ^ o))[:k] >> np.uint64(33)).astype(np.int32) for o in (_ORDER_2, _ORDER_3))
                 rows.append((id_, len(own), xxhash.xxh3_128_digest(own.tobytes()), first.view(np.int64), second, third))
-            frame = pd.DataFrame(rows, columns=["id", "n", "set_hash", "p1", "p2", "p3"])
-            frame["id"] = frame["id"].astype("Int64")
-            yield frame
+            yield pd.DataFrame(rows, columns=["id", "n", "set_hash", "p1", "p2", "p3"])
 
-    texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("t"))
-    return texts.mapInPandas(sign, "id long, n long, set_hash binary, p1 array<long>, p2 array<int>, p3 array<int>")
+    texts = docs.select(id_or_least(id_col).alias("id"), F.col(text_col).alias("t"))
+    signed = texts.mapInPandas(sign, "id long, n long, set_hash binary, p1 array<long>, p2 array<int>, p3 array<int>")
+    return signed.withColumn("id", without_least("id"))
 
 
 def verified(pairs: DataFrame, docs: DataFrame, id_col: str, text_col: str, words: int, percent: int) -> DataFrame:

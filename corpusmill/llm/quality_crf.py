@@ -21,6 +21,7 @@ from operator import eq
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -204,9 +205,11 @@ def score(docs: DataFrame, model: LineCrf | float, text_col: str = "text", score
     schema = T.StructType([*docs.schema.fields, T.StructField(score_col, T.DoubleType())])
 
     def run(batches):
-        for pdf in batches:
-            texts = ["" if t is None else t for t in pdf[text_col]]
-            pdf[score_col] = np.concatenate([model.scores(texts[i : i + 500]) for i in range(0, len(texts), 500)] or [np.zeros(0)])
-            yield pdf
-
-    return docs.mapInPandas(run, schema)
+        for batch in batches:
+            for at in range(0, batch.num_rows, 500):
+                part = batch.slice(at, 500)
+                texts = part.column(part.schema.get_field_index(text_col)).to_pylist()
+                scores = pa.array(model.scores([t or "" for t in texts]))
+                yield pa.RecordBatch.from_arrays([*part.columns, scores], names=[*part.schema.names, score_col])
+
+    return docs.mapInArrow(run, schema)

@@ -97,3 +97,14 @@ def only_ids(rows: DataFrame, ids: DataFrame, col: str) -> DataFrame:
     """The rows whose `col` is in ids (a distinct, written table of that column), without a shuffle where ids are few."""
     few = ids.count() <= BROADCAST_IDS
     return rows.join(F.broadcast(ids) if few else ids, col, "left_semi")
+
+
+_NO_ID = -(2**63)  # stands for a null id inside Python tasks, where nulls would turn ids into floats
+
+
+def id_or_least(col: str) -> Column:
+    return F.coalesce(F.col(col).cast("long"), F.lit(_NO_ID))
+
+
+def without_least(col: str) -> Column:
+    return F.nullif(F.col(col), F.lit(_NO_ID))

@@ -27,7 +27,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corpusmill.llm.shared import materialize, only_ids, shuffle_partitions
+from corpusmill.llm.shared import id_or_least, materialize, only_ids, shuffle_partitions, without_least
 
 LENGTH = 50
 GRAM = 22
@@ -310,7 +310,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     """(id_col, n_bytes, n_removed, n_spans, kept): what is left of each text, as bytes (a cut may split a character)."""
     found = covers(docs, id_col, text_col).groupBy(F.col("doc").alias("id"))
     spans = found.agg(F.array_distinct(F.collect_list(F.struct("a", "b"))).alias("spans"))
-    texts = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(text_col, F.lit("")).alias("t"))
+    texts = docs.select(id_or_least(id_col).alias("id"), F.coalesce(text_col, F.lit("")).alias("t"))
 
     def run(frames):
         for pdf in frames:
@@ -326,12 +326,10 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
                 gone = np.cumsum(edge[:-1]) > 0
                 runs = int(np.count_nonzero(np.diff(gone.astype(np.int8), prepend=0) == 1))
                 rows.append((id_, len(raw), int(gone.sum()), runs, np.frombuffer(raw, np.uint8)[~gone].tobytes()))
-            frame = pd.DataFrame(rows, columns=["id", "n_bytes", "n_removed", "n_spans", "kept"])
-            frame["id"] = frame["id"].astype("Int64")
-            yield frame
+            yield pd.DataFrame(rows, columns=["id", "n_bytes", "n_removed", "n_spans", "kept"])
 
     whole = texts.join(spans, "id", "left").mapInPandas(run, "id long, n_bytes long, n_removed long, n_spans long, kept binary")
-    return whole.withColumnRenamed("id", id_col)
+    return whole.select(without_least("id").alias(id_col), "n_bytes", "n_removed", "n_spans", "kept")
 
 
 def digest(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
