@@ -263,11 +263,15 @@ SPAN_PATTERNS = (
 )
 
 
-def spans(c):  # H24: every pattern's spans in the text, as array<struct<pattern, span>>
-    found = [
-        F.transform(F.regexp_extract_all(_col(c), F.lit(p), F.lit(0)), lambda s, n=name: F.struct(F.lit(n).alias("pattern"), s.alias("span")))
-        for name, p in SPAN_PATTERNS
-    ]
+def spans(c):  # H24: array<struct<pattern, span>>; what an earlier pattern took is out of reach of the later ones
+    rest, found = _col(c), []
+
+    def named(name):
+        return lambda s: F.struct(F.lit(name).alias("pattern"), s.alias("span"))
+
+    for name, pattern in SPAN_PATTERNS:
+        found.append(F.transform(F.regexp_extract_all(rest, F.lit(pattern), F.lit(0)), named(name)))
+        rest = F.regexp_replace(rest, pattern, "\u27ea\u27eb")
     return F.flatten(F.array(*found))
 
 

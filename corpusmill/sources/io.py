@@ -7,6 +7,7 @@ from html.parser import HTMLParser
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from corpusmill.functions import text as X
 from corpusmill.operators import reconcile
@@ -96,9 +97,7 @@ class _Text(HTMLParser):
             self.parts.append(data.strip())
 
 
-@F.pandas_udf("string")
-def html_text(pages: pd.Series) -> pd.Series:
-    """The visible text of a page, a line for each run of text."""
+def _html_text(pages: pd.Series) -> pd.Series:
 
     def one(html):
         if html is None:
@@ -111,6 +110,11 @@ def html_text(pages: pd.Series) -> pd.Series:
     return pages.map(one)
 
 
+def html_text(html):
+    """The visible text of a page, a line for each run of text."""
+    return F.pandas_udf(_html_text, T.StringType())(html)
+
+
 def page_records(pages: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(records, rejects with a reason) of landing pages (page_id, url, html).
 
