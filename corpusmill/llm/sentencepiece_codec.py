@@ -31,7 +31,7 @@ from pyspark.sql import types as T
 DEFAULT_MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 FALLBACK_PENALTY = 10.0
 MARKER = "▁"
-KEPT_CHUNKS = 600_000
+KEPT_CHUNKS = 400_000  # about 100 MB a worker
 TEXTS_AT_ONCE = 500
 LONGEST_KEPT = 64
 _CHUNK = re.compile(r" *[^ \n]+|\n| +")
@@ -53,7 +53,7 @@ class PieceTrie:
     def _build(self, pieces: list[tuple[bytes, float, int]]) -> None:
         room = 1 << 12
         base, check = [0] * room, [-1] * room
-        piece, score = [-1] * room, [0.0] * room
+        piece, score = [-1] * room, [-math.inf] * room
         check[0], free, dense = 0, 257, 257  # places below free count as taken; below dense the array is nearly full
         queue = [(0, 0, len(pieces), 0)]  # state, first and last piece below it, depth
         for state, lo, hi, depth in queue:
@@ -77,7 +77,7 @@ class PieceTrie:
                     base += [0] * len(base)
                     check += [-1] * len(check)
                     piece += [-1] * len(piece)
-                    score += [0.0] * len(score)
+                    score += [-math.inf] * len(score)
                 if all(check[at + c + 1] == -1 for c, _, _ in children):
                     break
                 at, tried = at + 1, tried + 1
@@ -96,6 +96,8 @@ class PieceTrie:
             self.arrays = (self.base, self.check, self.piece, self.score)
             self.base, self.check = self.base.tolist(), self.check.tolist()
             self.piece, self.score = self.piece.tolist(), self.score.tolist()
+            sizes = np.array([len(x) for x in self.spelled])
+            self.spelling = (np.frombuffer(b"".join(self.spelled), np.uint8), np.cumsum(sizes) - sizes, sizes)
         return self
 
     def viterbi(self, raw: bytes) -> list[int]:
@@ -115,7 +117,7 @@ class PieceTrie:
                 if child >= limit or check[child] != state:
                     break
                 state, j = child, j + 1
-                if piece[state] >= 0 and here + score[state] > best[j]:
+                if here + score[state] > best[j]:  # -inf where no piece ends
                     best[j], came[j], by[j] = here + score[state], i, piece[state]
         ids = []
         while n:
@@ -123,69 +125,71 @@ class PieceTrie:
             n = came[n]
         return ids[::-1]
 
-    def viterbi_many(self, raws: list[bytes]) -> list[list[int]]:
-        """viterbi() of many chunks at once: every place of every chunk walks the trie in step."""
+    def viterbi_many(self, raws: list[bytes]) -> list[bytes]:
+        """viterbi() of many chunks, as int32 bytes: chunks of one length stand side by side and walk the trie in step."""
+        out: list[bytes] = [b""] * len(raws)
         lens = np.array([len(r) for r in raws])
-        ends = np.cumsum(lens)
-        chunk = np.repeat(np.arange(len(raws)), lens)  # of each byte
-        flat = np.frombuffer(b"".join(raws), np.uint8).astype(np.int32)
+        byte_ids = np.array(self.byte_ids, np.int32)
         base, check, piece, score = self.arrays
-        start = cur = np.arange(len(flat))
-        found = [(start, start + 1, np.array(self.byte_ids)[flat], np.full(len(flat), self.fallback))]
-        state = np.zeros(len(flat), np.int64)
-        while len(cur):
-            child = base[state] + flat[cur] + 1
-            ok = check[child] == state
-            start, cur, state = start[ok], cur[ok] + 1, child[ok]
-            whole = piece[state] >= 0
-            found.append((start[whole], cur[whole], piece[state[whole]], score[state[whole]]))
-            more = cur < ends[chunk[start]]
-            start, cur, state = start[more], cur[more], state[more]
-        start, end, ids, gain = (np.concatenate(x) for x in zip(*found, strict=True))
-        of = chunk[start]
-        far = end - (ends - lens)[of]  # bytes of the chunk that this edge completes
-        order = np.lexsort((start, end, far))
-        start, end, ids, gain, of, far = (x[order] for x in (start, end, ids, gain, of, far))
-        tail, head = start + of, end + of  # a chunk of n bytes has n + 1 nodes
-        best, back = np.zeros(len(flat) + len(raws)), np.full(len(flat) + len(raws), -1)
-        cuts = np.flatnonzero(np.diff(far, prepend=-1))
-        for lo, hi in zip(cuts, [*cuts[1:], len(far)], strict=True):
-            reach = best[tail[lo:hi]] + gain[lo:hi]
-            first = np.flatnonzero(np.diff(head[lo:hi], prepend=-1))
-            top = np.maximum.reduceat(reach, first)
-            is_top = reach == np.repeat(top, np.diff(first, append=hi - lo))
-            at = np.minimum.reduceat(np.where(is_top, np.arange(lo, hi), len(far)), first)
-            best[head[lo:hi][first]], back[head[lo:hi][first]] = top, at
-        node, owner = ends + np.arange(len(raws)), np.arange(len(raws))
-        taken: list[tuple[np.ndarray, np.ndarray]] = []
-        while len(node):
-            edge = back[node]
-            taken.append((owner, ids[edge]))
-            node = tail[edge]
-            more = back[node] >= 0
-            node, owner = node[more], owner[more]
-        owners, pieces = (np.concatenate(x[::-1]) for x in zip(*taken, strict=True))
-        order = np.argsort(owners, kind="stable")
-        sizes = np.bincount(owners, minlength=len(raws))
-        return [x.tolist() for x in np.split(pieces[order], np.cumsum(sizes)[:-1])]
-
-    def encode_many(self, texts: list[str], kept: dict[str, list[int]]) -> list[list[int]]:
-        """The ids of each text; `kept` holds chunks' results from one call to the next."""
+        for n in np.unique(lens):
+            members = np.flatnonzero(lens == n)
+            text = np.frombuffer(b"".join([raws[k] for k in members]), np.uint8).reshape(len(members), n).T.astype(np.int32)
+            best = np.full((n + 1, len(members)), -np.inf)
+            best[0] = 0.0
+            came, by = np.zeros((n + 1, len(members)), np.int32), np.zeros((n + 1, len(members)), np.int32)
+            for i in range(n):
+                worse = best[i] + self.fallback > best[i + 1]
+                best[i + 1][worse] = (best[i] + self.fallback)[worse]
+                came[i + 1][worse], by[i + 1][worse] = i, byte_ids[text[i][worse]]
+                alive, state = np.arange(len(members)), np.zeros(len(members), np.int32)
+                for j in range(i, n):
+                    child = base[state] + text[j][alive] + 1
+                    ok = check[child] == state
+                    alive, state = alive[ok], child[ok]
+                    if not len(alive):
+                        break
+                    reach = best[i][alive] + score[state]  # -inf where no piece ends
+                    better = reach > best[j + 1][alive]
+                    to = alive[better]
+                    best[j + 1][to], came[j + 1][to], by[j + 1][to] = reach[better], i, piece[state[better]]
+            taken = np.full((len(members), n), -1, np.int32)  # filled from the right
+            at, every = np.full(len(members), n), np.arange(len(members))
+            for k in range(n - 1, -1, -1):
+                go = at > 0
+                if not go.any():
+                    break
+                taken[go, k] = by[at[go], every[go]]
+                at[go] = came[at[go], every[go]]
+            kept, sizes = taken[taken >= 0].tobytes(), (taken >= 0).sum(1) * 4
+            ends = np.cumsum(sizes)
+            for k, lo, hi in zip(members.tolist(), (ends - sizes).tolist(), ends.tolist(), strict=True):
+                out[k] = kept[lo:hi]
+        return out
+
+    def encode_many(self, texts: list[str], kept: dict[str, bytes]) -> list[bytes]:
+        """Each text's ids as int32 bytes; `kept` holds chunks' results from one call to the next."""
         cut = [_CHUNK.findall(" " + t) if t else [] for t in texts]
         fresh = set().union(*cut).difference(kept)
         if len(kept) + len(fresh) > KEPT_CHUNKS:
             kept.clear()
             fresh = set().union(*cut)
         short = [c for c in fresh if len(c) <= LONGEST_KEPT]
-        own = {c: self.viterbi(c.encode()) for c in fresh if len(c) > LONGEST_KEPT}
+        own = {c: np.array(self.viterbi(c.encode()), np.int32).tobytes() for c in fresh if len(c) > LONGEST_KEPT}
         if short:
             kept.update(zip(short, self.viterbi_many([c.encode() for c in short]), strict=True))
         look = kept | own if own else kept
-        return [list(chain.from_iterable(map(look.__getitem__, chunks))) for chunks in cut]
+        return [b"".join(map(look.__getitem__, chunks)) for chunks in cut]
 
-    def decode(self, ids) -> str:
-        spelled = self.spelled
-        return b"".join([spelled[i] for i in ids])[1:].decode()
+    def decode_many(self, ids: np.ndarray, ends: np.ndarray) -> tuple[bytes, np.ndarray]:
+        """The texts of consecutive id lists in one buffer, and where each ends; the marker in front goes."""
+        flat, starts, sizes = self.spelling
+        at, size = starts[ids], sizes[ids]
+        begins = np.concatenate([[0], ends[:-1]])
+        first = begins[ends > begins]
+        at[first] += 1
+        size[first] -= 1
+        total = np.concatenate([[0], np.cumsum(size)])
+        return flat[np.repeat(at - total[:-1], size) + np.arange(total[-1])].tobytes(), total[ends]
 
 
 def load_trie(model_path: str = DEFAULT_MODEL) -> PieceTrie:
@@ -206,7 +210,7 @@ def load_trie(model_path: str = DEFAULT_MODEL) -> PieceTrie:
     return PieceTrie(pieces, byte_ids, size)
 
 
-_kept: dict[str, list[int]] = {}  # of this worker
+_kept: dict[str, bytes] = {}  # of this worker
 
 
 def encode(df: DataFrame, text_col: str = "text", ids_col: str = "piece_ids", model_path: str = DEFAULT_MODEL) -> DataFrame:
@@ -222,7 +226,9 @@ def encode(df: DataFrame, text_col: str = "text", ids_col: str = "piece_ids", mo
                 part = batch.slice(at, TEXTS_AT_ONCE)
                 texts = part.column(part.schema.get_field_index(text_col)).to_pylist()
                 ids = own.encode_many(texts, _kept)
-                yield _with_column(part, ids_col, pa.array(ids, pa.list_(pa.int32())))
+                ends = np.cumsum([0, *(len(x) // 4 for x in ids)]).astype(np.int32)
+                flat = pa.array(np.frombuffer(b"".join(ids), np.int32))
+                yield _with_column(part, ids_col, pa.ListArray.from_arrays(pa.array(ends), flat))
 
     return df.mapInArrow(run, schema)
 
@@ -234,11 +240,16 @@ def decode(df: DataFrame, ids_col: str = "piece_ids", text_col: str = "decoded",
     schema = T.StructType([*df.schema.fields, T.StructField(text_col, T.StringType())])
 
     def run(batches):
-        own = trie.value
+        own = trie.value.ready()
         for batch in batches:
-            lists = batch.column(batch.schema.get_field_index(ids_col)).to_pylist()
-            texts = [None if ids is None else own.decode(ids) for ids in lists]
-            yield _with_column(batch, text_col, pa.array(texts, pa.string()))
+            for at in range(0, batch.num_rows, TEXTS_AT_ONCE):
+                part = batch.slice(at, TEXTS_AT_ONCE)
+                lists = part.column(part.schema.get_field_index(ids_col))
+                sizes = np.array([len(x) if x.is_valid else 0 for x in lists], np.int64)
+                spelled, ends = own.decode_many(lists.flatten().to_numpy(zero_copy_only=False), np.cumsum(sizes))
+                begins = [0, *ends[:-1].tolist()]
+                texts = [spelled[a:b].decode("utf-8", "replace") for a, b in zip(begins, ends.tolist(), strict=True)]
+                yield _with_column(part, text_col, pa.array(texts, pa.string(), mask=~np.asarray(lists.is_valid())))
 
     return df.mapInArrow(run, schema)
 
