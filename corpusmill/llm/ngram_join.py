@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from corpusmill.llm.shared import connected_components, id_or_least, materialize, only_ids, without_least
 
 WORDS, PERCENT = 5, 80
-HEAVY_TOKENS = 65_536  # order 1 ranks at most so many common tokens; the order matters for speed only
+HEAVY_TOKENS = 1_000_000  # order 1 ranks at most so many common tokens (16 MB); the order matters for speed only
 SMALL_BUCKET = 8
 PIVOT_GROWTH = 16
 
@@ -68,11 +68,10 @@ def heavy_tokens(docs: DataFrame, text_col: str, words: int) -> tuple[np.ndarray
     def count(batches):
         for pdf in batches:
             texts = pdf["t"].tolist()
-            for at in range(0, len(texts), 2000):
-                some = [shingles(t, words) for t in texts[at : at + 2000]]
-                token, n = np.unique(np.concatenate(some), return_counts=True)
-                often = n >= max(3, len(some) // 256)
-                yield pd.DataFrame({"token": token[often].view(np.int64), "n": n[often]})
+            some = [shingles(t, words) for t in texts]
+            token, n = np.unique(np.concatenate(some), return_counts=True) if some else (np.empty(0, np.uint64), np.empty(0))
+            often = n >= max(3, len(some) // 4096)
+            yield pd.DataFrame({"token": token[often].view(np.int64), "n": n[often]})
 
     found = docs.select(F.col(text_col).alias("t")).mapInPandas(count, "token long, n long")
     total = found.groupBy("token").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "token").limit(HEAVY_TOKENS).toPandas()
@@ -98,12 +97,12 @@ def signatures(docs: DataFrame, id_col: str, text_col: str, words: int, percent:
                     first = own[np.lexsort((own, weight))[:k]]
                 else:
                     first = own[:k]
-                second, third = ((np.sort(_mix(own ^ o))[:k] >> np.uint64(33)).astype(np.int32) for o in (_ORDER_2, _ORDER_3))
+                second, third = ((np.sort(_mix(own ^ o))[:k] >> np.uint64(48)).astype(np.int16) for o in (_ORDER_2, _ORDER_3))
                 rows.append((id_, len(own), xxhash.xxh3_128_digest(own.tobytes()), first.view(np.int64), second, third))
             yield pd.DataFrame(rows, columns=["id", "n", "set_hash", "p1", "p2", "p3"])
 
     texts = docs.select(id_or_least(id_col).alias("id"), F.col(text_col).alias("t"))
-    signed = texts.mapInPandas(sign, "id long, n long, set_hash binary, p1 array<long>, p2 array<int>, p3 array<int>")
+    signed = texts.mapInPandas(sign, "id long, n long, set_hash binary, p1 array<long>, p2 array<short>, p3 array<short>")
     return signed.withColumn("id", without_least("id"))
 
 
@@ -136,14 +135,13 @@ def join_components(
     """(id_col, n_shingles, component_id), one row per row of docs."""
     signed = materialize(signatures(docs, id_col, text_col, words, percent), "signatures")
     known = signed.filter("n > 0 AND id IS NOT NULL")
-    classes = known.groupBy("set_hash").agg(
-        F.min("id").alias("node"), F.first("n").alias("n"), *[F.first(p).alias(p) for p in ("p1", "p2", "p3")]
-    )
-    classes = materialize(classes, "classes")
-    entries = classes.select("node", "n", F.explode("p1").alias("token"))
+    classes = materialize(known.groupBy("set_hash").agg(F.min("id").alias("node")), "classes")
+    nodes = materialize(classes.select(F.col("node").alias("id")).distinct(), "nodes")
+    known = only_ids(known, nodes, "id").withColumnRenamed("id", "node")
+    entries = known.select("node", "n", F.posexplode("p1").alias("pos", "token"))
     shared = entries.groupBy("token").count().filter("count > 1").select("token")
     active = materialize(entries.join(shared, "token").withColumn("comp", F.col("node")), "buckets")
-    prefixes = classes.select("node", "p2", "p3")
+    prefixes = known.select("node", "p2", "p3")
     links = None
     pivots = 1
     while True:
@@ -151,12 +149,15 @@ def join_components(
         ready = active.join(bucket.filter("open"), "token")
         chance = F.pmod(F.xxhash64("node", F.lit(7)), F.lit(1 << 20)) / float(1 << 20)
         pivot = (F.col("m") <= SMALL_BUCKET) | (F.xxhash64("node") == F.col("least")) | (chance < F.lit(float(pivots)) / F.col("m"))
-        ready = materialize(ready.select("token", "node", "n", "comp", pivot.alias("pivot")), "round")
+        ready = materialize(ready.select("token", "node", "n", "pos", "comp", pivot.alias("pivot")), "round")
         if ready.isEmpty():
             break
-        left = ready.filter("pivot").select("token", F.col("node").alias("p"), F.col("n").alias("pn"), F.col("comp").alias("pc"))
+        left = ready.filter("pivot").select("token", F.col("node").alias("p"), F.col("n").alias("pn"), F.col("pos").alias("pp"), F.col("comp").alias("pc"))
         met = left.join(ready, "token").filter("p != node AND pc != comp AND (NOT pivot OR p < node)")
         met = met.filter(100 * F.least("n", "pn") >= percent * F.greatest("n", "pn"))
+        # what can be in common before this token, with it, and after it
+        most = F.least("pos", "pp") + 1 + F.least(F.col("n") - F.col("pos") - 1, F.col("pn") - F.col("pp") - 1)
+        met = met.filter((100 + percent) * most >= percent * (F.col("n") + F.col("pn")))
         pairs = met.select(F.least("p", "node").alias("a"), F.greatest("p", "node").alias("b")).distinct()
         for side in ("a", "b"):
             pairs = pairs.join(prefixes.select(F.col("node").alias(side), F.col("p2").alias(f"{side}2"), F.col("p3").alias(f"{side}3")), side)
@@ -166,10 +167,10 @@ def join_components(
         links = new if links is None else links.union(new)
         found = connected_components(links, "a", "b", "components")
         found = materialize(found.withColumnRenamed("component", "new"), "components")
-        active = ready.filter("NOT pivot").select("token", "node", "n").join(found, "node", "left")
-        active = materialize(active.select("token", "node", "n", F.coalesce("new", "node").alias("comp")), "buckets")
+        active = ready.filter("NOT pivot").select("token", "node", "n", "pos").join(found, "node", "left")
+        active = materialize(active.select("token", "node", "n", "pos", F.coalesce("new", "node").alias("comp")), "buckets")
         pivots *= PIVOT_GROWTH
-    whole = classes.select("set_hash", "node")
+    whole = classes
     if links is not None:
         whole = whole.join(found, "node", "left").select("set_hash", F.coalesce("new", "node").alias("component"))
     else:

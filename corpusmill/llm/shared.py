@@ -55,7 +55,7 @@ def globally_ranked(df: DataFrame, order: list[Column], rank: str, label: str) -
 
 
 def connected_components(edges: DataFrame, a: str, b: str, label: str) -> DataFrame:
-    """(node, component): the smallest node reachable over undirected edges; nodes without edges are absent.
+    """(node, component): the smallest node reachable over undirected edges, for nodes that have a smaller one.
 
     Alternating large-star and small-star steps (each one grouped minimum and one join, so a hub's
     edges never expand into pairs) until a step changes nothing.
