@@ -1,9 +1,9 @@
 """Line deduplication with a log-template tree.
 
 Fixed-depth parsing: a line goes down the tree by its number of tokens and its first `DEPTH` tokens, of which those
-that hold a digit count as one variable. A leaf that fewer than `min_docs` documents reach is left alone. In the other
-leaves, a token is constant at its place if at least `min_docs` documents and `CONSTANT_SUPPORT` of the leaf's
-documents have it there; other places are variable fields. A line's template is its leaf and its constant
+that hold a digit count as one variable. A leaf that fewer than `min_docs` lines reach is left alone. In the other
+leaves, a token is constant at its place if at least `min_docs` lines and `CONSTANT_SUPPORT` of the leaf's
+lines have it there; other places are variable fields. A line's template is its leaf and its constant
 places. A template recurs if at least `CONSTANT_SHARE` of its places are constant and `min_docs` documents have it:
 its lines are dropped in every document but the first that has it (smallest id), so that no content is lost.
 
@@ -20,7 +20,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from corpusmill.llm.shared import materialize
+from corpusmill.llm.shared import materialize, only_ids
 
 DEPTH = 3
 MIN_TOKENS = 4
@@ -34,45 +34,44 @@ def _plain(line: Column) -> Column:
 
 
 def _leaf(line: Column) -> Column:
-    """The leaf's hash; null where a line has too few tokens."""
-    plain = _plain(line)
-    tokens = F.length(plain) - F.length(F.replace(plain, F.lit(" "), F.lit(""))) + 1
-    lead = F.regexp_replace(F.substring_index(plain, " ", DEPTH), r"[^ ]*[0-9][^ ]*", "<*>")
+    """The leaf's hash of a plain line; null where it has too few tokens."""
+    tokens = F.length(line) - F.length(F.replace(line, F.lit(" "), F.lit(""))) + 1
+    lead = F.substring_index(line, " ", DEPTH)
+    lead = F.when(lead.rlike("[0-9]"), F.regexp_replace(lead, r"[^ ]*[0-9][^ ]*", "<*>")).otherwise(lead)
     return F.when(tokens >= MIN_TOKENS, F.xxhash64(tokens, lead))
 
 
 def _codes(line: Column) -> Column:
-    """A hash of place and token for each token."""
-    return F.transform(F.split(_plain(line), " "), lambda t, i: F.xxhash64(i, t))
+    """A hash of place and token for each token of a plain line."""
+    return F.transform(F.split(line, " "), lambda t, i: F.xxhash64(i, t))
 
 
 def dropped_lines(docs: DataFrame, id_col: str, text_col: str, min_docs: int = MIN_DOCS) -> DataFrame:
     """(__row, __drop): the 0-based places of the lines to drop, for rows that have any.
 
-    __row numbers docs' rows as monotonically_increasing_id() does.
+    __row numbers docs' rows as monotonically_increasing_id() does. Texts are read once for the leaves and once for
+    one copy of each line in a busy leaf; all between is hashes.
     """
     rows = docs.select(F.monotonically_increasing_id().alias("__row"), F.col(id_col).alias("__id"), F.split(text_col, "\n").alias("__lines"))
-    leaves = F.transform("__lines", _leaf)
-    reached = rows.select(F.explode(F.array_distinct(leaves)).alias("leaf")).filter("leaf IS NOT NULL")
-    busy = reached.groupBy("leaf").count().filter(F.col("count") >= min_docs).select("leaf")
-    places = rows.select("__row", F.posexplode(leaves).alias("pos", "leaf")).filter("leaf IS NOT NULL")
-    busy_places = places.join(busy, "leaf", "left_semi").groupBy("__row").agg(F.collect_list("pos").alias("__at"))
-    lines = rows.join(busy_places, "__row").select("__row", "__id", F.explode("__at").alias("pos"), "__lines")
-    lines = lines.select("__row", "__id", "pos", F.expr("__lines[pos]").alias("line"))
-    lines = lines.select("__row", "__id", "pos", _leaf(F.col("line")).alias("leaf"), F.xxhash64(_plain(F.col("line"))).alias("line_id"), _plain(F.col("line")).alias("line"))
-    # copies of a line meet here; a document that repeats a line counts as often, which only matters below min_docs
-    kinds = lines.groupBy("leaf", "line_id").agg(F.first("line").alias("line"), F.count("*").alias("n"))
-    kinds = materialize(kinds.select("leaf", "line_id", "n", _codes(F.col("line")).alias("codes")), "lines")
-    support = kinds.select("leaf", "n", F.explode("codes").alias("code")).groupBy("leaf", "code").agg(F.sum("n").alias("n"))
-    total = kinds.groupBy("leaf").agg(F.sum("n").alias("all"))
-    constant = support.filter(F.col("n") >= min_docs).join(total, "leaf").filter(F.col("n") >= CONSTANT_SUPPORT * F.col("all"))
+    places = rows.select("__row", "__id", F.posexplode("__lines").alias("pos", "line")).withColumn("line", _plain(F.col("line")))
+    places = places.select("__row", "__id", "pos", _leaf(F.col("line")).alias("leaf"), F.xxhash64("line").alias("line_id"))
+    places = materialize(places.filter("leaf IS NOT NULL"), "places")
+    busy = places.groupBy("leaf").agg(F.count("*").alias("all")).filter(F.col("all") >= min_docs)
+    # copies of a line meet here, and the first speaks for all
+    kinds = places.groupBy("leaf", "line_id").agg(F.count("*").alias("n"), F.min(F.struct("__row", "pos")).alias("at"))
+    kinds = materialize(kinds.join(busy, "leaf").select("leaf", "line_id", "n", "all", "at.__row", "at.pos"), "kinds")
+    wanted = kinds.groupBy("__row").agg(F.collect_list(F.struct("pos", "leaf", "line_id", "n", "all")).alias("__at"))
+    wanted = materialize(wanted, "wanted")
+    found = only_ids(rows.select("__row", "__lines"), wanted.select("__row"), "__row").join(wanted, "__row")
+    lines = found.select("__lines", F.explode("__at").alias("k")).select("k.*", _plain(F.expr("__lines[k.pos]")).alias("line"))
+    kinds = materialize(lines.select("leaf", "line_id", "n", "all", _codes(F.col("line")).alias("codes")), "codes")
+    support = kinds.select("leaf", "n", "all", F.explode("codes").alias("code")).groupBy("leaf", "code").agg(F.sum("n").alias("n"), F.first("all").alias("all"))
+    constant = support.filter((F.col("n") >= min_docs) & (F.col("n") >= CONSTANT_SUPPORT * F.col("all")))
     constants = constant.groupBy("leaf").agg(F.collect_list("code").alias("constants"))
     fixed = F.array_intersect("codes", "constants")
     typed = kinds.join(constants, "leaf").filter(F.size(fixed) >= CONSTANT_SHARE * F.size("codes"))
     typed = typed.select("leaf", "line_id", F.xxhash64("leaf", fixed).alias("template"))
-    where = rows.select("__row", "__id", F.posexplode(F.transform("__lines", lambda l: F.struct(_leaf(l).alias("leaf"), F.xxhash64(_plain(l)).alias("line_id")))).alias("pos", "l"))
-    where = where.select("__row", "__id", "pos", "l.leaf", "l.line_id").filter("leaf IS NOT NULL")
-    where = materialize(where.join(typed, ["leaf", "line_id"]).select("__row", "__id", "pos", "template"), "templates")
+    where = materialize(places.join(typed, ["leaf", "line_id"]).select("__row", "__id", "pos", "template"), "templates")
     per_doc = where.groupBy("template", "__row").agg(F.first("__id").alias("__id"))
     recurring = per_doc.groupBy("template").agg(F.count("*").alias("n"), F.min(F.struct("__id", "__row")).alias("first"))
     recurring = recurring.filter(F.col("n") >= min_docs).select("template", F.col("first.__row").alias("__first"))
@@ -84,7 +83,8 @@ def dedup_lines(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_docs: int = MIN_DOCS, dropped_col: str | None = None
 ) -> DataFrame:
     """docs with recurring templates' lines taken out of text_col; dropped_col: a column for how many, if named."""
-    drops = materialize(dropped_lines(docs, id_col, text_col, min_docs), "drops")
+    # the places to drop grow with the texts: both sides are always dealt, never one broadcast
+    drops = materialize(dropped_lines(docs, id_col, text_col, min_docs), "drops").hint("merge")
     whole = docs.withColumn("__row", F.monotonically_increasing_id()).join(drops, "__row", "left")
     kept = F.filter(F.split(text_col, "\n"), lambda l, i: ~F.array_contains("__drop", i))
     text = F.when(F.col("__drop").isNull(), F.col(text_col)).otherwise(F.array_join(kept, "\n"))
