@@ -1,8 +1,8 @@
 """Streaming twins of the ordered folds, with one small state a key.
 
 Inputs are streams with created_at (timestamp) and event_id; keys are columns. In a micro-batch a key's rows are taken in
-(created_at, event_id) order, so with one batch a stream gives what the batch operators give. State that is not
-touched for `ttl` of processing time goes.
+(created_at, event_id) order, so streams whose files come in that order give what the batch operators give. A key's state
+is a few numbers and stays: a processing-time timeout would keep an available-now run from ending.
 """
 
 from __future__ import annotations
@@ -16,8 +16,6 @@ from pyspark.sql import types as T
 from pyspark.sql.streaming.query import StreamingQuery
 from pyspark.sql.streaming.state import GroupStateTimeout
 
-TTL_MS = 90 * 24 * 3600 * 1000
-
 
 def _seconds(pdf: pd.DataFrame) -> pd.Series:
     return pdf["created_at"].astype("datetime64[us]").astype("int64") / 1e6
@@ -27,17 +25,13 @@ def _fold(stream: DataFrame, keys: list[str], out: T.StructType | str, state: st
     """step(key, rows in order, state tuple or None) -> (output rows, new state)."""
 
     def run(key, frames: Iterator[pd.DataFrame], group) -> Iterator[pd.DataFrame]:
-        if group.hasTimedOut:
-            group.remove()
-            return
         frames = list(frames)  # of one key in one micro-batch; maxFilesPerTrigger bounds it
         rows = pd.concat(frames).sort_values(["created_at", "event_id"], kind="stable")
         produced, new = step(key, rows, group.get if group.exists else None)
         group.update(new)
-        group.setTimeoutDuration(TTL_MS)
         yield produced
 
-    return stream.groupBy(*keys).applyInPandasWithState(run, out, state, "append", GroupStateTimeout.ProcessingTimeTimeout)
+    return stream.groupBy(*keys).applyInPandasWithState(run, out, state, "append", GroupStateTimeout.NoTimeout)
 
 
 def spaced(stream: DataFrame, keys: list[str], seconds: int) -> DataFrame:
