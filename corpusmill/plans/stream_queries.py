@@ -12,7 +12,7 @@ from corpusmill.streaming import stateful
 
 def events(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = f"{sf_dir}/events.parquet"
-    rows = spark.readStream.schema(spark.read.parquet(path).schema).parquet(path)
+    rows = spark.readStream.schema(spark.read.parquet(path).schema).parquet(f"{path}*")  # a pattern, as a stream's path can't be one file
     return rows.withColumn("created_at", F.col("ts").cast("timestamp")).drop("ts")
 
 
