@@ -5,8 +5,8 @@ be placed before slot (j + 1) / w; earliest-deadline-first among the blocks that
 slot each source has had its share to within less than one block.
 
 Weights are whole parts of a cycle of slots, and such a schedule repeats with the cycle, so one cycle's pattern is
-laid out and every block finds its slot by division. When a source has less than its part left, one cycle is
-laid out with what is left, and the others go on with their weights rescaled: nothing is dropped or repeated. The
+laid out and every block finds its slot by division. When a source runs out, the cycle ends there and the others go
+on with their weights rescaled: nothing is dropped or repeated. The
 driver holds a count and a weight a source, and the patterns: at most two a source.
 
 Defined cases: a null source is a source of its own; sources without a weight get `default_weight` (with no weights
@@ -17,6 +17,7 @@ by a hash of the id, then the id; repeated rows are separate rows; an empty tabl
 from __future__ import annotations
 
 import heapq
+from collections import Counter
 from collections.abc import Iterator
 
 from pyspark.sql import DataFrame
@@ -57,18 +58,30 @@ def edf_cycle(parts: dict[str, int]) -> list[tuple[str, int, int, int, int]]:
     return out
 
 
-def phases(blocks: dict[str, int], parts: dict[str, int]) -> Iterator[tuple[dict[str, int], dict[str, int], int, int]]:
-    """(parts, first block of each source, first slot, cycles) until all blocks are placed."""
+def phases(blocks: dict[str, int], parts: dict[str, int]) -> Iterator[tuple[list[tuple[str, int, int, int, int]], dict[str, int], int, int]]:
+    """(cycle, first block of each source, first slot, repetitions) until all blocks are placed.
+
+    The cycle of the sources that are left is repeated while all of them fill it, then followed up to the slot whose
+    source has nothing left; that source leaves and the rest go on with a cycle of their own.
+    """
     left, slot = dict(blocks), 0
     while left := {s: n for s, n in left.items() if n}:
         own = {s: parts[s] for s in left}
+        laid = edf_cycle(own)
         cycles = min(n // own[s] for s, n in left.items())
-        for now, times in ((own, cycles), (None, 1)):
-            now = now or {s: min(own[s], n) for s, n in left.items() if n}
-            if times and now:
-                yield now, {s: blocks[s] - left[s] for s in now}, slot, times
-                slot += times * sum(now.values())
-                left = {s: n - times * now.get(s, 0) for s, n in left.items()}
+        if cycles:
+            yield laid, {s: blocks[s] - left[s] for s in left}, slot, cycles
+            slot += cycles * len(laid)
+            left = {s: n - cycles * own[s] for s, n in left.items()}
+        first, begun = {s: blocks[s] - n for s, n in left.items()}, []
+        for entry in laid:
+            if not left[entry[0]]:
+                break
+            left[entry[0]] -= 1
+            begun.append(entry)
+        if begun:
+            yield begun, first, slot, 1
+            slot += len(begun)
 
 
 def schedule(
@@ -92,11 +105,10 @@ def schedule(
     parts = whole_parts(own) if own else {}
     blocks = {s: -(-n // block_rows) for s, (n, _) in counts.items()}
     plan, pattern, short = [], [], []
-    for k, (now, first, slot, times) in enumerate(phases(blocks, parts)):
-        length = sum(now.values())
+    for k, (laid, first, slot, times) in enumerate(phases(blocks, parts)):
+        length, now = len(laid), Counter(entry[0] for entry in laid)
         for s, p in now.items():
             plan.append((s, counts[s][1], k, first[s], first[s] + p * times, p, slot, length))
-        laid = edf_cycle(now)
         pattern += [(k, s, j, at, release, deadline) for s, j, at, release, deadline in laid]
         last = slot + (times - 1) * length
         for s, j, at, _, _ in laid:  # the last block of a source may not be full
