@@ -5,7 +5,10 @@ among the first |x| - ceil(t |x|) + 1 of each, under any order of all tokens; so
 
   order 1   common tokens last, so that a passage that many documents share is in few prefixes; the rest by hash.
             Its prefix tokens are the buckets that make candidates.
-  order 2,3 independent hashes. A candidate must share a prefix token under each before it is verified on whole texts.
+  order 2,3 independent hashes. A candidate must share a prefix token under each.
+
+Before texts are fetched, a bitmap of the parity of each of `PARITY_BITS` hash cells bounds how unlike two sets are: the
+bits that differ are at most the tokens that only one of them has. Pairs that pass are verified on whole texts.
 
 Documents with equal sets are one class and meet once. In a bucket, a few pivots are compared with all others,
 links are closed to components, and pairs inside a component are never looked at again; then more pivots, until every
@@ -31,7 +34,8 @@ from corpusmill.llm.shared import connected_components, id_or_least, materialize
 WORDS, PERCENT = 5, 80
 HEAVY_TOKENS = 1_000_000  # order 1 ranks at most so many common tokens (16 MB); the order matters for speed only
 SMALL_BUCKET = 8
-PIVOT_GROWTH = 16
+PIVOT_GROWTH = 32
+PARITY_BITS = 1024
 
 _M1, _M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 _STEP = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F], np.uint64)
@@ -62,6 +66,12 @@ def prefix_length(size: int, percent: int) -> int:
     return size - -(-percent * size // 100) + 1
 
 
+def parity(tokens: np.ndarray) -> np.ndarray:
+    """Which cells hold an odd number of tokens, as longs."""
+    odd = np.bincount((tokens % np.uint64(PARITY_BITS)).astype(np.int64), minlength=PARITY_BITS) & 1
+    return np.packbits(odd.astype(np.uint8)).view(np.int64)
+
+
 def heavy_tokens(docs: DataFrame, text_col: str, words: int) -> tuple[np.ndarray, np.ndarray]:
     """(tokens, counts) of common tokens, sorted by token: each batch names those of a share of its documents."""
 
@@ -81,7 +91,7 @@ def heavy_tokens(docs: DataFrame, text_col: str, words: int) -> tuple[np.ndarray
 
 
 def signatures(docs: DataFrame, id_col: str, text_col: str, words: int, percent: int) -> DataFrame:
-    """(id, n, set_hash, p1, p2, p3): the set's size and identity, and its prefixes under the three orders."""
+    """(id, n, set_hash, p1, p2, p3, parity): the set's size and identity, its prefixes under the three orders, its bitmap."""
     heavy = docs.sparkSession.sparkContext.broadcast(heavy_tokens(docs, text_col, words))
 
     def sign(batches):
@@ -98,11 +108,11 @@ def signatures(docs: DataFrame, id_col: str, text_col: str, words: int, percent:
                 else:
                     first = own[:k]
                 second, third = ((np.sort(_mix(own ^ o))[:k] >> np.uint64(48)).astype(np.int16) for o in (_ORDER_2, _ORDER_3))
-                rows.append((id_, len(own), xxhash.xxh3_128_digest(own.tobytes()), first.view(np.int64), second, third))
-            yield pd.DataFrame(rows, columns=["id", "n", "set_hash", "p1", "p2", "p3"])
+                rows.append((id_, len(own), xxhash.xxh3_128_digest(own.tobytes()), first.view(np.int64), second, third, parity(own)))
+            yield pd.DataFrame(rows, columns=["id", "n", "set_hash", "p1", "p2", "p3", "parity"])
 
     texts = docs.select(id_or_least(id_col).alias("id"), F.col(text_col).alias("t"))
-    signed = texts.mapInPandas(sign, "id long, n long, set_hash binary, p1 array<long>, p2 array<short>, p3 array<short>")
+    signed = texts.mapInPandas(sign, "id long, n long, set_hash binary, p1 array<long>, p2 array<short>, p3 array<short>, parity array<long>")
     return signed.withColumn("id", without_least("id"))
 
 
@@ -141,7 +151,7 @@ def join_components(
     entries = known.select("node", "n", F.posexplode("p1").alias("pos", "token"))
     shared = entries.groupBy("token").count().filter("count > 1").select("token")
     active = materialize(entries.join(shared, "token").withColumn("comp", F.col("node")), "buckets")
-    prefixes = known.select("node", "p2", "p3")
+    sketches = known.select("node", F.struct("n", "p2", "p3", "parity").alias("s"))
     links = None
     pivots = 1
     while True:
@@ -160,8 +170,10 @@ def join_components(
         met = met.filter((100 + percent) * most >= percent * (F.col("n") + F.col("pn")))
         pairs = met.select(F.least("p", "node").alias("a"), F.greatest("p", "node").alias("b")).distinct()
         for side in ("a", "b"):
-            pairs = pairs.join(prefixes.select(F.col("node").alias(side), F.col("p2").alias(f"{side}2"), F.col("p3").alias(f"{side}3")), side)
-        pairs = pairs.filter(F.arrays_overlap("a2", "b2") & F.arrays_overlap("a3", "b3")).select("a", "b").distinct()
+            pairs = pairs.join(sketches.select(F.col("node").alias(side), F.col("s").alias(f"s{side}")), side)
+        unlike = sum((F.expr(f"bit_count(sa.parity[{i}] ^ sb.parity[{i}])") for i in range(PARITY_BITS // 64)), F.lit(0))
+        pairs = pairs.filter((100 + percent) * unlike <= (100 - percent) * F.expr("sa.n + sb.n"))
+        pairs = pairs.filter(F.arrays_overlap("sa.p2", "sb.p2") & F.arrays_overlap("sa.p3", "sb.p3")).select("a", "b").distinct()
         pairs = materialize(pairs, "pairs")
         new = materialize(verified(pairs, docs, id_col, text_col, words, percent), "links")
         links = new if links is None else links.union(new)

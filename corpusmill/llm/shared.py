@@ -76,7 +76,7 @@ def connected_components(edges: DataFrame, a: str, b: str, label: str) -> DataFr
         least = whole.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
         # large star: every neighbour above u goes to the least of u and its neighbours
         large = whole.filter("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        large = large.filter("u != v").distinct()
+        large = large.filter("u != v")
         # small star: u and its neighbours below go to the least of these
         low = large.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
         down = low.groupBy("u").agg(F.min("v").alias("m"))
