@@ -25,15 +25,18 @@ _W = """w AS (SELECT o_orderkey AS id, CASE o_orderstatus WHEN 'F' THEN 'failed'
   CASE WHEN o_orderkey % 13 <> 0 THEN CAST(o_orderdate AS TIMESTAMP) END AS started, CASE o_orderkey % 3 WHEN 0 THEN 'complete' WHEN 1 THEN 'pending' ELSE 'failed' END AS text_status,
   CASE WHEN o_orderkey % 5 = 0 THEN 'complete' ELSE 'pending' END AS figures_status, CASE WHEN o_orderkey % 4 <> 0 THEN o_orderpriority END AS title,
   CASE WHEN o_orderkey % 10 <> 0 THEN CAST(o_orderdate AS TIMESTAMP) END AS date FROM orders)"""
-_as_of = F.lit(AS_OF).cast("timestamp")
+
+
+def _as_of():
+    return F.lit(AS_OF).cast("timestamp")
 
 
 def work_queue_default(spark, sf):
-    return workset.work_queue(work_papers(spark, sf), _as_of).select("id", "processing_status")
+    return workset.work_queue(work_papers(spark, sf), _as_of()).select("id", "processing_status")
 
 
 def work_queue_figures(spark, sf):
-    return workset.work_queue(work_papers(spark, sf), _as_of, "figures_only").select("id")
+    return workset.work_queue(work_papers(spark, sf), _as_of(), "figures_only").select("id")
 
 
 def work_queue_resume(spark, sf):
@@ -47,7 +50,7 @@ def needs_translation(spark, sf):
 
 
 def claimable(spark, sf):
-    return workset.claimable(work_papers(spark, sf), _as_of).select("id")
+    return workset.claimable(work_papers(spark, sf), _as_of()).select("id")
 
 
 def _jobs(spark, sf):
@@ -207,7 +210,7 @@ def replace_subjects(spark, sf):
 def staged_updates(spark, sf):
     t = work_papers(spark, sf).select("id", F.col("text_status").alias("status"), F.when(F.col("id") % 9 == 0, F.lit("1990-01-01").cast("timestamp")).alias("completed_at"))
     staged = table(spark, sf, "orders").filter("o_orderkey % 2 = 0").select(F.col("o_orderkey").alias("id"), F.lit("complete").alias("status"))
-    return reconcile.apply_staged(t, staged, _as_of).select("id", "status", F.date_format("completed_at", "yyyy-MM-dd").alias("day"))
+    return reconcile.apply_staged(t, staged, _as_of()).select("id", "status", F.date_format("completed_at", "yyyy-MM-dd").alias("day"))
 
 
 def last_costs(spark, sf):

@@ -167,3 +167,13 @@ def test_summary_and_glossary(spark, value):
     assert df.agg(X.summary_markdown("T", "l", "v", "o").alias("m")).first()["m"] == "# T\n\n- **a:** 4\n- **b:** 5"
     pairs = F.array(*[F.struct(L(s).alias("source"), L(t).alias("target")) for s, t in (("a", "b"), ("", "c"))])
     assert value(X.glossary_text(pairs)) == "a => b"
+
+
+def test_entry_imports_without_a_session():
+    import subprocess
+    import sys
+    from pathlib import Path
+
+    root = Path(__file__).resolve().parent.parent
+    code = "import __spark_entry__ as e; assert set(e.oracle_sql()) <= set(e.queries()) and len(e.queries()) > 90"
+    subprocess.run([sys.executable, "-c", code], cwd=root, check=True)
