@@ -105,7 +105,7 @@ def in_order_with_next(docs: DataFrame, id_col: str, text_col: str) -> DataFrame
     rows = docs.select(id_or_least(id_col).alias("id"), F.coalesce(text_col, F.lit("")).alias("text"))
     n = shuffle_partitions(spark)
     cuts = sorted(set(rows.approxQuantile("id", [i / n for i in range(1, n)], 0.2 / n)))
-    bucket = Bucketizer(splits=[float("-inf"), *cuts, float("inf")], inputCol="at", outputCol="part")
+    bucket = Bucketizer(splits=[float("-inf"), *(cuts or [0.0]), float("inf")], inputCol="at", outputCol="part")
     parted = bucket.transform(rows.withColumn("at", F.col("id").cast("double"))).withColumn("part", F.col("part").cast("int")).drop("at")
     heads = parted.groupBy("part").agg(F.min("id").alias("id")).collect()  # a row a part
     first_of = sorted((r["part"], r["id"]) for r in heads)

@@ -294,7 +294,7 @@ def plain_removal(texts):
                 gone[i : i + 50] = b"\1" * 50
         for w in own:
             first.setdefault(w, d)
-        runs = len(re.findall(rb"\1+", bytes(gone)))
+        runs = len(re.findall(rb"\x01+", bytes(gone)))
         kept = bytes(x for x, y in zip(b, gone, strict=True) if not y)
         out[d] = (len(b), sum(gone), runs, hashlib.sha256(kept).hexdigest())
     return out
