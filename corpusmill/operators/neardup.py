@@ -24,27 +24,29 @@ def hamming(a: Column, b: Column) -> Column:
     return F.bit_count(a.bitwiseXOR(b))
 
 
+def code_classes(df: DataFrame, key: str, code: str) -> DataFrame:
+    """(key, class): the smallest key with the same code; a null code is in no class."""
+    least = df.groupBy(code).agg(F.min(key).alias("class"))
+    return df.filter(F.col(code).isNotNull()).join(least, code).select(key, "class")
+
+
 def near_pairs(df: DataFrame, key: str, code: str, most: int = 5, bands: int = BANDS) -> DataFrame:
-    """(a, b, distance) with a < b and at most `most` unlike bits.
+    """(a, b, distance) with a < b: classes of unlike codes with at most `most` unlike bits, by their smallest keys.
 
-    Codes within `most` bits agree on one of most + 1 bands at least, so pairs are sought by band; equal codes meet as
-    one. A pair that agrees on several bands is kept at its first.
+    Rows with equal codes are one class, see code_classes(), so a group of copies stands in no pair with itself. Codes
+    within `most` bits agree on one of most + 1 bands at least, so pairs are sought by band, and kept at the first band
+    on which they agree.
     """
     if bands <= most:
         raise ValueError("there must be more bands than unlike bits")
     width = -(-64 // bands)
-    codes = df.select(F.col(code).alias("c")).filter("c IS NOT NULL").distinct()
+    codes = df.filter(F.col(code).isNotNull()).groupBy(F.col(code).alias("c")).agg(F.min(key).alias("i"))
     cut = lambda c: [F.shiftrightunsigned(c, i * width).bitwiseAND((1 << width) - 1) for i in range(bands)]
-    banded = codes.select("c", F.posexplode(F.array(*cut(F.col("c")))).alias("band", "v"))
-    other = banded.select(F.col("c").alias("d"), "band", "v")
-    met = banded.join(other, ["band", "v"]).filter((F.col("c") < F.col("d")) & (hamming(F.col("c"), F.col("d")) <= most))
+    banded = codes.select("c", "i", F.posexplode(F.array(*cut(F.col("c")))).alias("band", "v"))
+    other = banded.select(F.col("c").alias("d"), F.col("i").alias("j"), "band", "v")
+    met = banded.join(other, ["band", "v"]).filter((F.col("i") < F.col("j")) & (hamming(F.col("c"), F.col("d")) <= most))
     first = F.array_position(F.zip_with(F.array(*cut(F.col("c"))), F.array(*cut(F.col("d"))), lambda x, y: x == y), True) - 1
-    codes = met.filter(F.col("band") == first).select("c", "d")
-    rows = df.select(F.col(key).alias("k"), F.col(code).alias("x"))
-    left, right = rows.select(F.col("k").alias("i"), F.col("x").alias("c")), rows.select(F.col("k").alias("j"), F.col("x").alias("d"))
-    unlike = codes.join(left, "c").join(right, "d").select(F.least("i", "j").alias("a"), F.greatest("i", "j").alias("b"), hamming(F.col("c"), F.col("d")).alias("distance"))
-    alike = left.join(right, F.col("c") == F.col("d")).filter("i < j").select(F.col("i").alias("a"), F.col("j").alias("b"), F.lit(0).alias("distance"))
-    return unlike.union(alike)
+    return met.filter(F.col("band") == first).select(F.col("i").alias("a"), F.col("j").alias("b"), hamming(F.col("c"), F.col("d")).alias("distance"))
 
 
 def keep_greedy(items: DataFrame, group: str, order: str, code: str, most: int = 5) -> DataFrame:

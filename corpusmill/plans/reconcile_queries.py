@@ -238,6 +238,11 @@ def near_duplicate_vectors(spark, sf):
     return neardup.near_pairs(codes, "vec_id", "code", 5)
 
 
+def near_duplicate_classes(spark, sf):
+    codes = table(spark, sf, "embeddings").select("vec_id", neardup.sign_hash("embedding").alias("code"))
+    return neardup.code_classes(codes, "vec_id", "code")
+
+
 def near_duplicates_kept(spark, sf):
     codes = table(spark, sf, "embeddings").select("label", "vec_id", neardup.sign_hash("embedding").alias("code"))
     return neardup.keep_greedy(codes, "label", "vec_id", "code", 12)
@@ -295,7 +300,8 @@ PLANS = {
       SELECT p AS paper_id, coalesce(string_agg(CAST(n AS VARCHAR), ',' ORDER BY n) FILTER (a AND b), '') AS valid, coalesce(string_agg(CAST(n AS VARCHAR), ',' ORDER BY n) FILTER (a AND NOT b), '') AS missing, coalesce(string_agg(CAST(n AS VARCHAR), ',' ORDER BY n) FILTER (NOT a AND b), '') AS extra FROM j GROUP BY p"""),
     "union_ids": (union_ids, "SELECT doc_id AS id FROM documents UNION SELECT o_orderkey FROM orders"),
     "pending_split": (pending_split, "SELECT doc_id AS id FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)"),
-    "near_duplicate_vectors": (near_duplicate_vectors, """WITH h AS (SELECT vec_id, list_reduce(list_transform(embedding[1:64], lambda x: CASE WHEN x > 0 THEN '1' ELSE '0' END), lambda a, b: a || b)::BIT AS code FROM embeddings)
+    "near_duplicate_classes": (near_duplicate_classes, "WITH h AS (SELECT vec_id, list_transform(embedding[1:64], lambda x: x > 0) AS code FROM embeddings) SELECT vec_id, min(vec_id) OVER (PARTITION BY code) AS class FROM h"),
+    "near_duplicate_vectors": (near_duplicate_vectors, """WITH h AS (SELECT min(vec_id) AS vec_id, code FROM (SELECT vec_id, list_reduce(list_transform(embedding[1:64], lambda x: CASE WHEN x > 0 THEN '1' ELSE '0' END), lambda a, b: a || b)::BIT AS code FROM embeddings) GROUP BY code)
       SELECT a.vec_id AS a, b.vec_id AS b, CAST(bit_count(xor(a.code, b.code)) AS INT) AS distance FROM h a JOIN h b ON a.vec_id < b.vec_id WHERE bit_count(xor(a.code, b.code)) <= 5"""),
     "near_duplicates_kept": (near_duplicates_kept, None),
     "best_matches": (best_matches, None),

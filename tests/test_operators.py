@@ -327,7 +327,10 @@ def test_banded_pairs_match_all_pairs(spark):
     signed = [c - (1 << 64) if c >> 63 else c for c in codes]
     df = spark.createDataFrame(list(enumerate(signed)), "id int, code long")
     got = {tuple(r) for r in neardup.near_pairs(df, "id", "code", 5).collect()}
-    assert got == {(i, j, d) for i in range(90) for j in range(i + 1, 90) if (d := bin(codes[i] ^ codes[j]).count("1")) <= 5}
+    least = {c: codes.index(c) for c in codes}
+    assert got == {(i, j, d) for i in least.values() for j in least.values() if i < j and (d := bin(codes[i] ^ codes[j]).count("1")) <= 5}
+    classes = dict(map(tuple, neardup.code_classes(df, "id", "code").collect()))
+    assert classes == {i: least[c] for i, c in enumerate(codes)}
     assert "CartesianProduct" not in neardup.near_pairs(df, "id", "code", 5)._jdf.queryExecution().toString()
 
 
