@@ -29,7 +29,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corpusmill.llm.shared import connected_components, id_or_least, materialize, only_ids, without_least
+from corpusmill.llm.shared import connected_components, id_or_least, materialize, only_ids, small_or_dealt, without_least
 
 WORDS, PERCENT = 5, 80
 HEAVY_TOKENS = 1_000_000  # order 1 ranks at most so many common tokens (16 MB); the order matters for speed only
@@ -196,5 +196,6 @@ def keep_one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     """docs without near copies: of each component, the document with the smallest id stays; rows without id stay."""
     joined = materialize(join_components(docs, id_col, text_col, words, percent), "joined")
     dropped = joined.filter(F.col(id_col) != F.col("component_id")).select(F.col(id_col).alias("__gone")).distinct()
+    dropped = small_or_dealt(materialize(dropped, "dropped"))
     whole = docs.join(dropped, docs[id_col] == F.col("__gone"), "left_anti")
     return whole.select(*docs.columns)

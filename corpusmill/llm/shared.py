@@ -95,8 +95,12 @@ BROADCAST_IDS = 500_000  # 8 bytes each; more ids than this meet their rows by a
 
 def only_ids(rows: DataFrame, ids: DataFrame, col: str) -> DataFrame:
     """The rows whose `col` is in ids (a distinct, written table of that column), without a shuffle where ids are few."""
-    few = ids.count() <= BROADCAST_IDS
-    return rows.join(F.broadcast(ids) if few else ids, col, "left_semi")
+    return rows.join(small_or_dealt(ids), col, "left_semi")
+
+
+def small_or_dealt(table: DataFrame) -> DataFrame:
+    """A written table of a few numbers a row, to be broadcast if it has at most BROADCAST_IDS rows."""
+    return F.broadcast(table) if table.count() <= BROADCAST_IDS else table
 
 
 _NO_ID = -(2**63)  # stands for a null id inside Python tasks, where nulls would turn ids into floats
