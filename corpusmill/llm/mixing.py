@@ -86,14 +86,15 @@ def phases(blocks: dict[str, int], parts: dict[str, int]) -> Iterator[tuple[list
 
 def schedule(
     docs: DataFrame, weights: dict[str, float] | None = None, id_col: str = "doc_id", source_col: str = "source",
-    block_rows: int = BLOCK_ROWS, default_weight: float = 1.0,
+    block_rows: int = BLOCK_ROWS, default_weight: float = 1.0, row_col: str | None = None,
 ) -> DataFrame:
     """(__row, id_col, source_col, block, slot, release, deadline, position), one row per document.
 
-    position is gapless; __row numbers docs' rows as monotonically_increasing_id() does.
+    position is gapless; __row is row_col, a number that docs' rows hold (see numbered()); None: numbers of its own.
     """
     spark = docs.sparkSession
-    rows = docs.select(F.monotonically_increasing_id().alias("__row"), F.col(id_col).alias("__id"), F.col(source_col).alias("__source"))
+    number = F.monotonically_increasing_id() if row_col is None else F.col(row_col)
+    rows = docs.select(number.alias("__row"), F.col(id_col).alias("__id"), F.col(source_col).alias("__source"))
     rows = rows.withColumn("__name", F.coalesce(F.col("__source").cast("string"), F.lit(NULL_SOURCE)))
     ranked = globally_ranked(rows, [F.col("__name"), F.xxhash64("__id"), F.col("__id"), F.col("__row")], "__rank", "sources")
     ranked = materialize(ranked, "ranks")

@@ -29,6 +29,14 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def numbered(df: DataFrame, label: str, row: str = "__row") -> DataFrame:
+    """df, written with a number for each row.
+
+    A later scan may cut the same files into other partitions and so give other numbers: they are only read, never made twice.
+    """
+    return materialize(df.withColumn(row, F.monotonically_increasing_id()), label)
+
+
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
