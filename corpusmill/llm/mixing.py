@@ -4,10 +4,10 @@ Each source's documents are cut into blocks. With share w, block j of a source m
 be placed before slot (j + 1) / w; earliest-deadline-first among the blocks that may start is a Pfair schedule: at every
 slot each source has had its share to within less than one block.
 
-Weights are whole parts of a cycle of slots, and such a schedule repeats with the cycle, so one cycle's pattern is
-laid out and every block finds its slot by division. When a source runs out, the cycle ends there and the others go
-on with their weights rescaled: nothing is dropped or repeated. The
-driver holds a count and a weight a source, and the patterns: at most two a source.
+Shares are exact: a weight is the fraction that its float is, and windows are whole-number divisions, so the deviation
+stays below one block of the weights themselves however long the sources last. When a source runs out, the others go
+on from there with their weights rescaled: nothing is dropped or repeated. One task lays the blocks out in turn and
+holds the next block of each source; the driver holds a count and a weight a source.
 
 Defined cases: a null source is a source of its own; sources without a weight get `default_weight` (with no weights
 at all, weights are the square roots of the sources' row counts); weights must be positive; a source's order is
@@ -17,71 +17,70 @@ by a hash of the id, then the id; repeated rows are separate rows; an empty tabl
 from __future__ import annotations
 
 import heapq
-from collections import Counter
 from collections.abc import Iterator
+from fractions import Fraction
+from itertools import islice
+from math import lcm
 
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from corpusmill.llm.shared import globally_ranked, materialize, shuffle_partitions, small_or_dealt
 
 BLOCK_ROWS = 16
-CYCLE = 1024
+CHUNK = 100_000
 NULL_SOURCE = "\0null"
+_LAST = 2**63 - 1  # a deadline beyond it is none
 
 
-def whole_parts(weights: dict[str, float], cycle: int = CYCLE) -> dict[str, int]:
-    """Parts of a cycle by largest remainder, at least one for each source."""
-    if any(w <= 0 for w in weights.values()):
+def whole_parts(weights: dict[str, float]) -> dict[str, int]:
+    """Whole numbers in exactly the proportions of the weights."""
+    if not all(0 < w < float("inf") for w in weights.values()):
         raise ValueError("weights must be positive")
-    cycle, total = max(cycle, 4 * len(weights)), sum(weights.values())
-    exact = {s: w / total * cycle for s, w in weights.items()}
-    parts = {s: max(1, int(x)) for s, x in exact.items()}
-    for s in sorted(exact, key=lambda s: (int(exact[s]) - exact[s], s))[: max(0, cycle - sum(parts.values()))]:
-        parts[s] += 1
-    return parts
+    exact = {s: Fraction(w) for s, w in weights.items()}
+    scale = lcm(*(x.denominator for x in exact.values()))
+    return {s: int(x * scale) for s, x in exact.items()}
 
 
-def edf_cycle(parts: dict[str, int]) -> list[tuple[str, int, int, int, int]]:
-    """(source, block, slot, release, deadline) of one cycle by earliest deadline first, ties by source."""
+def edf(parts: dict[str, int]) -> Iterator[tuple[str, int, int, int, int]]:
+    """(source, block, slot, release, deadline) by earliest deadline first, ties by source, without end."""
     length = sum(parts.values())
-    waiting = sorted((j * length // p, -(-(j + 1) * length // p), s, j) for s, p in parts.items() for j in range(p))
-    ready: list[tuple[int, str, int, int]] = []
-    out, k = [], 0
-    for slot in range(length):
-        while k < length and waiting[k][0] <= slot:
-            release, deadline, s, j = waiting[k]
-            heapq.heappush(ready, (deadline, s, j, release))
-            k += 1
+    # a source's next deadline is always after its last, so its next block is all that has to wait
+    waiting: list[tuple[int, str, int]] = []
+    ready = [(-(-length // p), s, 0, 0) for s, p in parts.items()]
+    heapq.heapify(ready)
+    slot = 0
+    while True:
+        while waiting and waiting[0][0] <= slot:
+            release, s, j = heapq.heappop(waiting)
+            heapq.heappush(ready, (-(-(j + 1) * length // parts[s]), s, j, release))
         deadline, s, j, release = heapq.heappop(ready)
-        out.append((s, j, slot, release, deadline))
-    return out
+        yield s, j, slot, release, deadline
+        heapq.heappush(waiting, ((j + 1) * length // parts[s], s, j + 1))
+        slot += 1
+
+
+def edf_cycle(parts: dict[str, int]) -> list[tuple[str, int, int, int, int]]:
+    """The slots after which edf() repeats itself."""
+    return list(islice(edf(parts), sum(parts.values())))
 
 
-def phases(blocks: dict[str, int], parts: dict[str, int]) -> Iterator[tuple[list[tuple[str, int, int, int, int]], dict[str, int], int, int]]:
-    """(cycle, first block of each source, first slot, repetitions) until all blocks are placed.
+def layout(blocks: dict[str, int], parts: dict[str, int]) -> Iterator[tuple[str, int, int, int, int]]:
+    """(source, block, slot, release, deadline) of all blocks.
 
-    The cycle of the sources that are left is repeated while all of them fill it, then followed up to the slot whose
-    source has nothing left; that source leaves and the rest go on with a cycle of their own.
+    Slots are filled up to the one whose source has nothing left; that source leaves and the rest go on with a schedule of
+    their own.
     """
-    left, slot = dict(blocks), 0
+    left, base = dict(blocks), 0
     while left := {s: n for s, n in left.items() if n}:
-        own = {s: parts[s] for s in left}
-        laid = edf_cycle(own)
-        cycles = min(n // own[s] for s, n in left.items())
-        if cycles:
-            yield laid, {s: blocks[s] - left[s] for s in left}, slot, cycles
-            slot += cycles * len(laid)
-            left = {s: n - cycles * own[s] for s, n in left.items()}
-        first, begun = {s: blocks[s] - n for s, n in left.items()}, []
-        for entry in laid:
-            if not left[entry[0]]:
+        first, slot = {s: blocks[s] - n for s, n in left.items()}, 0
+        for s, j, slot, release, deadline in edf({s: parts[s] for s in left}):
+            if not left[s]:
                 break
-            left[entry[0]] -= 1
-            begun.append(entry)
-        if begun:
-            yield begun, first, slot, 1
-            slot += len(begun)
+            left[s] -= 1
+            yield s, first[s] + j, base + slot, base + release, base + deadline
+        base += slot
 
 
 def schedule(
@@ -104,35 +103,30 @@ def schedule(
     else:
         own = {s: weights.get(s, default_weight) for s in counts}
     parts = whole_parts(own) if own else {}
-    blocks = {s: -(-n // block_rows) for s, (n, _) in counts.items()}
-    plan, pattern, short = [], [], []
-    for k, (laid, first, slot, times) in enumerate(phases(blocks, parts)):
-        length, now = len(laid), Counter(entry[0] for entry in laid)
-        for s, p in now.items():
-            plan.append((s, counts[s][1], k, first[s], first[s] + p * times, p, slot, length))
-        pattern += [(k, s, j, at, release, deadline) for s, j, at, release, deadline in laid]
-        last = slot + (times - 1) * length
-        for s, j, at, _, _ in laid:  # the last block of a source may not be full
-            if first[s] + (times - 1) * now[s] + j == blocks[s] - 1 and counts[s][0] % block_rows:
-                short.append((last + at, block_rows - counts[s][0] % block_rows))
-    plan_df = spark.createDataFrame(plan, "__name string, __first long, __phase int, __from long, __to long, __parts long, __base long, __length long")
-    pattern_df = spark.createDataFrame(pattern, "__phase int, __name string, __j long, __at long, __release long, __deadline long")
-    short_df = spark.createDataFrame([(short,)], "__short array<struct<slot: long, missing: long>>")
-    starts = F.broadcast(plan_df.select("__name", "__first").distinct())
+    names = sorted(counts)
+    sizes = [counts[s][0] for s in names]
+    blocks = {k: -(-n // block_rows) for k, n in enumerate(sizes)}
+    shares = {k: parts[s] for k, s in enumerate(names)}
+
+    def lay(batches):
+        for _ in batches:
+            start, slots = 0, layout(blocks, shares)
+            while chunk := list(islice(slots, CHUNK)):
+                rows = []
+                for k, block, slot, release, deadline in chunk:
+                    rows.append((k, block, slot, release, min(deadline, _LAST), start))
+                    start += min(block_rows, sizes[k] - block * block_rows)  # the last block of a source may not be full
+                yield pd.DataFrame(rows, columns=["__k", "block", "slot", "release", "deadline", "__start"])
+
+    laid = spark.range(0, 1, 1, 1).mapInPandas(lay, "__k int, block long, slot long, release long, deadline long, __start long")
+    laid = small_or_dealt(materialize(laid, "layout"))
+    firsts = [(s, k, counts[s][1]) for k, s in enumerate(names)]
+    starts = F.broadcast(spark.createDataFrame(firsts, "__name string, __k int, __first long"))  # a row a source
     out = ranked.join(starts, "__name").withColumn("__in", F.col("__rank") - F.col("__first"))
-    out = out.withColumn("block", F.floor(F.col("__in") / block_rows)).drop("__first")
-    held = F.broadcast(plan_df.drop("__first"))
-    out = out.join(held, "__name").filter("block >= __from AND block < __to")
-    out = out.withColumn("__j", (F.col("block") - F.col("__from")) % F.col("__parts"))
-    out = out.withColumn("__cycle", F.floor((F.col("block") - F.col("__from")) / F.col("__parts")))
-    out = out.join(F.broadcast(pattern_df), ["__phase", "__name", "__j"]).crossJoin(F.broadcast(short_df))  # one row
-    start = F.col("__base") + F.col("__cycle") * F.col("__length")
-    out = out.withColumn("slot", start + F.col("__at"))
-    missing = F.aggregate("__short", F.lit(0).cast("long"), lambda a, x: a + F.when(x["slot"] < F.col("slot"), x["missing"]).otherwise(F.lit(0).cast("long")))
+    out = out.withColumn("block", F.expr(f"__in div {int(block_rows)}")).join(laid, ["__k", "block"])
     return out.select(
-        "__row", F.col("__id").alias(id_col), F.col("__source").alias(source_col), "block", "slot",
-        (start + F.col("__release")).alias("release"), (start + F.col("__deadline")).alias("deadline"),
-        (F.col("slot") * block_rows + F.col("__in") % block_rows - missing).alias("position"),
+        "__row", F.col("__id").alias(id_col), F.col("__source").alias(source_col), "block", "slot", "release", "deadline",
+        (F.col("__start") + F.col("__in") % block_rows).alias("position"),
     )
 
 

@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 import hashlib
+import itertools
 import math
 import random
 import re
+from fractions import Fraction
 
 import numpy as np
 import pytest
@@ -261,6 +263,29 @@ def test_edf_cycle_stays_within_one_block():
             assert all(abs(placed[x] - parts[x] * (slot + 1) / total) < 1 for x in parts)
 
 
+def test_long_schedules_keep_the_weights_themselves():
+    weights = {f"s{i:02}": 1.0 for i in range(20)} | {"tiny": 1e-4, "third": 1 / 3}
+    sizes, total = dict.fromkeys(weights, 10**9), sum(map(Fraction, weights.values()))
+    share = {s: Fraction(w) / total for s, w in weights.items()}
+    placed = dict.fromkeys(weights, 0)
+    laid = mixing.layout(sizes, mixing.whole_parts(weights))
+    for slot, (s, j, at, release, deadline) in enumerate(itertools.islice(laid, 150_000)):
+        assert j == placed[s] and at == slot and release <= slot < deadline
+        assert release == math.floor(j / share[s]) and deadline == math.ceil((j + 1) / share[s])
+        placed[s] += 1
+        if slot % 997 == 0 or slot > 149_900:
+            assert all(abs(placed[x] - share[x] * (slot + 1)) < 1 for x in weights)
+
+
+def test_sources_that_run_out_leave_the_rest_to_their_weights():
+    sizes, weights = {"a": 500, "b": 3, "c": 40}, {"a": 0.2, "b": 0.5, "c": 0.1}
+    laid = list(mixing.layout(sizes, mixing.whole_parts(weights)))
+    assert [x[2] for x in laid] == list(range(543))
+    assert all([x[1] for x in laid if x[0] == s] == list(range(n)) for s, n in sizes.items())
+    left = [x[0] for x in laid[10:100]]
+    assert abs(left.count("a") - 60) <= 2  # a and c go on two to one
+
+
 def test_mixing_places_every_row_once(spark):
     sizes = {"a": 700, "b": 90, "c": 33, None: 5}
     rows, i = [], 0
