@@ -371,6 +371,30 @@ def test_rare_and_short_lines_stay(spark):
     assert sorted(r["text"] for r in got) == sorted(texts)
 
 
+def test_long_lines_of_two_documents_go_after_the_first(spark):
+    rng = random.Random(31)
+    long, passage = words(rng, 8, 9999), words(rng, 60, 9999)
+    texts = [f"one\n{long}", f"{passage}\ntwo", f"{long}\nthree\n{long}", f"four\n{passage}", f"{words(rng, 8, 9999)}\nfive"]
+    got = {r["doc_id"]: r for r in line_dedup.dedup_lines(docs_of(spark, texts), dropped_col="n").collect()}
+    assert [got[i]["text"] for i in range(5)] == [texts[0], texts[1], "three", "four", texts[4]]
+    assert [got[i]["n"] for i in range(5)] == [0, 0, 2, 1, 0]
+
+
+def test_a_template_is_caught_in_a_hot_leaf(spark):
+    rng = random.Random(32)
+    texts = [f"this page is a leaf of the edition number x{i} set y{i}" for i in range(40)]
+    texts += ["this page is " + words(rng, 9, 10**6) for _ in range(2000)]  # the template is 2% of its leaf
+    got = {r["doc_id"]: r["text"] for r in line_dedup.dedup_lines(docs_of(spark, texts)).collect()}
+    assert got[0] == texts[0] and all(got[i] == "" for i in range(1, 40))
+    assert all(got[i] == texts[i] for i in range(40, len(texts)))
+
+
+def test_short_lines_need_more_than_their_first_tokens(spark):
+    texts = [f"this is the w{i}" for i in range(20)] + [f"here we see v{i} x{i}" for i in range(20)]
+    got = line_dedup.dedup_lines(docs_of(spark, texts)).collect()
+    assert sorted(r["text"] for r in got) == sorted(texts)
+
+
 def test_line_dedup_of_odd_and_empty_tables(spark):
     odd = odd_docs(spark)
     assert line_dedup.dedup_lines(odd).columns == odd.columns
