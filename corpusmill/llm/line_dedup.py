@@ -24,7 +24,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from corpusmill.llm.shared import materialize, only_ids
+from corpusmill.llm.shared import materialize, numbered, only_ids
 
 DEPTH = 3
 MIN_TOKENS = 4
@@ -59,10 +59,10 @@ def _codes(line: Column) -> Column:
 def dropped_lines(docs: DataFrame, id_col: str, text_col: str, min_docs: int = MIN_DOCS) -> DataFrame:
     """(__row, __drop): the 0-based places of the lines to drop, for rows that have any.
 
-    __row numbers docs' rows as monotonically_increasing_id() does. Texts are read once for the leaves and once for
+    __row is a number that docs' rows hold, see numbered(). Texts are read once for the leaves and once for
     one copy of each line in a busy leaf; all between is hashes.
     """
-    rows = docs.select(F.monotonically_increasing_id().alias("__row"), F.col(id_col).alias("__id"), F.split(text_col, "\n").alias("__lines"))
+    rows = docs.select("__row", F.col(id_col).alias("__id"), F.split(text_col, "\n").alias("__lines"))
     places = rows.select("__row", "__id", F.posexplode("__lines").alias("pos", "line")).withColumn("line", _plain(F.col("line")))
     long = _tokens(F.col("line")) >= LONG_TOKENS
     places = places.select("__row", "__id", "pos", _leaf(F.col("line")).alias("leaf"), F.xxhash64("line").alias("line_id"), long.alias("long"))
@@ -105,12 +105,13 @@ def dedup_lines(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_docs: int = MIN_DOCS, dropped_col: str | None = None
 ) -> DataFrame:
     """docs with recurring templates' lines and repeated long lines taken out of text_col; dropped_col: a column for how many, if named."""
+    docs, columns = numbered(docs, "rows"), docs.columns
     # the places to drop grow with the texts: both sides are always dealt, never one broadcast
     drops = materialize(dropped_lines(docs, id_col, text_col, min_docs), "drops").hint("merge")
-    whole = docs.withColumn("__row", F.monotonically_increasing_id()).join(drops, "__row", "left")
+    whole = docs.join(drops, "__row", "left")
     kept = F.filter(F.split(text_col, "\n"), lambda l, i: ~F.array_contains("__drop", i))
     text = F.when(F.col("__drop").isNull(), F.col(text_col)).otherwise(F.array_join(kept, "\n"))
-    columns = [text.alias(c) if c == text_col else F.col(c) for c in docs.columns if c != dropped_col]
+    columns = [text.alias(c) if c == text_col else F.col(c) for c in columns if c != dropped_col]
     if dropped_col:
         columns.append(F.coalesce(F.size("__drop"), F.lit(0)).cast("long").alias(dropped_col))
     return whole.select(*columns)

@@ -26,7 +26,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corpusmill.llm.shared import globally_ranked, materialize, shuffle_partitions, small_or_dealt
+from corpusmill.llm.shared import globally_ranked, materialize, numbered, shuffle_partitions, small_or_dealt
 
 BLOCK_ROWS = 16
 CHUNK = 100_000
@@ -132,7 +132,8 @@ def schedule(
 
 def mixed(docs: DataFrame, weights: dict[str, float] | None = None, id_col: str = "doc_id", source_col: str = "source", block_rows: int = BLOCK_ROWS) -> DataFrame:
     """docs in the schedule's order: partitions are ranges of positions, and rows are sorted inside them."""
-    places = materialize(schedule(docs, weights, id_col, source_col, block_rows).select("__row", F.col("position").alias("__position")), "places")
-    whole = docs.withColumn("__row", F.monotonically_increasing_id()).join(small_or_dealt(places), "__row")
+    rows = numbered(docs, "rows")
+    places = schedule(rows, weights, id_col, source_col, block_rows, row_col="__row").select("__row", F.col("position").alias("__position"))
+    whole = rows.join(small_or_dealt(materialize(places, "places")), "__row")
     whole = whole.repartitionByRange(shuffle_partitions(docs.sparkSession), "__position").sortWithinPartitions("__position")
     return whole.select(*docs.columns)

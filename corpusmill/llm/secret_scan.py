@@ -24,7 +24,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from corpusmill.llm.shared import materialize
+from corpusmill.llm.shared import materialize, numbered
 
 # fixed values: the patterns of the base kinds and the least lengths
 ASSIGN = r"""(?i)(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
@@ -145,9 +145,7 @@ def random_tokens(docs: DataFrame, row: str, text: str, fdr: float = FDR) -> Dat
 
 def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document: counts of the base kinds, the hash of its base spans, and all spans."""
-    rows = docs.select(
-        F.monotonically_increasing_id().alias("__row"), F.col(id_col).alias("__id"), F.coalesce(text_col, F.lit("")).alias("__text")
-    )
+    rows = numbered(docs.select(F.col(id_col).alias("__id"), F.coalesce(text_col, F.lit("")).alias("__text")), "rows")
     base = materialize(base_spans(rows, "__row", "__text").select("__row", "kind", "start", "end"), "base")
     extra = random_tokens(rows, "__row", "__text")
     overlap = base.select(F.col("__row").alias("r"), F.col("start").alias("s"), F.col("end").alias("e"))

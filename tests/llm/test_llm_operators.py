@@ -11,8 +11,10 @@ from fractions import Fraction
 
 import numpy as np
 import pytest
+from pyspark.sql import DataFrameWriter
 from pyspark.sql import functions as F
 
+import corpus_pipeline
 from corpusmill.llm import (
     collision_ann,
     imatch,
@@ -57,6 +59,36 @@ def test_ranks_are_gapless(spark):
     assert [r["at"] for r in sorted(rows, key=lambda r: (r["k"], r["id"]))] == list(range(500))
 
 
+@pytest.mark.parametrize("name", ["lines", "secrets", "mixed", "tokens"])
+def test_rows_keep_their_numbers_when_scans_are_cut_otherwise(spark, tmp_path, monkeypatch, name):
+    rng = random.Random(33)
+    page = "the same long line stands in two of the documents"
+    texts = [f"{words(rng, 300)}\n{page if i in (7, 31) else words(rng, 9)}\nkey = AKIA{i:016}" for i in range(40)]
+    rows = [(i, t, "en", f"s{i % 3}", len(t)) for i, t in enumerate(texts)]
+    spark.createDataFrame(rows, DOCS).repartition(8).write.parquet(str(tmp_path / "docs"))
+    run = {
+        "lines": line_dedup.dedup_lines,
+        "secrets": secret_scan.scan,
+        "mixed": mixing.mixed,
+        "tokens": lambda docs: corpus_pipeline.tokens(spark, docs, ""),
+    }[name]
+    read = lambda: sorted(map(str, run(spark.read.parquet(str(tmp_path / "docs"))).collect()))
+    want = read()
+    kept, write = spark.conf.get("spark.sql.files.maxPartitionBytes"), DataFrameWriter.parquet
+
+    def cut_anew(self, path, *args, **kwargs):  # as when executors come or go between jobs
+        write(self, path, *args, **kwargs)
+        spark.conf.set("spark.sql.files.maxPartitionBytes", "1024")
+
+    spark.conf.set("spark.sql.files.openCostInBytes", "1")
+    monkeypatch.setattr(DataFrameWriter, "parquet", cut_anew)
+    try:
+        assert read() == want
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", kept)
+        spark.conf.unset("spark.sql.files.openCostInBytes")
+
+
 def test_components_of_chains_stars_and_nothing(spark):
     edges = [(i, i + 1) for i in range(40)] + [(100, x) for x in range(101, 160)] + [(7, 7)]
     got = dict(connected_components(spark.createDataFrame(edges, "a long, b long"), "a", "b", "t").collect())
