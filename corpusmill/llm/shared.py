@@ -5,6 +5,7 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+from weakref import WeakKeyDictionary
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -13,10 +14,19 @@ from pyspark.sql import types as T
 _ROW_BITS = 33  # monotonically_increasing_id keeps the row's place in its partition in the low 33 bits
 
 
+_folders: WeakKeyDictionary[DataFrame, str] = WeakKeyDictionary()  # of the tables that materialize() wrote
+
+
 def scratch_root(spark: SparkSession) -> str:
-    """The shared folder that the session names in spark.checkpoint.dir; one of our own only where it is unset."""
+    """The shared folder that the session names in spark.checkpoint.dir.
+
+    Where it is unset a folder of this machine serves a local session; on a cluster executors couldn't read each other's
+    files there, so that raises.
+    """
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         found = os.path.join(tempfile.gettempdir(), "corpusmill-scratch")
     return found.rstrip("/")
 
@@ -26,7 +36,19 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{scratch_root(spark)}/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    table = spark.read.schema(df.schema).parquet(path)
+    _folders[table] = path
+    return table
+
+
+def discard(*tables: DataFrame | None) -> None:
+    """Delete written tables that nothing reads any more: what was made of them has been written itself."""
+    for table in tables:
+        path = _folders.pop(table, None) if table is not None else None
+        if path is not None:
+            spark = table.sparkSession
+            folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+            folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
 
 
 def numbered(df: DataFrame, label: str, row: str = "__row") -> DataFrame:
@@ -91,26 +113,59 @@ def connected_components(edges: DataFrame, a: str, b: str, label: str) -> DataFr
         small = low.join(down, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).union(
             down.select("u", F.col("m").alias("v"))
         )
-        current = materialize(small.filter("u != v").distinct(), label)
+        before, current = current, materialize(small.filter("u != v").distinct(), label)
+        discard(before)
         now = summary(current)
         if now == seen:
-            return current.groupBy(F.col("u").alias("node")).agg(F.min("v").alias("component"))
+            out = materialize(current.groupBy(F.col("u").alias("node")).agg(F.min("v").alias("component")), label)
+            discard(current)
+            return out
         seen = now
 
 
 BROADCAST_IDS = 500_000  # 8 bytes each; more ids than this meet their rows by a shuffle
 
 
-def only_ids(rows: DataFrame, ids: DataFrame, col: str) -> DataFrame:
-    """The rows whose `col` is in ids (a distinct, written table of that column), without a shuffle where ids are few."""
-    return rows.join(small_or_dealt(ids), col, "left_semi")
-
-
 def small_or_dealt(table: DataFrame) -> DataFrame:
     """A written table of a few numbers a row, to be broadcast if it has at most BROADCAST_IDS rows."""
     return F.broadcast(table) if table.count() <= BROADCAST_IDS else table
 
 
+ID_BITS = 1 << 26  # bits of id_bits(): 8 MB at most, whatever the number of ids
+_PAGE = 1 << 15  # of bitmap_construct_agg
+
+
+def id_bits(ids: DataFrame, col: str) -> DataFrame:
+    """(page, bits): the ids' hashes as pages of a bitmap, a bounded table that may be broadcast."""
+    cell = F.pmod(F.xxhash64(F.col(col)), F.lit(ID_BITS))
+    pages = ids.select(F.expr(f"{_PAGE}").alias("__size"), cell.alias("__cell"))
+    pages = pages.groupBy(F.expr("__cell div __size").alias("__page")).agg(F.bitmap_construct_agg(F.col("__cell") % F.col("__size")).alias("__bits"))
+    return F.broadcast(pages)
+
+
+def _marked(rows: DataFrame, ids: DataFrame, col: str) -> DataFrame:
+    """rows with `__maybe`: whether the bitmap of ids holds the hash of `col`."""
+    rows = rows.withColumn("__cell", F.pmod(F.xxhash64(F.col(col)), F.lit(ID_BITS))).withColumn("__page", F.expr(f"__cell div {_PAGE}"))
+    byte = F.conv(F.hex(F.expr(f"substring(__bits, cast((__cell % {_PAGE}) div 8 + 1 as int), 1)")), 16, 10).cast("int")
+    bit = F.expr("cast(1 as int) << cast(__cell % 8 as int)")
+    held = F.coalesce(byte.bitwiseAND(bit) != 0, F.lit(False))
+    return rows.join(id_bits(ids, col), "__page", "left").withColumn("__maybe", held).drop("__cell", "__page", "__bits")
+
+
+def only_ids(rows: DataFrame, ids: DataFrame, col: str) -> DataFrame:
+    """The rows whose `col` is in ids (a distinct, written table of that column).
+
+    Rows that a broadcast bitmap of the ids' hashes rules out aren't dealt: only the others meet the ids by a shuffle.
+    """
+    return _marked(rows, ids, col).filter("__maybe").drop("__maybe").join(ids, col, "left_semi")
+
+
+def without_ids(rows: DataFrame, ids: DataFrame, col: str) -> DataFrame:
+    """The rows whose `col` isn't in ids, null included; dealt as in only_ids()."""
+    marked = _marked(rows, ids, col)
+    return marked.filter("NOT __maybe").unionByName(marked.filter("__maybe").join(ids, col, "left_anti")).drop("__maybe")
+
+
 _NO_ID = -(2**63)  # stands for a null id inside Python tasks, where nulls would turn ids into floats
 
 
