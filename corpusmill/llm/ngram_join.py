@@ -5,11 +5,12 @@ set and size, and meet once. Two sets of similarity t or more share a token amon
 under any order of all tokens; so they do under several orders at once.
 
   order 1   common tokens last, by a sketch of all documents' tokens whose size is fixed; the rest by hash. Its prefix tokens
-            are the buckets that make candidates: a pair is one where its first common token leaves enough tokens after it.
+            are the buckets that make candidates. A pair that may miss some of its tokens still shares the next ones, so
+            it must meet in up to `SPARE` + 1 buckets, or in one large one, and leave enough tokens after each.
   order 2,3 independent hashes. A candidate must share a prefix token under each.
 
-Before texts are fetched, a bitmap of the parity of each of `PARITY_BITS` hash cells bounds how unlike two sets are: the
-bits that differ are at most the tokens that only one of them has. Pairs that pass all filters are verified on whole texts.
+Before texts are fetched, a bitmap of the parity of hash cells, one or two cells a token, bounds how unlike two sets are: the bits
+that differ are at most the tokens that only one of them has. Pairs that pass all filters are verified on whole texts.
 
 Buckets are read as sorted streams, so no bucket is ever held whole. Small ones give their pairs there. In larger ones
 one pivot, then `PIVOTS`, are compared with all others and links are closed to components; what is then still open
@@ -54,7 +55,7 @@ SALTS = 16
 SMALL_BUCKET = 32
 PIVOTS = 8
 BLOCK = 1024
-PARITY_BITS = 1024
+SPARE = 3
 CHUNK_WORDS = 1 << 18
 DEALT_ROWS = 1 << 14  # about so many rows of blocks to a call
 
@@ -114,11 +115,18 @@ def prefix_length(size: int, percent: int) -> int:
 
 
 def parity(tokens: np.ndarray) -> np.ndarray:
-    """Which cells hold an odd number of tokens, as longs."""
-    odd = np.bincount((tokens % np.uint64(PARITY_BITS)).astype(np.int64), minlength=PARITY_BITS) & 1
+    """Which hash cells hold an odd number of tokens, as longs; the number of cells is the next power of two, 64 at least."""
+    cells = max(64, 1 << (len(tokens) - 1).bit_length())
+    odd = np.bincount((tokens % np.uint64(cells)).astype(np.int64), minlength=cells) & 1
     return np.packbits(odd.astype(np.uint8)).view(np.int64)
 
 
+def folded(bits: np.ndarray) -> np.ndarray:
+    """The bitmap of half as many cells (the last axis)."""
+    half = bits.shape[-1] // 2
+    return bits[..., :half] ^ bits[..., half:]
+
+
 def class_key(tokens: np.ndarray) -> int:
     """A signed 64-bit name of a set; sets of different sizes have independent names."""
     return xxhash.xxh3_64_intdigest(tokens.tobytes(), seed=len(tokens)) - (1 << 63)
@@ -189,13 +197,24 @@ def signatures(docs: DataFrame, sketch: np.ndarray, text_col: str, words: int, p
     return materialize(texts.mapInPandas(sign, made), "signatures")
 
 
+def meetings(n, other_n, percent: int):
+    """(tokens that two sets of these sizes must share, how many of the first of them are surely in both prefixes, SPARE + 1 at most).
+
+    If m tokens must be shared, the first 1 + s common ones are within the first |x| - m + 1 + s of each.
+    """
+    must = -(-percent * (n + other_n) // (100 + percent))
+    reach = [x - -(-percent * x // 100) + 1 - x + must for x in (n, other_n)]
+    return must, np.clip(np.minimum(*reach), 1, SPARE + 1)
+
+
 def leaves_enough(n, pos, other_n, other_pos, percent: int):
-    """Whether the tokens from the first common one on (at these positions) can be as many as the two sets must share.
+    """Whether a common token at these positions may be among the first ones that meetings() counts.
 
-    Holds for arrays; sizes are checked by it too, as no more than all tokens of the smaller set can be shared.
+    Sizes are checked by it too, as no more than all tokens of the smaller set can be shared.
     """
-    most = np.minimum(n - pos, other_n - other_pos)
-    return (100 + percent) * most >= percent * (n + other_n)
+    must, times = meetings(n, other_n, percent)
+    sizes = 100 * np.minimum(n, other_n) >= percent * np.maximum(n, other_n)
+    return sizes & (np.minimum(n - pos, other_n - other_pos) >= must - times + 1)
 
 
 def bucket_pairs(token: np.ndarray, n: np.ndarray, pos: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
@@ -213,7 +232,7 @@ def bucket_pairs(token: np.ndarray, n: np.ndarray, pos: np.ndarray, percent: int
 
 
 def buckets(signed: DataFrame, percent: int, small: int) -> DataFrame:
-    """(token, a, b, n, pos): pairs of small buckets (token null) and members of larger ones (b null)."""
+    """(token, a, b, n, pos, paired): pairs of small buckets, with n the buckets they must meet in, and members of larger ones."""
     salt = F.when(F.col("pos") >= F.col("cold"), 1 + F.pmod("key", F.lit(SALTS))).otherwise(0)
     entries = signed.select("key", "n", "cold", F.posexplode("p1").alias("pos", "token"))
     entries = entries.select("token", salt.cast("int").alias("salt"), "key", "n", "pos")
@@ -250,7 +269,8 @@ def buckets(signed: DataFrame, percent: int, small: int) -> DataFrame:
             rows = {c: x[~out] for c, x in rows.items()}
             i, j = bucket_pairs(rows["token"], rows["n"], rows["pos"], percent)
             a, b = rows["key"][i], rows["key"][j]
-            yield pd.DataFrame({"token": 0, "a": np.minimum(a, b), "b": np.maximum(a, b), "n": 0, "pos": 0, "paired": True})
+            times = meetings(rows["n"][i], rows["n"][j], percent)[1]
+            yield pd.DataFrame({"token": 0, "a": np.minimum(a, b), "b": np.maximum(a, b), "n": times, "pos": 0, "paired": True})
 
         for pdf in batches:
             yield from settled({c: np.r_[held[c], pdf[c].to_numpy(np.int64)] for c in names}, last=False)
@@ -259,6 +279,13 @@ def buckets(signed: DataFrame, percent: int, small: int) -> DataFrame:
     return entries.mapInPandas(meet, "token long, a long, b long, n int, pos int, paired boolean")
 
 
+def met_often(met: DataFrame) -> DataFrame:
+    """(a, b) of the pairs that meet in as many small buckets as they must. A pair with one of its first common tokens in a
+    larger bucket is found there."""
+    often = met.filter("paired").groupBy("a", "b").agg(F.count("*").alias("times"), F.first("n").alias("least"))
+    return often.filter("times >= least").select("a", "b")
+
+
 def sketches(signed: DataFrame, keys: DataFrame) -> DataFrame:
     """(key, s) of the classes in keys: what pairs are filtered by before texts."""
     found = only_ids(signed.select("key", F.struct("n", "p2", "p3", "parity").alias("s")), keys, "key")
@@ -275,7 +302,11 @@ def verified(pairs: DataFrame, signed: DataFrame, classes: DataFrame, docs: Data
     met = pairs
     for side in ("a", "b"):
         met = met.join(marks.select(F.col("key").alias(side), F.col("s").alias(f"s{side}")), side)
-    unlike = sum((F.expr(f"bit_count(sa.parity[{i}] ^ sb.parity[{i}])") for i in range(PARITY_BITS // 64)), F.lit(0))
+    # sizes are less than a factor of two apart, so bitmaps are folded once at most
+    half = lambda x, y: f"""if(size({x}) > size({y}), zip_with(slice({x}, 1, cast(size({x}) / 2 as int)),
+        slice({x}, cast(size({x}) / 2 as int) + 1, cast(size({x}) / 2 as int)), (x, y) -> x ^ y), {x})"""
+    x, y = half("sa.parity", "sb.parity"), half("sb.parity", "sa.parity")
+    unlike = F.expr(f"aggregate(zip_with({x}, {y}, (x, y) -> bit_count(x ^ y)), 0, (t, x) -> t + x)")
     met = met.filter((100 + percent) * unlike <= (100 - percent) * F.expr("sa.n + sb.n"))
     met = materialize(met.filter(F.arrays_overlap("sa.p2", "sb.p2") & F.arrays_overlap("sa.p3", "sb.p3")).select("a", "b"), "candidates")
     discard(pairs, keys, marks)
@@ -354,13 +385,24 @@ def block_pairs(active: DataFrame, signed: DataFrame, percent: int) -> DataFrame
         x, y = pdf[one], pdf if same else pdf[~one]
         found = [np.empty((0, 2), np.int64)]
         yn, yp, yc, yk = (y[c].to_numpy(np.int64) for c in ("n", "pos", "comp", "key"))
-        ybits = np.stack(list(y["parity"])).view(np.uint64) if len(y) else np.empty((0, PARITY_BITS // 64), np.uint64)
+        wide = y["parity"].map(len).to_numpy()
+        place = np.zeros(len(y), np.int64)  # of each member's bitmap among those as wide, as they are and folded once
+        maps: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+        for width in np.unique(wide):
+            at = np.flatnonzero(wide == width)
+            place[at] = np.arange(len(at))
+            whole = np.stack([y["parity"].iloc[i] for i in at]).view(np.uint64)
+            maps[width] = whole, folded(whole) if width > 1 else whole
         for key, n, pos, comp, bits in zip(x["key"], x["n"], x["pos"], x["comp"], x["parity"], strict=True):
             at = np.flatnonzero((yc != comp) & leaves_enough(n, pos, yn, yp, percent) & ((yk > key) if same else True))
-            if len(at):
-                unlike = np.bitwise_count(ybits[at] ^ np.asarray(bits).view(np.uint64)).sum(1, dtype=np.int64)
-                at = at[(100 + percent) * unlike <= (100 - percent) * (n + yn[at])]
-                found.append(np.column_stack([np.minimum(key, yk[at]), np.maximum(key, yk[at])]))
+            own = np.asarray(bits).view(np.uint64)
+            for width in np.unique(wide[at]):
+                these = at[wide[at] == width]
+                theirs = maps[width][int(width > len(own))][place[these]]
+                mine = folded(own) if width < len(own) else own
+                unlike = np.bitwise_count(theirs ^ mine).sum(1, dtype=np.int64)
+                these = these[(100 + percent) * unlike <= (100 - percent) * (n + yn[these])]
+                found.append(np.column_stack([np.minimum(key, yk[these]), np.maximum(key, yk[these])]))
         return pd.DataFrame(np.concatenate(found), columns=["a", "b"])
 
     deal = F.pmod(F.xxhash64("token", "blockx", "blocky"), F.lit(deals)).alias("deal")
@@ -382,7 +424,9 @@ def with_components(members: DataFrame, found: DataFrame | None) -> DataFrame:
 def join_components(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, percent: int = PERCENT
 ) -> DataFrame:
-    """(id_col, n_shingles, component_id), one row per row of docs."""
+    """(id_col, n_shingles, component_id), one row per row of docs. percent is over 50."""
+    if not 50 < percent <= 100:
+        raise ValueError("percent must be over 50 and 100 at most")
     counted = census(docs, id_col, text_col, words)
     sets = counted.filter("cell < 0").select(without_least("id").alias("id"), "n", "key")
     classes = materialize(sets.filter("n > 0 AND id IS NOT NULL").groupBy("key").agg(F.min("id").alias("id")), "classes")
@@ -390,7 +434,7 @@ def join_components(
     met = materialize(buckets(signed, percent, SMALL_BUCKET), "buckets")
     members = met.filter("NOT paired").withColumnRenamed("a", "key")
     check = (signed, classes, docs, id_col, text_col, words, percent)
-    links = [verified(met.filter("paired").select("a", "b"), *check)]
+    links = [verified(met_often(met), *check)]
     found = _closed(links)
     for pivots in (1, PIVOTS, None):
         active = materialize(with_components(members, found), "active")
@@ -398,8 +442,10 @@ def join_components(
             break  # every bucket is one component
         pairs = block_pairs(active, signed, percent) if pivots is None else pivot_pairs(active, pivots, percent)
         links.append(verified(pairs, *check))
-        discard(active, found)
-        found = _closed(links)
+        discard(active)
+        if not links[-1].isEmpty():
+            discard(found)
+            found = _closed(links)
     discard(signed, met, *links)
     tops = classes.join(found.withColumnRenamed("node", "key"), "key", "left").withColumn("top", F.coalesce("component", "key"))
     tops = materialize(tops.select("key", "id", "top"), "tops")
@@ -429,7 +475,7 @@ def links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words
     signed = signatures(docs.filter(F.col(id_col).isNotNull()), sketch_of(counted), text_col, words, percent)
     met = materialize(buckets(signed, percent, SMALL_BUCKET), "buckets")
     active = materialize(with_components(met.filter("NOT paired").withColumnRenamed("a", "key"), None), "active")
-    pairs = met.filter("paired").select("a", "b").union(block_pairs(active, signed, percent))
+    pairs = met_often(met).union(block_pairs(active, signed, percent))
     found = verified(pairs, signed, classes, docs, id_col, text_col, words, percent)
     for side in ("a", "b"):
         found = found.join(classes.select(F.col("key").alias(side), F.col("id").alias(f"id_{side}")), side)

@@ -222,6 +222,36 @@ def plain_components(texts, n, percent):
     return {i: (len(s), root(i)) for i, s in enumerate(sets)}
 
 
+def plain_links(texts, n, percent):
+    """Similar pairs of classes, as smallest ids."""
+    sets, first = [], {}
+    for i, t in enumerate(texts):
+        w = (t or "").lower().split()
+        sets.append(frozenset({tuple(w[i : i + n]) for i in range(len(w) - n + 1)} if len(w) >= n else {tuple(w)} if w else set()))
+        first.setdefault(sets[-1], i)
+    pairs = itertools.combinations(sorted(first.values()), 2)
+    return {(a, b) for a, b in pairs if sets[a] and sets[b] and 100 * len(sets[a] & sets[b]) >= percent * len(sets[a] | sets[b])}
+
+
+def test_every_link_of_large_buckets_is_found(spark, monkeypatch):
+    """Buckets beyond every limit: small ones, hot tokens, several blocks, bitmaps of unlike widths."""
+    for name, value in {"SMALL_BUCKET": 3, "PIVOTS": 2, "BLOCK": 16, "HOT_LEVEL": 5, "DEALT_ROWS": 64}.items():
+        monkeypatch.setattr(ngram_join, name, value)
+    rng = random.Random(8)
+    base = words(rng, 140).split()  # 62 to 130 tokens: 64 and 128 cells
+    texts = []
+    for i in range(90):
+        copy = base[: 66 if i % 3 else 72] if i % 2 else base[:130]
+        for _ in range(rng.randrange(0, 4)):
+            copy[rng.randrange(len(copy))] = f"e{rng.randrange(10**6)}"
+        texts.append(" ".join(copy))
+    texts += [words(rng, 50) for _ in range(20)]
+    docs = docs_of(spark, texts)
+    assert {tuple(r) for r in ngram_join.links(docs).collect()} == plain_links(texts, 5, 80)
+    got = {r[0]: (r[1], r[2]) for r in ngram_join.join_components(docs).collect()}
+    assert got == plain_components(texts, 5, 80)
+
+
 @pytest.mark.parametrize(("n", "percent"), [(3, 90), (5, 80)])
 def test_ngram_components_match_all_pairs(spark, n, percent):
     rng = random.Random(n)
