@@ -279,7 +279,9 @@ def test_ngram_keep_one_and_odd_tables(spark):
 # 4 -------------------------------------------------------------------------------------------------------------
 
 
-def test_ann_matches_brute_force(spark):
+@pytest.mark.parametrize("block_rows", [8192, 100])
+def test_ann_matches_brute_force(spark, monkeypatch, block_rows):
+    monkeypatch.setattr(collision_ann, "BLOCK_ROWS", block_rows)
     rng = np.random.default_rng(5)
     centres = rng.standard_normal((12, 16))
     x = (centres[rng.integers(0, 12, 900)] + 0.3 * rng.standard_normal((900, 16))).astype(np.float32)
@@ -303,9 +305,10 @@ def test_ann_matches_brute_force(spark):
 def test_ann_leaves_out_bad_vectors(spark):
     nan, inf = float("nan"), float("inf")
     rows = [(0, [1.0, 0.0]), (1, None), (2, []), (3, [0.0, 0.0]), (4, [nan, 1.0]), (5, [inf, 1.0]), (6, [1.0, None]), (7, [2.0, 0.0]), (8, [1.0] * 3)]
-    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>").withColumn("score", F.lit("mine"))
+    df = df.union(df.filter("vec_id = 7"))  # a repeated row is a candidate of its own for others, never for itself
     got = collision_ann.nearest_neighbours(df, df).collect()
-    assert {(r["query_id"], r["rank"], r["vec_id"], r["score"]) for r in got} == {(0, 1, 7, 1.0), (7, 1, 0, 1.0)}
+    assert {(r["query_id"], r["rank"], r["vec_id"], r["score"]) for r in got} == {(0, 1, 7, 1.0), (0, 2, 7, 1.0), (7, 1, 0, 1.0)}
     assert collision_ann.nearest_neighbours(df.limit(0), df.limit(0)).count() == 0
 
 
