@@ -24,7 +24,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from corpusmill.llm.shared import materialize, numbered, only_ids
+from corpusmill.llm.shared import discard, materialize, numbered, only_ids
 
 DEPTH = 3
 MIN_TOKENS = 4
@@ -81,10 +81,10 @@ def dropped_lines(docs: DataFrame, id_col: str, text_col: str, min_docs: int = M
     wanted = materialize(wanted, "wanted")
     found = only_ids(rows.select("__row", "__lines"), wanted.select("__row"), "__row").join(wanted, "__row")
     lines = found.select("__lines", F.explode("__at").alias("k")).select("k.*", _plain(F.expr("__lines[k.pos]")).alias("line"))
-    kinds = materialize(lines.select("leaf", "line_id", "n", _codes(F.col("line")).alias("codes")), "codes")
-    support = kinds.select("leaf", "n", F.explode("codes").alias("code")).groupBy("leaf", "code").agg(F.sum("n").alias("support"))
+    coded = materialize(lines.select("leaf", "line_id", "n", _codes(F.col("line")).alias("codes")), "codes")
+    support = coded.select("leaf", "n", F.explode("codes").alias("code")).groupBy("leaf", "code").agg(F.sum("n").alias("support"))
     support = materialize(support.filter(F.col("support") >= min_docs), "support")
-    each = kinds.select("leaf", "line_id", F.size("codes").alias("size"), F.posexplode("codes").alias("place", "code"))
+    each = coded.select("leaf", "line_id", F.size("codes").alias("size"), F.posexplode("codes").alias("place", "code"))
     hot = each.join(F.broadcast(support.filter(F.col("support") >= HOT)), ["leaf", "code"], "left")
     met = hot.filter("support IS NULL").drop("support").join(support.filter(F.col("support") < HOT), ["leaf", "code"])
     constant = hot.filter("support IS NOT NULL").unionByName(met)
@@ -98,7 +98,9 @@ def dropped_lines(docs: DataFrame, id_col: str, text_col: str, min_docs: int = M
     recurring = per_doc.groupBy("template").agg(F.count("*").alias("n"), F.min(F.struct("__id", "__row")).alias("first"))
     recurring = recurring.filter(F.col("n") >= min_docs).select("template", F.col("first.__row").alias("__first"))
     drop = where.join(recurring, "template").filter("__row != __first").select("__row", "pos")
-    return drop.union(exact).groupBy("__row").agg(F.collect_set("pos").alias("__drop"))
+    drops = materialize(drop.union(exact).groupBy("__row").agg(F.collect_set("pos").alias("__drop")), "drops")
+    discard(places, kinds, wanted, coded, support, where)
+    return drops
 
 
 def dedup_lines(
@@ -107,7 +109,7 @@ def dedup_lines(
     """docs with recurring templates' lines and repeated long lines taken out of text_col; dropped_col: a column for how many, if named."""
     docs, columns = numbered(docs, "rows"), docs.columns
     # the places to drop grow with the texts: both sides are always dealt, never one broadcast
-    drops = materialize(dropped_lines(docs, id_col, text_col, min_docs), "drops").hint("merge")
+    drops = dropped_lines(docs, id_col, text_col, min_docs).hint("merge")
     whole = docs.join(drops, "__row", "left")
     kept = F.filter(F.split(text_col, "\n"), lambda l, i: ~F.array_contains("__drop", i))
     text = F.when(F.col("__drop").isNull(), F.col(text_col)).otherwise(F.array_join(kept, "\n"))

@@ -26,7 +26,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corpusmill.llm.shared import globally_ranked, materialize, numbered, shuffle_partitions, small_or_dealt
+from corpusmill.llm.shared import discard, globally_ranked, materialize, numbered, shuffle_partitions
 
 BLOCK_ROWS = 16
 CHUNK = 100_000
@@ -119,21 +119,24 @@ def schedule(
                 yield pd.DataFrame(rows, columns=["__k", "block", "slot", "release", "deadline", "__start"])
 
     laid = spark.range(0, 1, 1, 1).mapInPandas(lay, "__k int, block long, slot long, release long, deadline long, __start long")
-    laid = small_or_dealt(materialize(laid, "layout"))
+    laid = materialize(laid, "layout")
     firsts = [(s, k, counts[s][1]) for k, s in enumerate(names)]
     starts = F.broadcast(spark.createDataFrame(firsts, "__name string, __k int, __first long"))  # a row a source
     out = ranked.join(starts, "__name").withColumn("__in", F.col("__rank") - F.col("__first"))
     out = out.withColumn("block", F.expr(f"__in div {int(block_rows)}")).join(laid, ["__k", "block"])
-    return out.select(
+    out = out.select(
         "__row", F.col("__id").alias(id_col), F.col("__source").alias(source_col), "block", "slot", "release", "deadline",
         (F.col("__start") + F.col("__in") % block_rows).alias("position"),
     )
+    out = materialize(out, "schedule")
+    discard(ranked, laid)
+    return out
 
 
 def mixed(docs: DataFrame, weights: dict[str, float] | None = None, id_col: str = "doc_id", source_col: str = "source", block_rows: int = BLOCK_ROWS) -> DataFrame:
     """docs in the schedule's order: partitions are ranges of positions, and rows are sorted inside them."""
     rows = numbered(docs, "rows")
     places = schedule(rows, weights, id_col, source_col, block_rows, row_col="__row").select("__row", F.col("position").alias("__position"))
-    whole = rows.join(small_or_dealt(materialize(places, "places")), "__row")
+    whole = rows.join(places, "__row")
     whole = whole.repartitionByRange(shuffle_partitions(docs.sparkSession), "__position").sortWithinPartitions("__position")
     return whole.select(*docs.columns)

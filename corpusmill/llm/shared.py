@@ -5,6 +5,9 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 from weakref import WeakKeyDictionary
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -15,6 +18,7 @@ _ROW_BITS = 33  # monotonically_increasing_id keeps the row's place in its parti
 
 
 _folders: WeakKeyDictionary[DataFrame, str] = WeakKeyDictionary()  # of the tables that materialize() wrote
+_step: ContextVar[list[str] | None] = ContextVar("step", default=None)  # the folders written in a step_of() block
 
 
 def scratch_root(spark: SparkSession) -> str:
@@ -38,17 +42,42 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     df.write.parquet(path)
     table = spark.read.schema(df.schema).parquet(path)
     _folders[table] = path
+    if (written := _step.get()) is not None:
+        written.append(path)
     return table
 
 
+def _delete(spark: SparkSession, path: str) -> None:
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+
+
+@contextmanager
+def step_of(written: list[str], reads: DataFrame) -> Iterator[None]:
+    """A block whose scratch folders are added to `written`.
+
+    Those that earlier blocks of the same list left are deleted first, but for what `reads`, the input, still comes from.
+    """
+    spark = reads.sparkSession
+    if written:
+        files = reads.inputFiles()
+        held = {p for p in written if any(f"/{p.rsplit('/', 1)[-1]}/" in f for f in files)}
+        for path in set(written) - held:
+            _delete(spark, path)
+        written[:] = sorted(held)
+    token = _step.set(written)
+    try:
+        yield
+    finally:
+        _step.reset(token)
+
+
 def discard(*tables: DataFrame | None) -> None:
     """Delete written tables that nothing reads any more: what was made of them has been written itself."""
     for table in tables:
         path = _folders.pop(table, None) if table is not None else None
         if path is not None:
-            spark = table.sparkSession
-            folder = spark._jvm.org.apache.hadoop.fs.Path(path)
-            folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+            _delete(table.sparkSession, path)
 
 
 def numbered(df: DataFrame, label: str, row: str = "__row") -> DataFrame:
@@ -123,14 +152,6 @@ def connected_components(edges: DataFrame, a: str, b: str, label: str) -> DataFr
         seen = now
 
 
-BROADCAST_IDS = 500_000  # 8 bytes each; more ids than this meet their rows by a shuffle
-
-
-def small_or_dealt(table: DataFrame) -> DataFrame:
-    """A written table of a few numbers a row, to be broadcast if it has at most BROADCAST_IDS rows."""
-    return F.broadcast(table) if table.count() <= BROADCAST_IDS else table
-
-
 ID_BITS = 1 << 26  # bits of id_bits(): 8 MB at most, whatever the number of ids
 _PAGE = 1 << 15  # of bitmap_construct_agg
 

@@ -128,7 +128,7 @@ def packed_anchors(texts: DataFrame, buckets: int) -> DataFrame:
                 for part in np.split(mine, np.flatnonzero(np.diff(bucket[mine])) + 1):
                     if len(part):
                         rest = (gram[part] // np.uint64(buckets)).astype(np.uint32).tobytes()
-                        seg = np.ascontiguousarray(segment[part].view(np.uint8).reshape(-1, 8)[:, :6]).tobytes()
+                        seg = segment[part].tobytes()
                         rows.append((int(bucket[part[0]]), None if covered else rest, None if covered else seg, doc[part].tobytes(), pos[part].tobytes()))
             yield pd.DataFrame(rows, columns=["bucket", "hash", "segment", "doc", "pos"])
 
@@ -142,10 +142,7 @@ def _settled(pdf: pd.DataFrame) -> pd.DataFrame:
     out_doc, out_pos = [join(pdf["doc"][done], np.int64)], [join(pdf["pos"][done], np.int32)]
     rest = pdf[~done]
     hash_ = join(rest["hash"], np.uint32)
-    six = join(rest["segment"], np.uint8).reshape(-1, 6)
-    segment = np.zeros((len(six), 8), np.uint8)
-    segment[:, :6] = six
-    segment = segment.view(np.uint64).ravel()
+    segment = join(rest["segment"], np.uint64)
     doc, pos = join(rest["doc"], np.int64), join(rest["pos"], np.int32)
     order = np.argsort(hash_, kind="stable")
     first = np.flatnonzero(np.diff(hash_[order], prepend=np.int64(-1)))
@@ -309,7 +306,7 @@ def covers(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id_col, n_bytes, n_removed, n_spans, kept): what is left of each text, as bytes (a cut may split a character)."""
     found = covers(docs, id_col, text_col).groupBy(F.col("doc").alias("id"))
-    spans = found.agg(F.array_distinct(F.collect_list(F.struct("a", "b"))).alias("spans"))
+    spans = found.agg(F.collect_list(F.struct("a", "b")).alias("spans"))  # repeats do no harm
     texts = docs.select(id_or_least(id_col).alias("id"), F.coalesce(text_col, F.lit("")).alias("t"))
 
     def run(frames):
