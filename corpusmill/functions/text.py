@@ -51,8 +51,9 @@ LICENSE_URLS = (
 )
 
 STOP_WORDS = "a an and are as at be but by for if in into is it no not of on or such that the their then there these they this to was will with".split()
-SMALL_WORDS = ("and", "or", "of", "the", "in", "on", "for", "to", "a", "an", "with", "by", "at", "from")
-ACRONYMS = ("AI", "ML", "NLP", "CS", "DNA", "RNA", "GPU", "CPU", "IOT", "CV", "3D", "2D", "MRI", "CT", "HIV", "LLM", "API")
+# fixed values: acronyms in capitals and words in small letters within subject names
+ACRONYMS = ("AI", "ML", "NLP", "CV", "GPU", "CPU", "DNA", "RNA", "IOT", "API", "LLM", "LSTM", "RNN", "CNN", "GAN", "VAE", "GPT", "BERT", "IT", "CS")
+SMALL_WORDS = ("and", "or", "of", "in", "on", "at", "the", "a", "an", "with", "for", "to")
 
 
 def _col(c: Column | str) -> Column:
@@ -229,11 +230,11 @@ def latex_body(c):  # H21: what stands between begin and end of the document, wi
     c = _col(c)
     body = F.regexp_extract(c, r"(?s)\\begin\{document\}(.*?)\\end\{document\}", 1)
     body = F.when(c.contains("\\begin{document}"), body).otherwise(c)
-    return F.array_join(F.filter(F.split(body, "\n"), lambda l: ~F.trim(l).startswith("%")), "\n")
+    return F.array_join(F.filter(F.split(body, "\n"), lambda l: ~l.rlike(r"^\s*%")), "\n")
 
 
 def blank_line_paragraphs(c):  # H21
-    return F.filter(F.transform(F.split(_col(c), r"\n\s*\n"), lambda p: F.trim(p)), lambda p: F.length(p) >= 2)
+    return F.filter(F.transform(F.split(_col(c), r"\n\s*\n"), lambda p: F.regexp_replace(p, r"^\s+|\s+$", "")), lambda p: F.length(p) >= 2)
 
 
 def is_formula(c):  # H23
@@ -342,7 +343,7 @@ def estimate_tokens(c):  # H32
 
 
 def has_full_body(flag, paragraphs):  # H33
-    return F.coalesce(_col(flag), F.exists(_col(paragraphs), lambda p: F.trim(p) != ""), F.lit(False))
+    return F.coalesce(_col(flag), F.exists(_col(paragraphs), lambda p: p.rlike(r"\S")), F.lit(False))
 
 
 def json_list(c):  # H34: a JSON list of strings; a bare value becomes a list of one, bad JSON an empty list

@@ -68,7 +68,7 @@ def category_totals(counts: DataFrame, taxonomy: DataFrame) -> DataFrame:
 
     taxonomy is (category_id, category_order, pinned, subject), one row a subject; it is a small dimension.
     """
-    joined = F.broadcast(taxonomy).join(counts, "subject", "left")
+    joined = taxonomy.join(counts, "subject", "left")
     return joined.groupBy("category_id", "category_order", "pinned").agg(F.sum(F.coalesce("papers", F.lit(0))).alias("total"))
 
 

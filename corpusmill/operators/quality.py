@@ -66,7 +66,7 @@ def complete_status(df: DataFrame) -> DataFrame:
 def qa_histogram(df: DataFrame) -> DataFrame:
     """(status, n) with a row for each status."""
     every = df.sparkSession.createDataFrame([(s,) for s in ("pass", "flag_script", "flag_formatting", "flag_content")], "status string")
-    return F.broadcast(every).join(df.groupBy("status").agg(F.count("*").alias("n")), "status", "left").select("status", F.coalesce("n", F.lit(0)).alias("n"))
+    return every.join(df.groupBy("status").agg(F.count("*").alias("n")), "status", "left").select("status", F.coalesce("n", F.lit(0)).alias("n"))
 
 
 def translation_gate(df: DataFrame, most_flagged: int = -1, most_ratio: float = 5.0) -> DataFrame:
@@ -106,13 +106,13 @@ def ocr_gate(df: DataFrame, least_rate: float = 90.0) -> DataFrame:
 
 
 def text_metrics(df: DataFrame, key: str, text: str) -> DataFrame:
-    """(key, chars, alpha_ratio, most_common_ratio): characters are counted in two grouped steps."""
+    """(key, chars, alpha_ratio, most_common_ratio), row by row: no character becomes a row."""
     base = df.select(key, F.coalesce(text, F.lit("")).alias("t"))
-    chars = base.select(key, F.explode(F.split("t", "")).alias("c")).filter("c <> ''")
-    top = chars.groupBy(key, "c").count().groupBy(key).agg(F.max("count").alias("top"))
     n = F.length("t")
-    return base.join(top, key, "left").select(
-        key, n.cast("long").alias("chars"), X.alpha_ratio("t").alias("alpha_ratio"), F.when(n == 0, 1.0).otherwise(F.col("top") / n).alias("most_common_ratio")
+    kinds = F.filter(F.array_distinct(F.split("t", "")), lambda c: c != "")
+    top = F.array_max(F.transform(kinds, lambda c: n - F.length(F.replace(F.col("t"), c, F.lit("")))))
+    return base.select(
+        key, n.cast("long").alias("chars"), X.alpha_ratio("t").alias("alpha_ratio"), F.when(n == 0, 1.0).otherwise(top / n).alias("most_common_ratio")
     )
 
 

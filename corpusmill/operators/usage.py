@@ -29,14 +29,14 @@ def confirmed_transfers(df: DataFrame, address: str, symbols: list[str] | None =
 
 def with_cost(df: DataFrame, prices: DataFrame) -> DataFrame:
     """Tokens by the price of the model, an unknown model costs 0."""
-    joined = df.join(F.broadcast(prices), "model", "left")
+    joined = df.join(prices, "model", "left")
     cost = F.col("input_tokens") * F.coalesce("input_price", F.lit(0.0)) + F.col("output_tokens") * F.coalesce("output_price", F.lit(0.0))
     return joined.withColumn("cost", F.round(cost, 8)).drop("input_price", "output_price")
 
 
 def with_license(df: DataFrame, meaning: DataFrame, raw: str = "license_raw") -> DataFrame:
     """The label of a licence text and what it allows; unknown is null, not false. meaning is a few rows."""
-    return df.withColumn("label", X.license_label(raw)).join(F.broadcast(meaning), "label", "left")
+    return df.withColumn("label", X.license_label(raw)).join(meaning, "label", "left")
 
 
 def with_day_price(events: DataFrame, prices: DataFrame, stable: tuple[str, ...] = ("USDC", "USDT", "DAI")) -> DataFrame:
@@ -57,8 +57,11 @@ def request_totals(df: DataFrame) -> DataFrame:
     return df.agg(F.count("*").alias("total"), F.countDistinct("paper_id").alias("papers"))
 
 
-def ranked_requests(counts: DataFrame) -> DataFrame:
-    """Rank from 1 by falling count, then key; the counts are few, one row a paper that was asked for."""
+def ranked_requests(counts: DataFrame, n: int | None = None) -> DataFrame:
+    """Rank from 1 by falling count, then key. With n the first n are taken before they are ranked; without it one task
+    ranks all papers that were asked for, as the list that is published is one file."""
+    if n is not None:
+        counts = counts.orderBy(F.desc("n"), "paper_id").limit(n)
     return counts.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("n"), "paper_id")))
 
 
@@ -93,7 +96,7 @@ def error_buckets(errors: DataFrame, aliases: dict[str, str] | None = None) -> D
 
 def budget_breaches(buckets: DataFrame, thresholds: DataFrame) -> DataFrame:
     """(bucket, n, threshold) where the count is over."""
-    return buckets.join(F.broadcast(thresholds), "bucket").filter(F.col("n") > F.col("threshold"))
+    return buckets.join(thresholds, "bucket").filter(F.col("n") > F.col("threshold"))
 
 
 def top_buckets(buckets: DataFrame, n: int = 5) -> DataFrame:

@@ -28,7 +28,7 @@ _E = "e AS (SELECT event_id, 400 + CAST(json_extract_string(props, '$.k') AS INT
 
 
 def requests_top(spark, sf):
-    return usage.ranked_requests(usage.request_counts(requests(spark, sf))).filter("rank <= 20")
+    return usage.ranked_requests(usage.request_counts(requests(spark, sf)), 20)
 
 
 def requests_totals(spark, sf):

@@ -32,7 +32,8 @@ def cases():  # columns can only be made once there is a session
         (X.clamp_title(L("t" * 301)), "t" * 297 + "..."),
         (X.clamp_title(L("t" * 301), L("An English title")), "An English title"),
         (X.clamp_title(L("t" * 301), L("中文标题")), "t" * 297 + "..."),
-        (X.normalize_subject(L("ai and the nlp-based DNA of 3d worlds")), "AI and the NLP-Based DNA of 3D Worlds"),
+        (X.normalize_subject(L("ai and the nlp-based DNA of 3D worlds")), "AI and the NLP-Based DNA of 3D Worlds"),
+        (X.normalize_subject(L("lstm networks by it")), "LSTM Networks By IT"),
         (X.normalize_subject(L("(ai) 人工智能 The")), "(AI) 人工智能 the"),
         (X.normalize_subject(L("the end")), "The End"),
         (X.title_case(L("o'brien nlp-based")), "O'Brien Nlp-Based"),
