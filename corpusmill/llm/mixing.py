@@ -123,7 +123,7 @@ def schedule(
     firsts = [(s, k, counts[s][1]) for k, s in enumerate(names)]
     starts = F.broadcast(spark.createDataFrame(firsts, "__name string, __k int, __first long"))  # a row a source
     out = ranked.join(starts, "__name").withColumn("__in", F.col("__rank") - F.col("__first"))
-    out = out.withColumn("block", F.expr(f"__in div {int(block_rows)}")).join(laid, ["__k", "block"])
+    out = out.withColumn("block", F.expr(f"__in div {int(block_rows)}")).join(laid.hint("merge"), ["__k", "block"])
     out = out.select(
         "__row", F.col("__id").alias(id_col), F.col("__source").alias(source_col), "block", "slot", "release", "deadline",
         (F.col("__start") + F.col("__in") % block_rows).alias("position"),
@@ -137,6 +137,6 @@ def mixed(docs: DataFrame, weights: dict[str, float] | None = None, id_col: str
     """docs in the schedule's order: partitions are ranges of positions, and rows are sorted inside them."""
     rows = numbered(docs, "rows")
     places = schedule(rows, weights, id_col, source_col, block_rows, row_col="__row").select("__row", F.col("position").alias("__position"))
-    whole = rows.join(places, "__row")
+    whole = rows.join(places.hint("merge"), "__row")  # both sides are dealt at any size
     whole = whole.repartitionByRange(shuffle_partitions(docs.sparkSession), "__position").sortWithinPartitions("__position")
     return whole.select(*docs.columns)

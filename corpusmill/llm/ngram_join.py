@@ -300,8 +300,8 @@ def verified(pairs: DataFrame, signed: DataFrame, classes: DataFrame, docs: Data
     keys = materialize(pairs.select(F.explode(F.array("a", "b")).alias("key")).distinct(), "keys")
     marks = materialize(sketches(signed, keys), "sketches")
     met = pairs
-    for side in ("a", "b"):
-        met = met.join(marks.select(F.col("key").alias(side), F.col("s").alias(f"s{side}")), side)
+    for side in ("a", "b"):  # both sides are dealt at any size, here and below: what is measured on small tables holds for large ones
+        met = met.join(marks.select(F.col("key").alias(side), F.col("s").alias(f"s{side}")).hint("merge"), side)
     # sizes are less than a factor of two apart, so bitmaps are folded once at most
     half = lambda x, y: f"""if(size({x}) > size({y}), zip_with(slice({x}, 1, cast(size({x}) / 2 as int)),
         slice({x}, cast(size({x}) / 2 as int) + 1, cast(size({x}) / 2 as int)), (x, y) -> x ^ y), {x})"""
@@ -315,8 +315,8 @@ def verified(pairs: DataFrame, signed: DataFrame, classes: DataFrame, docs: Data
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("t"))
     texts = only_ids(texts, materialize(ids.select("id").distinct(), "ids"), "id").join(ids, "id").select("key", "t")
     texts = materialize(texts, "texts")
-    both = met.join(texts.select(F.col("key").alias("b"), F.col("t").alias("tb")), "b")
-    both = both.join(texts.select(F.col("key").alias("a"), F.col("t").alias("ta")), "a")
+    both = met.join(texts.select(F.col("key").alias("b"), F.col("t").alias("tb")).hint("merge"), "b")
+    both = both.join(texts.select(F.col("key").alias("a"), F.col("t").alias("ta")).hint("merge"), "a")
 
     def compare(batches):
         last, x = None, np.empty(0, np.uint64)
