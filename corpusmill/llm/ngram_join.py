@@ -56,7 +56,7 @@ SMALL_BUCKET = 32
 PIVOTS = 8
 BLOCK = 1024
 SPARE = 3
-CHUNK_WORDS = 1 << 18
+CHUNK_WORDS = 1 << 17
 DEALT_ROWS = 1 << 14  # about so many rows of blocks to a call
 
 _M1, _M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
@@ -152,11 +152,18 @@ def census(docs: DataFrame, id_col: str, text_col: str, words: int) -> DataFrame
     def count(batches):
         total = np.zeros(SKETCH_ROWS * SKETCH_CELLS, np.int64)
         for pdf in batches:
-            sets = list(shingle_sets(pdf["t"], words))
-            if sets:
-                total += np.bincount(_cells(np.concatenate(sets)).ravel(), minlength=len(total))
-            rows = {"id": pdf["id"], "n": [len(x) for x in sets], "key": [class_key(x) for x in sets]}
-            yield pd.DataFrame(rows).assign(cell=-1, tokens=0)
+            n, key, held, size = [], [], [], 0
+            for own in shingle_sets(pdf["t"], words):
+                n.append(len(own))
+                key.append(class_key(own))
+                held.append(own)
+                size += len(own)
+                if size >= CHUNK_WORDS:  # a batch's tokens are never held together
+                    total += np.bincount(_cells(np.concatenate(held)).ravel(), minlength=len(total))
+                    held, size = [], 0
+            if held:
+                total += np.bincount(_cells(np.concatenate(held)).ravel(), minlength=len(total))
+            yield pd.DataFrame({"id": pdf["id"], "n": n, "key": key}).assign(cell=-1, tokens=0)
         cell = np.flatnonzero(total)
         yield pd.DataFrame({"cell": cell, "tokens": total[cell]}).assign(id=0, n=0, key=0)[["id", "n", "key", "cell", "tokens"]]
 
