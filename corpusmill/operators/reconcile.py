@@ -72,10 +72,12 @@ def classify_artefacts(translations: DataFrame, files: DataFrame) -> DataFrame:
 
 
 def deletion_report(df: DataFrame, most: int = 100) -> DataFrame:
-    """(verdict, n, first ids)."""
+    """(verdict, n, first ids). Each task keeps its own first ids of a verdict before any are dealt."""
+    counts = df.groupBy("verdict").agg(F.count("*").alias("n"))
     place = F.row_number().over(Window.partitionBy("verdict").orderBy("id"))
-    items = F.sort_array(F.collect_list(F.when(F.col("rn") <= most, F.col("id"))))
-    return df.withColumn("rn", place).groupBy("verdict").agg(F.count("*").alias("n"), items.alias("items"))
+    first = df.select("verdict", "id").withColumn("rn", place).filter(F.col("rn") <= most)
+    first = first.groupBy(F.col("verdict").alias("of")).agg(F.sort_array(F.collect_list("id")).alias("items"))
+    return counts.join(first, F.col("verdict").eqNullSafe(F.col("of"))).select("verdict", "n", "items")
 
 
 def unseen(records: DataFrame, seen: DataFrame, order: str, n: int | None = None) -> DataFrame:

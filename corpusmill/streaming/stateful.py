@@ -25,7 +25,7 @@ def _fold(stream: DataFrame, keys: list[str], out: T.StructType | str, state: st
     """step(key, rows in order, state tuple or None) -> (output rows, new state)."""
 
     def run(key, frames: Iterator[pd.DataFrame], group) -> Iterator[pd.DataFrame]:
-        frames = list(frames)  # of one key in one micro-batch; maxFilesPerTrigger bounds it
+        frames = list(frames)  # of one key in one micro-batch; the caller bounds that by maxFilesPerTrigger on the source
         rows = pd.concat(frames).sort_values(["created_at", "event_id"], kind="stable")
         produced, new = step(key, rows, group.get if group.exists else None)
         group.update(new)
@@ -83,7 +83,7 @@ def alert_sessions(stream: DataFrame, seconds: int = 60) -> DataFrame:
     """Groups of a key's alerts that the first of each opens for `seconds`; critical ones also go out at once.
 
     A group is closed by the first alert after its end. The state of a key is its open group; one that no alert follows
-    is closed by closing_alert() (or by alert_windows(), the tumbling approximation).
+    stays open (alert_windows(), the tumbling approximation, closes all by watermark).
     """
 
     def step(key, rows, state):
