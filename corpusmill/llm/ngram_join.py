@@ -293,9 +293,9 @@ def met_often(met: DataFrame) -> DataFrame:
     return often.filter("times >= least").select("a", "b")
 
 
-def sketches(signed: DataFrame, keys: DataFrame) -> DataFrame:
-    """(key, s) of the classes in keys: what pairs are filtered by before texts."""
-    found = only_ids(signed.select("key", F.struct("n", "p2", "p3", "parity").alias("s")), keys, "key")
+def sketches(signed: DataFrame, keys: DataFrame, *parts: str) -> DataFrame:
+    """(key, s) of the classes in keys, s holding the named parts: what pairs are filtered by before texts."""
+    found = only_ids(signed.select("key", F.struct(*parts).alias("s")), keys, "key")
     return found.groupBy("key").agg(F.first("s").alias("s"))
 
 
@@ -305,7 +305,7 @@ def verified(pairs: DataFrame, signed: DataFrame, classes: DataFrame, docs: Data
     if pairs.isEmpty():
         return pairs
     keys = materialize(pairs.select(F.explode(F.array("a", "b")).alias("key")).distinct(), "keys")
-    marks = materialize(sketches(signed, keys), "sketches")
+    marks = materialize(sketches(signed, keys, "n", "p2", "p3", "parity"), "sketches")
     met = pairs
     for side in ("a", "b"):  # both sides are dealt at any size, here and below: what is measured on small tables holds for large ones
         met = met.join(marks.select(F.col("key").alias(side), F.col("s").alias(f"s{side}")).hint("merge"), side)
@@ -371,7 +371,7 @@ def block_pairs(active: DataFrame, signed: DataFrame, percent: int) -> DataFrame
     first = ranked.groupBy("token").agg(F.min("at").alias("first"))
     placed = ranked.join(first, "token").withColumn("block", F.expr(f"(at - first) div {BLOCK}"))
     keys = materialize(ranked.select("key").distinct(), "keys")
-    marks = materialize(sketches(signed, keys), "sketches").select("key", F.col("s.parity").alias("parity"))
+    marks = sketches(signed, keys, "parity").select("key", "s.parity")
     placed = materialize(placed.join(marks, "key").select("token", "block", "key", "n", "pos", "comp", "parity"), "blocks")
     spans = placed.groupBy("token", "block").agg(
         F.min("comp").alias("c0"), F.max("comp").alias("c1"), F.min("n").alias("n0"), F.max("n").alias("n1")
