@@ -49,7 +49,8 @@ from corpusmill.llm.shared import (
 )
 
 WORDS, PERCENT = 5, 80
-SKETCH_ROWS, SKETCH_CELLS = 2, 1 << 16  # 1 MB at any size of input; the order matters for speed only
+SKETCH_ROWS, SKETCH_CELLS = 2, 1 << 18  # 4 MB at any size of input; the order matters for speed only
+PAGE = 1 << 12  # cells of the sketch to a row
 HOT_LEVEL = 12  # tokens of 2**12 documents or more by the sketch: their buckets are dealt to several tasks
 SALTS = 16
 SMALL_BUCKET = 32
@@ -140,14 +141,19 @@ def _cells(tokens: np.ndarray) -> np.ndarray:
 
 
 def cell_levels(sketch: np.ndarray) -> np.ndarray:
-    """log2 of how much each cell holds beyond what it would by chance; 0 where that isn't clear."""
+    """log2 of how much each cell holds beyond what it would by chance; 0 where that isn't clear.
+
+    One deviation is enough: a rare token is only taken for a common one if it has such a cell in every row of the sketch, and then
+    it merely comes later in the order.
+    """
     usual = float(np.median(sketch))
     beyond = sketch - usual
-    return np.where(beyond > 4 * usual**0.5 + 8, np.log2(np.maximum(beyond, 1)), 0).astype(np.int8)
+    return np.where(beyond > usual**0.5 + 8, np.log2(np.maximum(beyond, 1)), 0).astype(np.int8)
 
 
 def census(docs: DataFrame, id_col: str, text_col: str, words: int) -> DataFrame:
-    """(id, n, key, cell, tokens): a row a document (cell -1), and what each task counted in each cell of the sketch."""
+    """(id, n, key, page, counts): a row a document (page -1), and what each task counted in each page of the sketch, in the
+    narrowest unsigned type that holds it."""
 
     def count(batches):
         total = np.zeros(SKETCH_ROWS * SKETCH_CELLS, np.int64)
@@ -159,24 +165,36 @@ def census(docs: DataFrame, id_col: str, text_col: str, words: int) -> DataFrame
                 held.append(own)
                 size += len(own)
                 if size >= CHUNK_WORDS:  # a batch's tokens are never held together
-                    total += np.bincount(_cells(np.concatenate(held)).ravel(), minlength=len(total))
+                    np.add.at(total, _cells(np.concatenate(held)).ravel(), 1)
                     held, size = [], 0
             if held:
-                total += np.bincount(_cells(np.concatenate(held)).ravel(), minlength=len(total))
-            yield pd.DataFrame({"id": pdf["id"], "n": n, "key": key}).assign(cell=-1, tokens=0)
-        cell = np.flatnonzero(total)
-        yield pd.DataFrame({"cell": cell, "tokens": total[cell]}).assign(id=0, n=0, key=0)[["id", "n", "key", "cell", "tokens"]]
+                np.add.at(total, _cells(np.concatenate(held)).ravel(), 1)
+            yield pd.DataFrame({"id": pdf["id"], "n": n, "key": key}).assign(page=-1, counts=None)
+        pages = total.reshape(-1, PAGE)
+        page = np.flatnonzero(pages.any(1))
+        counts = [pages[i].astype(np.min_scalar_type(int(pages[i].max()))).tobytes() for i in page]
+        yield pd.DataFrame({"page": page, "counts": counts}).assign(id=0, n=0, key=0)[["id", "n", "key", "page", "counts"]]
 
     texts = docs.select(id_or_least(id_col).alias("id"), F.col(text_col).alias("t"))
-    return materialize(texts.mapInPandas(count, "id long, n long, key long, cell int, tokens long"), "census")
+    return materialize(texts.mapInPandas(count, "id long, n long, key long, page int, counts binary"), "census")
 
 
 def sketch_of(counted: DataFrame) -> np.ndarray:
     """The levels of the cells of all tasks added up: SKETCH_ROWS * SKETCH_CELLS numbers."""
-    total = np.zeros(SKETCH_ROWS * SKETCH_CELLS, np.int64)
-    for cell, n in counted.filter("cell >= 0").groupBy("cell").agg(F.sum("tokens")).collect():
-        total[cell] = n
-    return cell_levels(total)
+
+    def add(batches):
+        total: dict[int, np.ndarray] = {}  # no more than the sketch itself
+        for pdf in batches:
+            for page, counts in zip(pdf["page"], pdf["counts"], strict=True):
+                own = total.setdefault(page, np.zeros(PAGE, np.int64))
+                own += np.frombuffer(counts, f"u{len(counts) // PAGE}")
+        yield pd.DataFrame({"page": list(total), "counts": [x.tobytes() for x in total.values()]})
+
+    pages = counted.filter("page >= 0").select("page", "counts").repartition("page")
+    total = np.zeros((SKETCH_ROWS * SKETCH_CELLS // PAGE, PAGE), np.int64)
+    for page, counts in pages.mapInPandas(add, "page int, counts binary").toLocalIterator():
+        total[page] = np.frombuffer(counts, np.int64)
+    return cell_levels(total.ravel())
 
 
 def signatures(docs: DataFrame, sketch: np.ndarray, text_col: str, words: int, percent: int) -> DataFrame:
@@ -435,7 +453,7 @@ def join_components(
     if not 50 < percent <= 100:
         raise ValueError("percent must be over 50 and 100 at most")
     counted = census(docs, id_col, text_col, words)
-    sets = counted.filter("cell < 0").select(without_least("id").alias("id"), "n", "key")
+    sets = counted.filter("page < 0").select(without_least("id").alias("id"), "n", "key")
     classes = materialize(sets.filter("n > 0 AND id IS NOT NULL").groupBy("key").agg(F.min("id").alias("id")), "classes")
     signed = signatures(docs.filter(F.col(id_col).isNotNull()), sketch_of(counted), text_col, words, percent)
     met = materialize(buckets(signed, percent, SMALL_BUCKET), "buckets")
@@ -477,7 +495,7 @@ def links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words
     """(a, b): every similar pair of classes of equal sets, as the smallest ids of both. Class membership is what
     join_components() and equal sets tell; copies aren't expanded into pairs."""
     counted = census(docs, id_col, text_col, words)
-    sets = counted.filter("cell < 0").select(without_least("id").alias("id"), "n", "key")
+    sets = counted.filter("page < 0").select(without_least("id").alias("id"), "n", "key")
     classes = materialize(sets.filter("n > 0 AND id IS NOT NULL").groupBy("key").agg(F.min("id").alias("id")), "classes")
     signed = signatures(docs.filter(F.col(id_col).isNotNull()), sketch_of(counted), text_col, words, percent)
     met = materialize(buckets(signed, percent, SMALL_BUCKET), "buckets")
