@@ -15,6 +15,7 @@ from corpusmill.llm import (
     secret_scan,
     sentencepiece_codec,
     sharding,
+    spelling_variants,
     suffix_dedup,
 )
 
@@ -95,6 +96,11 @@ def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every frequent word with its form, the last of its forms and its number of neighbours, some occurrences being misspelt."""
+    return spelling_variants.spelling_variants(_table(spark, sf_dir, "documents"), edit_every=199)
+
+
 QUERIES = {
     "op1_sharding": op1_sharding,
     "op2_secret_scan": op2_secret_scan,
@@ -106,10 +112,30 @@ QUERIES = {
     "op8_imatch": op8_imatch,
     "op9_quality_crf": op9_quality_crf,
     "op10_sentencepiece": op10_sentencepiece,
+    "op11_spelling_variants": op11_spelling_variants,
 }
 # all pairs that share a shingle, and reachability over the links; the other operators have no SQL form or one that is
 # too slow on whole tables, and are tested against brute force
 ORACLES: dict[str, str] = {
+    # the CRC-32 table comes from its polynomial; letters lie below U+0100, so their UTF-8 bytes are one or two expressions
+    "op11_spelling_variants": r"""WITH RECURSIVE bits(i, k, c) AS (SELECT range, 0, range FROM range(256) UNION ALL
+      SELECT i, k + 1, CASE WHEN c % 2 = 1 THEN xor(c // 2, 3988292384) ELSE c // 2 END FROM bits WHERE k < 8),
+    crc AS (SELECT list(c ORDER BY i) AS t FROM bits WHERE k = 8),
+    runs AS (SELECT doc_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[a-zÀ-ÿ]+')) AS run FROM documents),
+    held AS (SELECT doc_id, run, count(*) AS n FROM runs WHERE length(run) >= 6 GROUP BY ALL),
+    bytes AS (SELECT *, list_transform(string_split(coalesce(CAST(doc_id AS VARCHAR), '') || ':' || run, ''), lambda c: unicode(c)) AS u FROM held),
+    hashed AS (SELECT run, n, xor(list_reduce([4294967295] || flatten(list_transform(u, lambda p: CASE WHEN p < 128 THEN [p] ELSE [192 + p // 64, 128 + p % 64] END)),
+      lambda c, b: xor(t[CAST(xor(c, b) % 256 AS INT) + 1], c // 256)), 4294967295) AS h FROM bytes, crc),
+    edited AS (SELECT CASE WHEN h % 199 = 0 THEN substr(run, 1, h % length(run)) || substr(run, h % length(run) + 2) ELSE run END AS word, n FROM hashed),
+    words AS (SELECT word, CAST(sum(n) AS BIGINT) AS n FROM edited WHERE length(word) >= 6 GROUP BY word HAVING sum(n) >= 5),
+    cuts AS (SELECT word, n, i, substr(word, 1, i - 1) || substr(word, i + 1) AS cut FROM (SELECT word, n, unnest(range(1, length(word) + 1)) AS i FROM words)),
+    near AS (SELECT x.word AS a, y.word AS b FROM cuts x JOIN cuts y USING (i, cut) WHERE x.word <> y.word
+      UNION SELECT c.word, w.word FROM cuts c JOIN words w ON w.word = c.cut UNION SELECT w.word, c.word FROM cuts c JOIN words w ON w.word = c.cut),
+    best AS (SELECT a, b, n, count(*) OVER (PARTITION BY a) AS n_near, row_number() OVER (PARTITION BY a ORDER BY n DESC, b) AS rn FROM near JOIN words ON word = b),
+    formed AS (SELECT w.word, w.n, coalesce(n_near, 0) AS n_near, CASE WHEN x.n >= 5 * w.n THEN x.b END AS form, CASE WHEN x.n >= 5 * w.n THEN x.n END AS form_n
+      FROM words w LEFT JOIN best x ON x.a = w.word AND rn = 1),
+    walk AS (SELECT word, word AS at, form AS next FROM formed UNION ALL SELECT k.word, f.word, f.form FROM walk k JOIN formed f ON f.word = k.next)
+    SELECT f.word, f.form, k.at AS root, f.n, f.n_near, f.form_n FROM formed f JOIN walk k ON k.word = f.word WHERE k.next IS NULL""",
     "op3_ngram_join": r"""WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
       '[^\x20\x09-\x0D]+') AS w FROM documents),
     s AS (SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 3 THEN [array_to_string(w, ' ')]
