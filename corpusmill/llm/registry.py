@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from corpusmill.llm import (
     collision_ann,
+    fp_search,
     imatch,
     line_dedup,
     mixing,
@@ -101,6 +102,11 @@ def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spelling_variants.spelling_variants(_table(spark, sf_dir, "documents"), edit_every=199)
 
 
+def op13_fp_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ten documents of highest score for each benchmark item."""
+    return fp_search.rank_documents(_table(spark, sf_dir, "benchmark"), _table(spark, sf_dir, "documents"), k=10)
+
+
 QUERIES = {
     "op1_sharding": op1_sharding,
     "op2_secret_scan": op2_secret_scan,
@@ -113,10 +119,23 @@ QUERIES = {
     "op9_quality_crf": op9_quality_crf,
     "op10_sentencepiece": op10_sentencepiece,
     "op11_spelling_variants": op11_spelling_variants,
+    "op13_fp_search": op13_fp_search,
 }
 # all pairs that share a shingle, and reachability over the links; the other operators have no SQL form or one that is
 # too slow on whole tables, and are tested against brute force
 ORACLES: dict[str, str] = {
+    "op13_fp_search": r"""WITH t AS (SELECT doc_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+      '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM documents),
+    q AS (SELECT item_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+      '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM benchmark),
+    f AS (SELECT doc_id, term, count(*) AS tf FROM t GROUP BY ALL), l AS (SELECT doc_id, CAST(sum(tf) AS BIGINT) AS n FROM f GROUP BY doc_id),
+    a AS (SELECT count(*) AS docs, CAST(sum(n) AS BIGINT) AS terms FROM l),
+    m AS (SELECT doc_id, 100 - 75 + ((75 * n * docs) // terms) AS m FROM l, a),
+    w AS (SELECT term, CAST(floor(1000 * ln((2 * docs + 2) / (2 * count(*) + 1))) AS BIGINT) AS w FROM f, a WHERE term IN (SELECT term FROM q) GROUP BY term, docs),
+    s AS (SELECT item_id, doc_id, CAST(sum(w * ((1000000000 * tf) // (1000 * tf + 8 * m))) AS BIGINT) AS score
+      FROM q JOIN w USING (term) JOIN f USING (term) JOIN m USING (doc_id) GROUP BY ALL),
+    r AS (SELECT *, CAST(row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS INT) AS rank FROM s WHERE score > 0)
+    SELECT item_id, rank, doc_id, score FROM r WHERE rank <= 10""",
     # the CRC-32 table comes from its polynomial; letters lie below U+0100, so their UTF-8 bytes are one or two expressions
     "op11_spelling_variants": r"""WITH RECURSIVE bits(i, k, c) AS (SELECT range, 0, range FROM range(256) UNION ALL
       SELECT i, k + 1, CASE WHEN c % 2 = 1 THEN xor(c // 2, 3988292384) ELSE c // 2 END FROM bits WHERE k < 8),
