@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from corpusmill.llm import (
     collision_ann,
+    debruijn_dedup,
     fp_search,
     imatch,
     line_dedup,
@@ -102,6 +103,11 @@ def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spelling_variants.spelling_variants(_table(spark, sf_dir, "documents"), edit_every=199)
 
 
+def op12_debruijn_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What is left of every document without sequences of 13 words that a document with a smaller id holds."""
+    return debruijn_dedup.remove_repeats(_table(spark, sf_dir, "documents"), keep_text=False)
+
+
 def op13_fp_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The ten documents of highest score for each benchmark item."""
     return fp_search.rank_documents(_table(spark, sf_dir, "benchmark"), _table(spark, sf_dir, "documents"), k=10)
@@ -119,11 +125,19 @@ QUERIES = {
     "op9_quality_crf": op9_quality_crf,
     "op10_sentencepiece": op10_sentencepiece,
     "op11_spelling_variants": op11_spelling_variants,
+    "op12_debruijn_dedup": op12_debruijn_dedup,
     "op13_fp_search": op13_fp_search,
 }
 # all pairs that share a shingle, and reachability over the links; the other operators have no SQL form or one that is
 # too slow on whole tables, and are tested against brute force
 ORACLES: dict[str, str] = {
+    "op12_debruijn_dedup": r"""WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+    s AS (SELECT doc_id, i, array_to_string(w[i:i + 12], ' ') AS g FROM (SELECT doc_id, w, unnest(range(1, len(w) - 11)) AS i FROM d)),
+    m AS (SELECT g, min(doc_id) AS least FROM s GROUP BY g HAVING count(*) > 1), c AS (SELECT doc_id, i FROM s JOIN m USING (g) WHERE doc_id > least),
+    p AS (SELECT doc_id, i, w[i] AS word FROM (SELECT doc_id, w, unnest(range(1, len(w) + 1)) AS i FROM d)),
+    k AS (SELECT p.doc_id, p.i, word, max(c.i) OVER (PARTITION BY p.doc_id ORDER BY p.i ROWS BETWEEN 12 PRECEDING AND CURRENT ROW) IS NOT NULL AS gone FROM p LEFT JOIN c USING (doc_id, i)),
+    a AS (SELECT doc_id, count(*) AS n, count(*) FILTER (gone) AS r, string_agg(word, ' ' ORDER BY i) FILTER (NOT gone) AS kept FROM k GROUP BY doc_id)
+    SELECT d.doc_id, coalesce(n, 0) AS n_words, coalesce(r, 0) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256 FROM d LEFT JOIN a USING (doc_id)""",
     "op13_fp_search": r"""WITH t AS (SELECT doc_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
       '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM documents),
     q AS (SELECT item_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),

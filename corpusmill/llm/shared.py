@@ -173,6 +173,11 @@ def _marked(rows: DataFrame, ids: DataFrame, col: str) -> DataFrame:
     return rows.join(id_bits(ids, col), "__page", "left").withColumn("__maybe", held).drop("__cell", "__page", "__bits")
 
 
+def marked_ids(rows: DataFrame, ids: DataFrame, col: str) -> DataFrame:
+    """rows with `__maybe`: false only where ids doesn't hold `col`; true for all that it holds and, rarely, for others."""
+    return _marked(rows, ids, col)
+
+
 def only_ids(rows: DataFrame, ids: DataFrame, col: str) -> DataFrame:
     """The rows whose `col` is in ids (a distinct, written table of that column).
 
