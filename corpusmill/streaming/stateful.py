@@ -1,41 +1,97 @@
-"""Streaming twins of the ordered folds, with one small state a key.
+"""Keyed streams with state that ends: ordered folds by key, event-time timers that close or forget, bounded memories.
 
 Inputs are streams with created_at (timestamp) and event_id; keys are columns. In a micro-batch a key's rows are taken in
-(created_at, event_id) order, so streams whose files come in that order give what the batch operators give. A key's state
-is a few numbers and stays: a processing-time timeout would keep an available-now run from ending.
+(created_at, event_id) order, so streams whose files come in that order give what the batch operators give. Every fold says when a key's
+state no longer matters; an event-time timer then closes it (which may emit a row) and the state is gone. Rows at or behind the watermark
+come too late and are dropped (Spark's own filter is a micro-batch behind the timers): split_late() in corpusmill.streaming.sinks keeps
+and counts them first, by the same rule.
+
+State lives in RocksDB (use_rocksdb()), as value, list and map states need it.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming.query import StreamingQuery
-from pyspark.sql.streaming.state import GroupStateTimeout
+from pyspark.sql.streaming.stateful_processor import StatefulProcessor
+
+DAY = 24 * 3600
+DELAY = "10 minutes"
+
+
+def use_rocksdb(spark: SparkSession) -> None:
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
 
 
 def _seconds(pdf: pd.DataFrame) -> pd.Series:
     return pdf["created_at"].astype("datetime64[us]").astype("int64") / 1e6
 
 
-def _fold(stream: DataFrame, keys: list[str], out: T.StructType | str, state: str, step) -> DataFrame:
-    """step(key, rows in order, state tuple or None) -> (output rows, new state)."""
+def _times(seconds: list[float]) -> pd.Series:
+    return pd.Series([round(s * 1e6) for s in seconds], dtype="int64").astype("datetime64[us]")
+
 
-    def run(key, frames: Iterator[pd.DataFrame], group) -> Iterator[pd.DataFrame]:
-        frames = list(frames)  # of one key in one micro-batch; the caller bounds that by maxFilesPerTrigger on the source
-        rows = pd.concat(frames).sort_values(["created_at", "event_id"], kind="stable")
-        produced, new = step(key, rows, group.get if group.exists else None)
-        group.update(new)
+def _in_time(frames: Iterator[pd.DataFrame], timers) -> pd.DataFrame:
+    """A key's rows of one micro-batch beyond the watermark, in order; the caller bounds them by maxFilesPerTrigger on the source."""
+    rows = pd.concat(list(frames)).sort_values(["created_at", "event_id"], kind="stable")
+    return rows[_seconds(rows) * 1000 > timers.getCurrentWatermarkInMs()]
+
+
+class _Fold(StatefulProcessor):
+    """One value state a key and one timer, at the time from which the state doesn't matter.
+
+    step(key, rows in order, state tuple or None) -> (output rows, new state or None, seconds of the timer or None);
+    close(key, state, seconds) -> output rows, when the timer fires.
+    """
+
+    def __init__(self, schema: str, step, close=None):
+        self.schema, self.step, self.close_state = schema, step, close
+
+    def init(self, handle) -> None:
+        self.handle = handle
+        self.state = handle.getValueState("state", self.schema)
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        rows = _in_time(rows, timerValues)
+        if not len(rows):
+            return
+        produced, new, ends = self.step(key, rows, self.state.get() if self.state.exists() else None)
+        for at in list(self.handle.listTimers()):
+            self.handle.deleteTimer(at)
+        if new is None:
+            self.state.clear()
+        else:
+            self.state.update(new)
+            if ends is not None:
+                self.handle.registerTimer(math.ceil(ends * 1000))
         yield produced
 
-    return stream.groupBy(*keys).applyInPandasWithState(run, out, state, "append", GroupStateTimeout.NoTimeout)
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        if not self.state.exists():
+            return
+        state = self.state.get()
+        self.state.clear()
+        if self.close_state is not None:
+            yield self.close_state(key, state, expiredTimerInfo.getExpiryTimeInMs() / 1000)
+
+    def close(self) -> None:
+        pass
+
+
+def _fold(stream: DataFrame, keys: list[str], out: T.StructType | str, state: str, step, late: str, close=None) -> DataFrame:
+    use_rocksdb(stream.sparkSession)
+    dealt = stream.withWatermark("created_at", late).groupBy(*keys)
+    return dealt.transformWithStateInPandas(_Fold(state, step, close), out, "append", "EventTime")
 
 
-def spaced(stream: DataFrame, keys: list[str], seconds: int) -> DataFrame:
-    """As usage.accept_spaced(); state: the last accepted time. dropDuplicatesWithinWatermark would not restart at accepted rows."""
+def spaced(stream: DataFrame, keys: list[str], seconds: int, late: str = DELAY) -> DataFrame:
+    """As usage.accept_spaced(); state: the last accepted time, until `seconds` later. dropDuplicatesWithinWatermark would not restart at accepted rows."""
 
     def step(key, rows, state):
         last = state[0] if state else None
@@ -44,13 +100,13 @@ def spaced(stream: DataFrame, keys: list[str], seconds: int) -> DataFrame:
             ok = last is None or at - last >= seconds
             last = at if ok else last
             keep.append(ok)
-        return rows[keep], (last,)
+        return rows[keep], (last,), last + seconds
 
-    return _fold(stream, keys, stream.schema, "last double", step)
+    return _fold(stream, keys, stream.schema, "last double", step, late)
 
 
-def rate_limited(stream: DataFrame, keys: list[str], seconds: int = 3600, most: int = 5) -> DataFrame:
-    """As usage.limit_rate(); state: when the window ends and how many came."""
+def rate_limited(stream: DataFrame, keys: list[str], seconds: int = 3600, most: int = 5, late: str = DELAY) -> DataFrame:
+    """As usage.limit_rate(); state: when the window ends and how many came, until the window ends."""
 
     def step(key, rows, state):
         reset, n = state or (None, 0)
@@ -60,31 +116,38 @@ def rate_limited(stream: DataFrame, keys: list[str], seconds: int = 3600, most:
                 reset, n = at + seconds, 0
             n += 1
             keep.append(n <= most)
-        return rows[keep], (reset, n)
+        return rows[keep], (reset, n), reset + 0.001
 
-    return _fold(stream, keys, stream.schema, "reset double, n long", step)
+    return _fold(stream, keys, stream.schema, "reset double, n long", step, late)
 
 
-def breaker_trips(stream: DataFrame, by: str = "source", persistent: int = 2, transient: int = 5) -> DataFrame:
-    """As usage.failure_streaks(); state: the streak's kind and length."""
+def breaker_trips(stream: DataFrame, by: str = "source", persistent: int = 2, transient: int = 5, idle: int = 30 * DAY, late: str = DELAY) -> DataFrame:
+    """As usage.failure_streaks(), but that `idle` seconds without an event end a streak; state: its kind, length and last time."""
 
     def step(key, rows, state):
-        kind, n = state or ("", 0)
+        kind, n, last = state or ("", 0, None)
         keep = []
-        for now in rows["kind"]:
-            kind, n = (kind, n + 1) if now == kind else (now, 1)
+        for now, at in zip(rows["kind"], _seconds(rows), strict=True):
+            same = now == kind and (last is None or at - last < idle)
+            kind, n, last = (kind, n + 1, at) if same else (now, 1, at)
             keep.append((now == "persistent" and n == persistent) or (now == "transient" and n == transient))
-        return rows.loc[keep], (kind, n)
+        return rows.loc[keep], (kind, n, last), last + idle
 
-    return _fold(stream, [by], stream.schema, "kind string, n long", step)
+    return _fold(stream, [by], stream.schema, "kind string, n long, last double", step, late)
 
 
-def alert_sessions(stream: DataFrame, seconds: int = 60) -> DataFrame:
-    """Groups of a key's alerts that the first of each opens for `seconds`; critical ones also go out at once.
+def alert_sessions(stream: DataFrame, seconds: int = 60, late: str = DELAY) -> DataFrame:
+    """Groups of a key's alerts that the first of each opens for `seconds`; those of level 3 or more go out by themselves, at once.
 
-    A group is closed by the first alert after its end. The state of a key is its open group; one that no alert follows
-    stays open (alert_windows(), the tumbling approximation, closes all by watermark).
+    (key, kind, start, n, level). A group goes out when an alert comes after its end or the watermark has passed it, whichever is first:
+    every alert is in one group once the watermark is past it.
     """
+    columns = ["key", "kind", "start", "n", "level"]
+
+    def rows_of(out):
+        pdf = pd.DataFrame(out, columns=columns)
+        pdf["start"] = _times(list(pdf["start"]))
+        return pdf
 
     def step(key, rows, state):
         start, n, level = state or (None, 0, 0)
@@ -98,34 +161,116 @@ def alert_sessions(stream: DataFrame, seconds: int = 60) -> DataFrame:
                 start, n, level = None, 0, 0
             start = at if start is None else start
             n, level = n + 1, max(level, int(now))
-        return pd.DataFrame(out, columns=["key", "kind", "start", "n", "level"]), (start, n, level)
+        return rows_of(out), None if start is None else (start, n, level), None if start is None else start + seconds
+
+    def close(key, state, at):
+        return rows_of([(key[0], "group", *state)])
 
-    return _fold(stream, ["key"], "key string, kind string, start double, n long, level int", "start double, n long, level int", step)
+    return _fold(stream, ["key"], "key string, kind string, start timestamp, n long, level int", "start double, n long, level int", step, late, close)
 
 
-def alert_windows(stream: DataFrame, window: str = "60 seconds", late: str = "10 minutes") -> DataFrame:
-    """X4, X5, approximated: tumbling windows with a watermark; (key, window, n, level)."""
+def alert_windows(stream: DataFrame, window: str = "60 seconds", late: str = DELAY) -> DataFrame:
+    """X4, approximated without Python: tumbling windows; (key, window, n, level)."""
     return stream.withWatermark("created_at", late).groupBy("key", F.window("created_at", window)).agg(F.count("*").alias("n"), F.max("level").alias("level"))
 
 
-def throttled_messages(stream: DataFrame, shown: int = 5, every: str = "15 minutes", late: str = "1 hour") -> DataFrame:
-    """At most one message a key and window: the first lines, and how many more there were."""
-    per = stream.withWatermark("created_at", late).groupBy("key", F.window("created_at", every)).agg(F.array_sort(F.collect_list(F.struct("created_at", "message"))).alias("all"))
-    lines = F.array_join(F.transform(F.slice("all", 1, shown), lambda m: m["message"]), "\n")
-    more = F.size("all") - shown
-    return per.select("key", "window", F.when(more > 0, F.concat(lines, F.lit("\n+"), more.cast("string"), F.lit(" more"))).otherwise(lines).alias("message"))
+class _Throttle(StatefulProcessor):
+    """When a key last sent, how many messages wait and, as a list state, the first of them."""
+
+    def __init__(self, shown: int, seconds: int):
+        self.shown, self.seconds = shown, seconds
+
+    def init(self, handle) -> None:
+        self.handle = handle
+        self.sent = handle.getValueState("sent", "last double, n long")
+        self.waiting = handle.getListState("waiting", "message string")
 
+    def _line(self, key, at, n, lines):
+        more = f"\n(+{n - self.shown} more)" if n > self.shown else ""
+        return key[0], at, n, "\n".join(f"• {m}" for m in lines) + more
 
-def job_states(stream: DataFrame, most: int = 3, stuck: int = 7200) -> DataFrame:
-    """Job events (job, event) to states: claim, complete, flag, fail, reset, check.
+    def _rows(self, out):
+        pdf = pd.DataFrame(out, columns=["key", "at", "n", "message"])
+        pdf["at"] = _times(list(pdf["at"]))
+        return pdf
 
-    A claim takes a pending job; the third failure is final; check resets a claim older than `stuck` seconds; reset reopens.
+    def handleInputRows(self, key, rows, timerValues):
+        rows = _in_time(rows, timerValues)
+        if not len(rows):
+            return
+        last, n = self.sent.get() if self.sent.exists() else (None, 0)
+        lines = [m for (m,) in self.waiting.get()] if n else []
+        out = []
+        for at, message in zip(_seconds(rows), rows["message"], strict=True):
+            if n and at - last >= self.seconds:  # what waited was due before this one came
+                last += self.seconds
+                out.append(self._line(key, last, n, lines))
+                n, lines = 0, []
+            if last is None or at - last >= self.seconds:
+                last = at
+                out.append(self._line(key, at, 1, [message]))
+            else:
+                n += 1
+                lines = [*lines, message] if len(lines) < self.shown else lines
+        self._keep(last, n, lines)
+        yield self._rows(out)
+
+    def _keep(self, last, n, lines):
+        self.sent.update((last, n))
+        if lines:
+            self.waiting.put([(m,) for m in lines])
+        else:
+            self.waiting.clear()
+        for at in list(self.handle.listTimers()):
+            self.handle.deleteTimer(at)
+        self.handle.registerTimer(math.ceil((last + self.seconds) * 1000))
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
+        last, n = self.sent.get()
+        if not n:  # nothing came since: the next message goes at once, as for a new key
+            self.sent.clear()
+            return
+        lines = [m for (m,) in self.waiting.get()]
+        self._keep(last + self.seconds, 0, [])
+        yield self._rows([self._line(key, last + self.seconds, n, lines)])
+
+    def close(self) -> None:
+        pass
+
+
+def throttled_messages(stream: DataFrame, shown: int = 5, seconds: int = 900, late: str = DELAY) -> DataFrame:
+    """(key, at, n, message): a key's messages, sent at once if nothing was sent for `seconds`, else together when that time is over.
+
+    A message shows the first lines and how many more there are; state holds no more than those.
+    """
+    use_rocksdb(stream.sparkSession)
+    dealt = stream.withWatermark("created_at", late).groupBy("key")
+    return dealt.transformWithStateInPandas(_Throttle(shown, seconds), "key string, at timestamp, n long, message string", "append", "EventTime")
+
+
+def job_states(stream: DataFrame, most: int = 3, stuck: int = 7200, keep: int = 30 * DAY, late: str = DELAY) -> DataFrame:
+    """Job events (job, event) to states: claim, complete, flag, fail, reset.
+
+    A claim takes a pending job; the third failure is final; a claim older than `stuck` seconds goes back to pending by timer or
+    before the next event; reset reopens a failed job. A job is forgotten `keep` seconds after its last event.
     """
+    columns = ["job", "at", "status", "attempts"]
+
+    def rows_of(out):
+        pdf = pd.DataFrame(out, columns=columns)
+        pdf["at"] = _times(list(pdf["at"]))
+        return pdf
 
     def step(key, rows, state):
-        status, attempts, since = state or ("pending", 0, None)
+        status, attempts, since, last = state or ("pending", 0, 0.0, None)
         out = []
         for at, event in zip(_seconds(rows), rows["event"], strict=True):
+            if status == "in_progress" and at - since >= stuck:
+                status = "pending"
+                out.append((key[0], since + stuck, status, attempts))
+            if last is not None and at - last >= keep:
+                status, attempts = "pending", 0
+            last = at
             if event == "claim" and status == "pending":
                 status, since = "in_progress", at
             elif event == "complete" and status == "in_progress":
@@ -135,21 +280,69 @@ def job_states(stream: DataFrame, most: int = 3, stuck: int = 7200) -> DataFrame
             elif event == "fail" and status == "in_progress":
                 attempts += 1
                 status = "failed" if attempts >= most else "pending"
-            elif event == "check" and status == "in_progress" and at - since > stuck:
-                status = "pending"
             elif event == "reset" and status == "failed":
                 status, attempts = "pending", 0
             else:
                 continue
             out.append((key[0], at, status, attempts))
-        return pd.DataFrame(out, columns=["job", "at", "status", "attempts"]), (status, attempts, since)
-
-    return _fold(stream, ["job"], "job long, at double, status string, attempts int", "status string, attempts int, since double", step)
-
-
-def new_events(stream: DataFrame, id_col: str, time: str = "created_at", memory: str = "7 days") -> DataFrame:
-    """Events not seen within the watermark."""
-    return stream.withWatermark(time, memory).dropDuplicatesWithinWatermark([id_col])
+        return rows_of(out), (status, attempts, since, last), since + stuck if status == "in_progress" else last + keep
+
+    class _Jobs(_Fold):
+        def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
+            status, attempts, since, last = self.state.get()
+            if status != "in_progress":
+                self.state.clear()
+                return
+            self.state.update(("pending", attempts, since, last))
+            self.handle.registerTimer(math.ceil((last + keep) * 1000))
+            yield rows_of([(key[0], since + stuck, "pending", attempts)])
+
+    use_rocksdb(stream.sparkSession)
+    dealt = stream.withWatermark("created_at", late).groupBy("job")
+    fold = _Jobs("status string, attempts int, since double, last double", step)
+    return dealt.transformWithStateInPandas(fold, "job long, at timestamp, status string, attempts int", "append", "EventTime")
+
+
+class _Seen(StatefulProcessor):
+    """The last `memory` ids of a key, as a map from id to its number."""
+
+    def __init__(self, id_col: str, memory: int):
+        self.id_col, self.memory = id_col, memory
+
+    def init(self, handle) -> None:
+        self.next = handle.getValueState("next", "n long")
+        self.ring = handle.getMapState("ring", "id string", "n long")
+
+    def handleInputRows(self, key, rows, timerValues):
+        rows = pd.concat(list(rows)).sort_values(["created_at", "event_id"], kind="stable")
+        n = self.next.get()[0] if self.next.exists() else 0
+        before = {k[0]: v[0] for k, v in self.ring.iterator()} if n else {}  # `memory` ids at most
+        held = dict(sorted(before.items(), key=lambda x: x[1]))  # oldest first
+        keep = []
+        for id_ in rows[self.id_col].astype(str):
+            new = id_ not in held
+            keep.append(new)
+            if new:
+                held[id_] = n
+                n += 1
+                if len(held) > self.memory:
+                    del held[next(iter(held))]
+        for id_ in before.keys() - held.keys():
+            self.ring.removeKey((id_,))
+        for id_, at in held.items():
+            if before.get(id_) != at:
+                self.ring.updateValue((id_,), (at,))
+        self.next.update((n,))
+        yield rows[keep]
+
+    def close(self) -> None:
+        pass
+
+
+def new_events(stream: DataFrame, id_col: str, by: str, memory: int = 200) -> DataFrame:
+    """Events whose id is none of the last `memory` new ones of their key, oldest first; a seen id doesn't renew its place."""
+    use_rocksdb(stream.sparkSession)
+    return stream.groupBy(by).transformWithStateInPandas(_Seen(id_col, memory), stream.schema, "append", "None")
 
 
 def run_available(stream: DataFrame, sink: str, checkpoint: str, mode: str = "append") -> StreamingQuery:
@@ -157,13 +350,6 @@ def run_available(stream: DataFrame, sink: str, checkpoint: str, mode: str = "ap
     return stream.writeStream.format("parquet").outputMode(mode).option("path", sink).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
-def budget_alerts(stream: DataFrame, threshold: int, emit, checkpoint: str) -> StreamingQuery:
-    """Live counts by bucket; emit(DataFrame of (bucket, n)) for those over the threshold that changed in a batch."""
-    counts = stream.groupBy("bucket").agg(F.count("*").alias("n"))
-    over = lambda df, batch: emit(df.filter(F.col("n") > threshold))
-    return counts.writeStream.outputMode("update").option("checkpointLocation", checkpoint).trigger(availableNow=True).foreachBatch(over).start()
-
-
 def within_days(df: DataFrame, as_of, days: int, column: str = "day") -> DataFrame:
     """The day partitions that are kept; others aren't read."""
     return df.filter(F.col(column) > F.date_sub(as_of, days))

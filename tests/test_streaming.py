@@ -3,13 +3,14 @@
 from __future__ import annotations
 
 import datetime as dt
+import os
 import random
 
 import pytest
 from pyspark.sql import functions as F
 
 from corpusmill.operators import usage
-from corpusmill.streaming import stateful
+from corpusmill.streaming import sinks, stateful
 
 START = dt.datetime(2024, 1, 1)
 SCHEMA = "event_id long, key string, kind string, level int, message string, created_at timestamp"
@@ -59,41 +60,158 @@ def test_breaker(spark, source):
     assert keys(got) == sorted(r["seq"] for r in want.collect())
 
 
-def test_alert_sessions(spark, source, rows):
-    _, path = source
-    want, held = [], {}
+def sessions(rows, seconds, high):
+    """Every alert is in one group; those whose end is past `high` are still open."""
+    out, held = [], {}
     for _, key, _, level, _, at in rows:
         now = (at - START).total_seconds()
         if level >= 3:
-            want.append((key, "critical", 1))
+            out.append((key, "critical", now, 1))
             continue
-        if key in held and now - held[key][0] >= 60:
-            want.append((key, "group", held.pop(key)[1]))
+        if key in held and now - held[key][0] >= seconds:
+            out.append((key, "group", *held.pop(key)))
         first, n = held.get(key, (now, 0))
         held[key] = (first, n + 1)
-    got = streamed(spark, path, lambda s: stateful.alert_sessions(s, 60))
-    assert sorted((r["key"], r["kind"], r["n"]) for r in got.collect()) == sorted(want)
+    return sorted(out + [(key, "group", first, n) for key, (first, n) in held.items() if first + seconds <= high])
+
 
+def since(at):
+    return (at - START).total_seconds()
 
-def test_new_events(spark, source):
+
+def test_alert_sessions(spark, source, rows):
     _, path = source
-    assert streamed(spark, path, lambda s: stateful.new_events(s, "message")).count() == 5
+    got = streamed(spark, path, lambda s: stateful.alert_sessions(s, 60, "0 seconds"))
+    assert sorted((r["key"], r["kind"], since(r["start"]), r["n"]) for r in got.collect()) == sessions(rows, 60, since(rows[-1][5]))
 
 
-def test_windows_and_throttled_messages_close_behind_the_watermark(spark, source):
-    batch, path = source
-    closed = streamed(spark, path, lambda s: stateful.throttled_messages(s, 2, "5 minutes", "0 seconds")).collect()
-    assert closed and all(r["message"].count("\n") <= 2 for r in closed)
-    total = batch.groupBy("key", F.window("created_at", "5 minutes")).count().count()
-    assert len(closed) <= total
+def later(rows, seconds):
+    """One more event of another key, so late that the watermark passes everything before it."""
+    return (10_000, "z", "ok", 0, "end", rows[-1][5] + dt.timedelta(seconds=seconds))
+
+
+def states(spark, path, name):
+    return spark.read.format("statestore").option("stateVarName", name).load(f"{path}/state").count()
+
+
+@pytest.mark.parametrize(
+    ("build", "name"),
+    [
+        (lambda s: stateful.spaced(s, ["key"], 60, "0 seconds"), "state"),
+        (lambda s: stateful.rate_limited(s, ["key"], 600, 5, "0 seconds"), "state"),
+        (lambda s: stateful.breaker_trips(s, "key", 2, 3, 3600, "0 seconds"), "state"),
+        (lambda s: stateful.alert_sessions(s, 60, "0 seconds"), "state"),
+        (lambda s: stateful.throttled_messages(s, 2, 300, "0 seconds"), "sent"),
+        (lambda s: stateful.job_states(s.withColumn("job", F.ascii("key").cast("long")).withColumn("event", F.lit("claim")), keep=9000, late="0 seconds"), "state"),
+    ],
+    ids=["spaced", "rate", "breaker", "alerts", "throttle", "jobs"],
+)
+def test_state_ends(spark, source, rows, build, name):
+    _, path = source
+    streamed(spark, path, build)
+    assert states(spark, path, name) > 0
+    for ahead in (20_000, 60_000) if name == "state" and "job" in build.__code__.co_consts else (20_000,):  # a stuck job is reset, then forgotten
+        spark.createDataFrame([later(rows, ahead)], SCHEMA).coalesce(1).write.mode("append").parquet(f"{path}/in")
+        streamed(spark, path, build)
+    assert states(spark, path, name) == 1  # the last event's own key
 
 
-def test_budget_emits_what_changed(spark, source):
+def test_every_alert_is_in_one_group(spark, source, rows):
     _, path = source
-    seen = []
+    spark.createDataFrame([later(rows, 3600)], SCHEMA).coalesce(1).write.mode("append").parquet(f"{path}/in")
+    got = streamed(spark, path, lambda s: stateful.alert_sessions(s, 60, "0 seconds")).agg(F.sum("n")).first()[0]
+    assert got == len(rows)
+
+
+def test_new_events_forget_the_oldest(spark, source, rows):
+    _, path = source
+    held, want = {}, []
+    for id_, key, _, _, message, _ in rows:
+        ring = held.setdefault(key, [])
+        if message not in ring:
+            want.append(id_)
+            ring.append(message)
+            del ring[:-3]
+    assert len(want) > 5 * len(held)  # ids came back after they were forgotten
+    assert keys(streamed(spark, path, lambda s: stateful.new_events(s, "message", "key", 3))) == sorted(want)
+
+
+def test_throttled_messages(spark, source, rows):
+    _, path = source
+    want, high = [], since(rows[-1][5])
+    for key in "abc":
+        last, waiting = None, []
+        for _, k, _, _, message, at in rows:
+            if k != key:
+                continue
+            now = since(at)
+            if waiting and now - last >= 300:
+                last += 300
+                want.append((key, last, len(waiting), waiting[:2]))
+                waiting = []
+            if last is None or now - last >= 300:
+                last = now
+                want.append((key, now, 1, [message]))
+            else:
+                waiting.append(message)
+        if waiting and last + 300 <= high:
+            want.append((key, last + 300, len(waiting), waiting[:2]))
+    text = lambda n, lines: "\n".join(f"• {m}" for m in lines) + (f"\n(+{n - 2} more)" if n > 2 else "")
+    got = streamed(spark, path, lambda s: stateful.throttled_messages(s, 2, 300, "0 seconds")).collect()
+    assert sorted((r["key"], since(r["at"]), r["n"], r["message"]) for r in got) == sorted((k, at, n, text(n, lines)) for k, at, n, lines in want)
+
+
+def test_windows_close_behind_the_watermark(spark, source):
+    batch, path = source
+    closed = streamed(spark, path, lambda s: stateful.alert_windows(s, "5 minutes", "0 seconds"))
+    want = batch.groupBy("key", F.window("created_at", "5 minutes")).count().filter(F.col("window.end") <= batch.agg(F.max("created_at")).first()[0])
+    assert closed.count() == want.count() > 0
+
+
+def live(spark, path):
     stream = spark.readStream.schema(SCHEMA).option("maxFilesPerTrigger", 1).parquet(f"{path}/in").select(F.col("key").alias("bucket"))
-    stateful.budget_alerts(stream, 50, lambda df: seen.extend(map(tuple, df.collect())), f"{path}/state").awaitTermination()
-    assert all(n > 50 for _, n in seen) and len(seen) == len(set(seen))
+    sinks.budget_alerts(stream, 20, path, f"{path}/state").awaitTermination()
+    return sorted((r["batch"], r["bucket"], r["n"]) for r in sinks.emitted(spark, path, "bucket string, n long").collect())
+
+
+def test_only_changed_snapshots_are_emitted(spark, source, rows):
+    _, path = source
+    want, n, last = [], dict.fromkeys("abc", 0), {}
+    for batch in range(3):
+        for r in rows[batch * 100 : batch * 100 + 100]:
+            n[r[1]] += 1
+        for key in "abc":
+            if n[key] > 20 and last.get(key) != n[key]:
+                want.append((batch, key, n[key]))
+                last[key] = n[key]
+    assert live(spark, path) == sorted(want)
+
+
+def test_a_replayed_batch_emits_the_same(spark, source):
+    _, path = source
+    first = live(spark, path)
+    # as if the run had ended between the sink's write and the commit of the last batch
+    for name in ("2", ".2.crc"):
+        os.remove(f"{path}/state/commits/{name}")
+    assert live(spark, path) == first
+
+
+def test_late_rows_are_kept_and_counted(spark, rows, tmp_path):
+    path = str(tmp_path)
+    order = rows[:100] + rows[150:250] + rows[100:150] + rows[250:]
+    for a, b in ((0, 100), (100, 200), (200, 300)):
+        spark.createDataFrame(order[a:b], SCHEMA).coalesce(1).write.mode("append").parquet(f"{path}/in")
+    stream = spark.readStream.schema(SCHEMA).option("maxFilesPerTrigger", 1).parquet(f"{path}/in")
+    sinks.split_late(stream, f"{path}/out", f"{path}/marks", delay=dt.timedelta(seconds=300)).awaitTermination()
+    cut = rows[249][5] - dt.timedelta(seconds=300)
+    want = sorted(r[0] for r in rows[100:150] if r[5] <= cut)
+    late = sinks.late(spark, f"{path}/out", stream.schema)
+    assert want and keys(late) == want and {r["batch"] for r in late.collect()} == {2}
+    kept = sinks.accepted(spark, f"{path}/out", stream.schema)
+    assert keys(kept) == sorted(set(range(300)) - set(want))
+    # the watermark drops the same rows
+    out = streamed(spark, path, lambda s: stateful.spaced(s, ["event_id"], 1, "300 seconds"))
+    assert keys(out) == keys(kept)
 
 
 def test_jobs_fail_for_good_at_the_third_time(spark, tmp_path):
