@@ -1,11 +1,16 @@
-"""Near-duplicate hashes: 64-bit codes, banded Hamming join, and keeping the first of each likeness."""
+"""Near-duplicate hashes: 64-bit codes, a Hamming join over combinations of bands, and keeping the first of each likeness."""
 
 from __future__ import annotations
 
+from itertools import combinations
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-BANDS = 6
+from corpusmill.sources.scratch import new_folder
+
+AGREE = 3  # bands that two near codes surely have in common
+BLOCK = 2048  # codes of one key that one task compares with as many
 
 
 def sign_hash(vector: str, bits: int = 64) -> Column:
@@ -14,6 +19,24 @@ def sign_hash(vector: str, bits: int = 64) -> Column:
     return F.aggregate(part, F.lit(0).cast("long"), lambda a, x: F.shiftleft(a, 1).bitwiseOR(F.when(x > 0, F.lit(1).cast("long")).otherwise(F.lit(0).cast("long"))))
 
 
+def token_hash(df: DataFrame, key: str, text: str) -> DataFrame:
+    """H38 for texts: (key, code): bit i is set if most words of the text have bit i of their MD5 set; texts without words have none.
+
+    The first hexadecimal digit of the MD5 is bits 63 to 60.
+    """
+    words = df.select(key, F.explode(F.split(F.lower(F.col(text)), r"\s+")).alias("w")).filter("w <> ''")
+    words = words.groupBy(key, "w").agg(F.count("*").alias("n"))
+    half = lambda at: F.conv(F.substring(F.md5("w"), at, 8), 16, 10).cast("long")
+    words = words.select(key, "n", half(1).alias("hi"), half(9).alias("lo"))
+    votes = lambda c, i: F.sum(F.when(F.shiftright(c, i).bitwiseAND(1) == 1, F.col("n")).otherwise(-F.col("n"))) > 0
+    bits = [votes("hi", i).alias(f"b{32 + i}") for i in range(32)] + [votes("lo", i).alias(f"b{i}") for i in range(32)]
+    voted = words.groupBy(key).agg(*bits)
+    code = F.lit(0).cast("long")
+    for i in range(64):
+        code = code.bitwiseOR(F.when(F.col(f"b{i}"), F.lit(1 << i if i < 63 else -(1 << 63))).otherwise(F.lit(0)).cast("long"))
+    return voted.select(key, code.alias("code"))
+
+
 def hash_hex(code: Column) -> Column:
     """H38."""
     return F.lpad(F.lower(F.hex(code)), 16, "0")
@@ -30,30 +53,101 @@ def code_classes(df: DataFrame, key: str, code: str) -> DataFrame:
     return df.filter(F.col(code).isNotNull()).join(least, code).select(key, "class")
 
 
-def near_pairs(df: DataFrame, key: str, code: str, most: int = 5, bands: int = BANDS) -> DataFrame:
-    """(a, b, distance) with a < b: classes of unlike codes with at most `most` unlike bits, by their smallest keys.
+def _bands(most: int, agree: int) -> list[tuple[int, int]]:
+    """(lowest bit, width) of most + agree bands that share the 64 bits evenly."""
+    n = most + agree
+    edges = [64 * i // n for i in range(n + 1)]
+    return [(a, b - a) for a, b in zip(edges[:-1], edges[1:], strict=True)]
+
+
+def near_pairs(df: DataFrame, key: str, code: str, most: int = 5, agree: int = AGREE, by: list[str] | None = None) -> DataFrame:
+    """(*by, a, b, distance) with a < b: classes of unlike codes with at most `most` unlike bits, by their smallest keys.
+
+    Rows with equal codes (and `by`) are one class, see code_classes(), so a group of copies stands in no pair with itself. Codes
+    within `most` bits agree on `agree` of most + agree bands at least: a code is filed under every combination of so many
+    bands (with 5 and 3: 56 keys of 24 bits), and a pair is kept where it meets on the first bands on which it agrees. The codes of a
+    crowded key are dealt to blocks, and pairs of blocks compared in tasks of their own.
+    """
+    by = by or []
+    bands = _bands(most, agree)
+    codes = df.filter(F.col(code).isNotNull()).groupBy(*by, F.col(code).alias("c")).agg(F.min(key).alias("i"))
+    cut = lambda c, x: F.shiftrightunsigned(c, bands[x][0]).bitwiseAND((1 << bands[x][1]) - 1)
+    combos = list(combinations(range(len(bands)), agree))
+
+    def value(chosen):
+        v = F.lit(0).cast("long")
+        for x in chosen:
+            v = F.shiftleft(v, bands[x][1]).bitwiseOR(cut(F.col("c"), x))
+        return v
+
+    filed = codes.select(*by, "c", "i", F.posexplode(F.array(*map(value, combos))).alias("combo", "v"))
+    at = [*by, "combo", "v"]
+    sizes = filed.groupBy(*at).agg(F.count("*").alias("n")).filter("n > 1")
+    same = [F.col(f"x.{c}").eqNullSafe(F.col(f"y.{c}")) for c in at]
+    met = filed.alias("x").join(sizes.alias("y"), same).select(*(F.col(f"x.{c}") for c in at), "x.c", "x.i", F.expr(f"cast(1 + (y.n - 1) div {BLOCK} as int)").alias("blocks"))
+    met = met.withColumn("own", F.pmod(F.xxhash64("c"), F.col("blocks")).cast("int"))
+    dealt = met.select("*", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
+    dealt = dealt.withColumns({"p": F.least("own", "other"), "q": F.greatest("own", "other")}).drop("blocks", "other")
+    same = [F.col(f"x.{c}").eqNullSafe(F.col(f"y.{c}")) for c in [*at, "p", "q"]]
+    # both codes are in blocks p and q; those of one block meet in the task (p, p) alone
+    apart = (F.col("x.p") == F.col("x.q")) | (F.col("x.own") != F.col("y.own"))
+    pair = dealt.alias("x").join(dealt.alias("y"), [*same, F.col("x.i") < F.col("y.i"), apart, hamming(F.col("x.c"), F.col("y.c")) <= most])
+    pair = pair.select(*(F.col(f"x.{c}").alias(c) for c in [*by, "combo"]), F.col("x.c").alias("c"), F.col("y.c").alias("d"), F.col("x.i").alias("a"), F.col("y.i").alias("b"))
+    agreed = F.filter(F.array(*(F.when(cut(F.col("c"), x) == cut(F.col("d"), x), x) for x in range(len(bands)))), lambda x: x.isNotNull())
+    first = F.element_at(F.array(*(F.array(*map(F.lit, chosen)) for chosen in combos)), F.col("combo") + 1)
+    kept = pair.filter(F.slice(agreed, 1, agree) == first)
+    return kept.select(*by, "a", "b", hamming(F.col("c"), F.col("d")).alias("distance"))
+
+
+def _written(df: DataFrame, label: str) -> DataFrame:
+    """df, written to the shared folder and read back: a round's plan begins there."""
+    folder = new_folder(df.sparkSession, label)
+    df.write.parquet(folder)
+    return df.sparkSession.read.schema(df.schema).parquet(folder)
+
+
+def first_of_each(pairs: DataFrame, by: list[str] | None = None) -> DataFrame:
+    """(*by, key) that a fold in key order drops: each that is near a smaller kept one. pairs: (*by, a, b) with a < b.
+
+    In rounds: what is near no smaller undecided key is kept, and what is near that is dropped. Each round settles at least the
+    smallest keys, in practice nearly all; a chain in which every key is near the next one alone takes a round for two of them.
+    """
+    at = by or []
+    open_ = _written(pairs.select(*at, "a", "b").distinct(), "near-open")
+    dropped = None
+    while not open_.isEmpty():
+        named = lambda df, c: df.select(*at, F.col(c).alias("k")).distinct()
+        kept = _minus(named(open_, "a"), named(open_, "b"), at)
+        gone = _written(_within(open_, kept, "a", at).select(*at, F.col("b").alias("k")).distinct(), "near-dropped")
+        dropped = gone if dropped is None else dropped.unionByName(gone)
+        left = _minus(_minus(_minus(open_, kept, at, "a"), gone, at, "a"), gone, at, "b")
+        open_ = _written(left, "near-open")
+    return dropped if dropped is not None else open_.select(*at, F.col("a").alias("k"))
+
+
+def _match(left: DataFrame, keys: DataFrame, column: str, at: list[str], how: str) -> DataFrame:
+    other = keys.select(*(F.col(c).alias(f"__{c}") for c in at), F.col("k").alias("__k"))
+    same = [F.col(c).eqNullSafe(F.col(f"__{c}")) for c in at] + [F.col(column) == F.col("__k")]
+    return left.join(other, same, how)
+
+
+def _minus(left: DataFrame, keys: DataFrame, at: list[str], column: str = "k") -> DataFrame:
+    return _match(left, keys, column, at, "left_anti")
+
+
+def _within(left: DataFrame, keys: DataFrame, column: str, at: list[str]) -> DataFrame:
+    return _match(left, keys, column, at, "left_semi")
+
+
+def keep_greedy(items: DataFrame, group: str | None, order: str, code: str, most: int = 5, agree: int = AGREE) -> DataFrame:
+    """In order, items that are near no kept one of their group (None: of all); the order is a key of the group.
 
-    Rows with equal codes are one class, see code_classes(), so a group of copies stands in no pair with itself. Codes
-    within `most` bits agree on one of most + 1 bands at least, so pairs are sought by band, and kept at the first band
-    on which they agree.
+    Equals a fold over the group in order, but no group is one row or one task: near pairs come from near_pairs(), and
+    first_of_each() settles them. Of equal codes the first stands for all, the others go; an item without a code is near none.
     """
-    if bands <= most:
-        raise ValueError("there must be more bands than unlike bits")
-    width = -(-64 // bands)
-    codes = df.filter(F.col(code).isNotNull()).groupBy(F.col(code).alias("c")).agg(F.min(key).alias("i"))
-    cut = lambda c: [F.shiftrightunsigned(c, i * width).bitwiseAND((1 << width) - 1) for i in range(bands)]
-    banded = codes.select("c", "i", F.posexplode(F.array(*cut(F.col("c")))).alias("band", "v"))
-    other = banded.select(F.col("c").alias("d"), F.col("i").alias("j"), "band", "v")
-    met = banded.join(other, ["band", "v"]).filter((F.col("i") < F.col("j")) & (hamming(F.col("c"), F.col("d")) <= most))
-    first = F.array_position(F.zip_with(F.array(*cut(F.col("c"))), F.array(*cut(F.col("d"))), lambda x, y: x == y), True) - 1
-    return met.filter(F.col("band") == first).select(F.col("i").alias("a"), F.col("j").alias("b"), hamming(F.col("c"), F.col("d")).alias("distance"))
-
-
-def keep_greedy(items: DataFrame, group: str, order: str, code: str, most: int = 5) -> DataFrame:
-    """Inside a group, in order, items that are near no kept one; a group is one document's images."""
-    near = lambda kept, x: F.exists(kept, lambda k: hamming(k["code"], x["code"]) <= most)
-    listed = F.array_sort(F.collect_list(F.struct(F.col(order).alias("ord"), F.col(code).alias("code"))))
-    kind = f"array<struct<ord:{dict(items.dtypes)[order]},code:bigint>>"
-    folded = F.aggregate(F.col("all"), F.array().cast(kind), lambda kept, x: F.when(near(kept, x), kept).otherwise(F.array_append(kept, x)))
-    kept = items.groupBy(group).agg(listed.alias("all")).select(group, F.explode(folded).alias("k"))
-    return kept.select(group, F.col("k.ord").alias(order), F.col("k.code").alias(code))
+    at = [group] if group else []
+    pairs = near_pairs(items, order, code, most, agree, at)
+    dropped = first_of_each(pairs, at)
+    firsts = items.filter(F.col(code).isNotNull()).groupBy(*at, code).agg(F.min(order).alias(order))
+    firsts = firsts.unionByName(items.filter(F.col(code).isNull()).select(*at, code, order))
+    return _minus(firsts, dropped, at, order).select(*at, order, code)

@@ -245,7 +245,25 @@ def near_duplicate_classes(spark, sf):
 
 def near_duplicates_kept(spark, sf):
     codes = table(spark, sf, "embeddings").select("label", "vec_id", neardup.sign_hash("embedding").alias("code"))
-    return neardup.keep_greedy(codes, "label", "vec_id", "code", 12)
+    return neardup.keep_greedy(codes, "label", "vec_id", "code", 12, agree=2)
+
+
+def near_texts(spark, sf):
+    """Pairs of documents whose word codes differ in five bits at most."""
+    docs = table(spark, sf, "documents")
+    return neardup.near_pairs(neardup.token_hash(docs, "doc_id", "text"), "doc_id", "code", 5)
+
+
+def near_texts_kept(spark, sf):
+    """The documents that a fold over all of them in order keeps: near no kept one."""
+    docs = table(spark, sf, "documents")
+    return neardup.keep_greedy(neardup.token_hash(docs, "doc_id", "text"), None, "doc_id", "code", 5)
+
+
+def near_text_classes(spark, sf):
+    """Documents by the first with the same word code."""
+    docs = table(spark, sf, "documents")
+    return neardup.code_classes(neardup.token_hash(docs, "doc_id", "text"), "doc_id", "code")
 
 
 def best_matches(spark, sf):
@@ -257,6 +275,11 @@ def best_matches(spark, sf):
     return reconcile.best_matches(texts, found).select("doc_id", "score", "matched")
 
 
+_CODES = r"""WITH w AS (SELECT doc_id, unnest(regexp_split_to_array(lower(text), '\s+')) AS w FROM documents),
+      n AS (SELECT doc_id, md5(w) AS h, count(*) AS n FROM w WHERE w <> '' GROUP BY ALL), b AS (SELECT doc_id, i, sum(CASE WHEN (('0x' || substr(h, 1 + 4 * CAST(i // 16 AS INT), 4))::INT >> CAST(15 - i % 16 AS INT)) & 1 = 1 THEN n ELSE -n END) > 0 AS bit
+        FROM n, range(64) r(i) GROUP BY ALL), c AS (SELECT doc_id, list(bit ORDER BY i) AS code FROM b GROUP BY doc_id),
+      k AS (SELECT doc_id, list_reduce(list_transform(code, lambda x: CASE WHEN x THEN '1' ELSE '0' END), lambda x, y: x || y)::BIT AS code FROM c)"""
+
 PLANS = {
     "work_queue_default": (work_queue_default, f"WITH {_W} SELECT id, processing_status FROM w WHERE processing_status = 'pending' OR (processing_status = 'processing' AND started < TIMESTAMP '{AS_OF}' - INTERVAL 4 HOUR) OR (processing_status = 'failed' AND started < TIMESTAMP '{AS_OF}' - INTERVAL 7 DAY)"),
     "work_queue_figures": (work_queue_figures, f"WITH {_W} SELECT id FROM w WHERE text_status = 'complete' AND figures_status <> 'complete'"),
@@ -303,6 +326,27 @@ PLANS = {
     "near_duplicate_classes": (near_duplicate_classes, "WITH h AS (SELECT vec_id, list_transform(embedding[1:64], lambda x: x > 0) AS code FROM embeddings) SELECT vec_id, min(vec_id) OVER (PARTITION BY code) AS class FROM h"),
     "near_duplicate_vectors": (near_duplicate_vectors, """WITH h AS (SELECT min(vec_id) AS vec_id, code FROM (SELECT vec_id, list_reduce(list_transform(embedding[1:64], lambda x: CASE WHEN x > 0 THEN '1' ELSE '0' END), lambda a, b: a || b)::BIT AS code FROM embeddings) GROUP BY code)
       SELECT a.vec_id AS a, b.vec_id AS b, CAST(bit_count(xor(a.code, b.code)) AS INT) AS distance FROM h a JOIN h b ON a.vec_id < b.vec_id WHERE bit_count(xor(a.code, b.code)) <= 5"""),
-    "near_duplicates_kept": (near_duplicates_kept, None),
+    "near_duplicates_kept": (
+        near_duplicates_kept,
+        """WITH RECURSIVE h AS (SELECT label, vec_id, list_reduce(list_transform(embedding[1:64], lambda x: CASE WHEN x > 0 THEN '1' ELSE '0' END), lambda a, b: a || b)::BIT AS code,
+        row_number() OVER (PARTITION BY label ORDER BY vec_id) AS rn FROM embeddings),
+      r AS (SELECT label, rn, vec_id, code, true AS kept, [code] AS held FROM h WHERE rn = 1
+        UNION ALL SELECT h.label, h.rn, h.vec_id, h.code, len(list_filter(held, lambda x: bit_count(xor(x, h.code)) <= 12)) = 0,
+          CASE WHEN len(list_filter(held, lambda x: bit_count(xor(x, h.code)) <= 12)) = 0 THEN list_append(held, h.code) ELSE held END FROM r JOIN h ON h.label = r.label AND h.rn = r.rn + 1)
+      SELECT r.label, r.vec_id, CAST(list_reduce(list_transform(embedding[1:64], lambda x: CASE WHEN x > 0 THEN CAST(1 AS HUGEINT) ELSE CAST(0 AS HUGEINT) END), lambda a, b: a * 2 + b)
+        - CASE WHEN embedding[1] > 0 THEN CAST(18446744073709551616 AS HUGEINT) ELSE 0 END AS BIGINT) AS code FROM r JOIN embeddings USING (vec_id) WHERE kept""",
+    ),
+    "near_texts": (near_texts, f"""{_CODES}, f AS (SELECT min(doc_id) AS i, code FROM k GROUP BY code)
+      SELECT x.i AS a, y.i AS b, CAST(bit_count(xor(x.code, y.code)) AS INT) AS distance FROM f x JOIN f y ON x.i < y.i WHERE bit_count(xor(x.code, y.code)) <= 5"""),
+    "near_text_classes": (near_text_classes, f"{_CODES} SELECT doc_id, min(doc_id) OVER (PARTITION BY code) AS class FROM k"),
+    "near_texts_kept": (
+        near_texts_kept,
+        f"""{_CODES.replace("WITH w", "WITH RECURSIVE w")}, o AS (SELECT *, row_number() OVER (ORDER BY doc_id) AS rn FROM k),
+      r AS (SELECT rn, doc_id, true AS kept, [code] AS held FROM o WHERE rn = 1
+        UNION ALL SELECT o.rn, o.doc_id, len(list_filter(held, lambda x: bit_count(xor(x, o.code)) <= 5)) = 0,
+          CASE WHEN len(list_filter(held, lambda x: bit_count(xor(x, o.code)) <= 5)) = 0 THEN list_append(held, o.code) ELSE held END FROM r JOIN o ON o.rn = r.rn + 1)
+      SELECT doc_id, CAST(list_reduce(list_transform(c.code, lambda x: CASE WHEN x THEN CAST(1 AS HUGEINT) ELSE CAST(0 AS HUGEINT) END), lambda a, b: a * 2 + b)
+        - CASE WHEN c.code[1] THEN CAST(18446744073709551616 AS HUGEINT) ELSE 0 END AS BIGINT) AS code FROM r JOIN c USING (doc_id) WHERE kept""",
+    ),
     "best_matches": (best_matches, None),
 }

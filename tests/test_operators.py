@@ -334,6 +334,47 @@ def test_banded_pairs_match_all_pairs(spark):
     assert "CartesianProduct" not in neardup.near_pairs(df, "id", "code", 5)._jdf.queryExecution().toString()
 
 
+def folded(codes, most):
+    kept = []
+    for i, c in codes:
+        if all(bin((c ^ k) & (2**64 - 1)).count("1") > most for _, k in kept):
+            kept.append((i, c))
+    return kept
+
+
+def test_greedy_keep_of_chains(spark):
+    import random
+
+    rng = random.Random(8)
+    codes = [rng.getrandbits(63) for _ in range(30)]
+    for at in range(0, 30, 3):  # chains in which each is near the next alone, and bushes round one code
+        for _ in range(6):
+            code = codes[-1] if at % 2 else codes[at]
+            for bit in rng.sample(range(63), 4):
+                code ^= 1 << bit
+            codes.append(code)
+    codes += codes[:5]
+    order = list(range(len(codes)))
+    rng.shuffle(order)
+    rows = sorted(zip(order, codes, strict=True))
+    df = spark.createDataFrame([*((i, c, i % 2) for i, c in rows), (999, None, 0)], "id long, code long, g int")
+    got = sorted(r["id"] for r in neardup.keep_greedy(df, None, "id", "code", 5).collect())
+    assert got == [i for i, _ in folded(rows, 5)] + [999]
+    got = sorted((r["g"], r["id"]) for r in neardup.keep_greedy(df.filter("id < 999"), "g", "id", "code", 7, agree=2).collect())
+    assert got == sorted((g, i) for g in (0, 1) for i, _ in folded([r for r in rows if r[0] % 2 == g], 7))
+
+
+def test_crowded_keys_are_dealt_to_blocks(spark, monkeypatch):
+    import random
+
+    rng = random.Random(9)
+    monkeypatch.setattr(neardup, "BLOCK", 4)
+    codes = sorted({rng.getrandbits(6) for _ in range(60)})  # all agree on most bands
+    df = spark.createDataFrame(list(enumerate(codes)), "id long, code long")
+    got = sorted((r["a"], r["b"]) for r in neardup.near_pairs(df, "id", "code", 2).collect())
+    assert got == [(i, j) for i in range(len(codes)) for j in range(i + 1, len(codes)) if bin(codes[i] ^ codes[j]).count("1") <= 2]
+
+
 def test_greedy_keep(spark):
     df = spark.createDataFrame([(1, 1, 0), (1, 2, 0b111), (1, 3, 0b111111111), (2, 1, 0)], "g int, ord int, code long")
     assert sorted((r["g"], r["ord"]) for r in neardup.keep_greedy(df, "g", "ord", "code", 5).collect()) == [(1, 1), (1, 3), (2, 1)]
