@@ -17,7 +17,7 @@ An edge is a sequence of `WINDOW` words (it joins the nodes of its first and its
 
 Defined cases: a null text counts as empty; fewer words than WINDOW lose nothing; a null id has no order, so such a row keeps its text and
 takes nothing from others; rows with the same id cover nothing of each other (each is compared with smaller ids only); an
-empty table gives no rows; other columns are ignored. An anchor's group grows by some 100 bytes a batch of texts (4 MB).
+empty table gives no rows; other columns are ignored. An anchor's group grows by some 100 bytes a batch of texts (2 MB).
 """
 
 from __future__ import annotations
@@ -32,12 +32,12 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from corpusmill.llm.shared import discard, id_or_least, marked_ids, materialize, shuffle_partitions, without_least
-from corpusmill.llm.suffix_dedup import _mix, _power, _slide
+from corpusmill.llm.suffix_dedup import _mix, _slide
 
 WINDOW = 13
 GRAM = 7
-BATCH_BYTES = 4 << 20
-BUCKET_BYTES = 16 << 20
+BATCH_BYTES = 2 << 20
+BUCKET_BYTES = 8 << 20
 REQUESTS = 4096  # spans of one source that are verified in one row
 OWN, WANTED, MARK = 0, 1, 2  # spans to remove, spans that others have from here, no span
 
@@ -51,6 +51,19 @@ _RUN = ["id", "h", "pos", "len", "src_id", "src_h", "src_pos"]
 _RUN_SCHEMA = "id long, h long, pos int, len int, src_id long, src_h long, src_pos int"
 
 
+_kept_powers: dict[int, np.ndarray] = {}
+
+
+def _power(base: np.uint64, n: int) -> np.ndarray:
+    """base to the powers 0 to n - 1, modulo 2^64; kept in the worker, grown by doubling."""
+    have = _kept_powers.get(int(base))
+    if have is None or len(have) < n:
+        steps = np.full(1 << max(n, 1).bit_length(), base, np.uint64)
+        steps[0] = 1
+        have = _kept_powers[int(base)] = np.cumprod(steps)
+    return have[:n]
+
+
 def word_hashes(raw: bytes) -> np.ndarray:
     """A hash of each word of raw, in order."""
     found, at = [], 0
@@ -204,11 +217,7 @@ def _asked(pdf: pd.DataFrame) -> pd.DataFrame:
         ids, hs, pos = ids[kept], hs[kept], pos[kept]
     (more_ids, more_hs), more = _unnamed(pdf[direct]), _joined(pdf[direct], "pos", np.int32)
     ids, hs, pos = np.concatenate([ids, more_ids]), np.concatenate([hs, more_hs]), np.concatenate([pos, more])
-    order = np.lexsort((pos, hs, ids))
-    ids, hs, pos = ids[order], hs[order], pos[order]
-    head = np.flatnonzero(np.concatenate([np.ones(min(len(ids), 1), bool), (ids[1:] != ids[:-1]) | (hs[1:] != hs[:-1])]))
-    cut = np.append(head, len(ids))
-    return pd.DataFrame({"id": ids[head], "h": hs[head], "pos": [pos[a:b].tobytes() for a, b in zip(cut[:-1], cut[1:], strict=True)]})
+    return pd.DataFrame({"id": ids, "h": hs, "pos": pos})
 
 
 def _paths(id_, h, pos, src_id, src_h, src_pos) -> np.ndarray:
@@ -247,7 +256,7 @@ def packed_edges(asked: DataFrame, buckets: int) -> DataFrame:
             if len(batch.edge):
                 asks = np.zeros(len(batch.words), bool)
                 for doc, own in enumerate(places):
-                    asks[batch.first[doc] + np.concatenate([np.frombuffer(x, np.int32) for x in own])] = True
+                    asks[batch.first[doc] + np.asarray(own)] = True
                 live = asks[batch.place]
                 edge, anchor = batch.edge[live], batch.anchor[live]
                 e1, e2 = batch.edge_hashes(edge)
@@ -285,7 +294,7 @@ def spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
     texts = _texts(docs, id_col, text_col).filter("id IS NOT NULL")
     total = texts.agg(F.sum(F.octet_length("t").cast("long"))).first()[0] or 0
     buckets = max(shuffle_partitions(docs.sparkSession), -(-total // BUCKET_BYTES))
-    asked = packed_anchors(texts, buckets).groupBy("bucket").applyInPandas(lambda pdf: _asked(pdf), "id long, h long, pos binary")
+    asked = packed_anchors(texts, buckets).groupBy("bucket").applyInPandas(lambda pdf: _asked(pdf), "id long, h long, pos int")
     asked = materialize(asked.groupBy("id", "h").agg(F.collect_list("pos").alias("asked")).withColumn("key", F.xxhash64("id", "h")), "asked-anchors")
     met = marked_ids(texts.withColumn("key", F.xxhash64("id", "h")), asked, "key").filter("__maybe").drop("__maybe", "key")
     met = met.join(asked.drop("key"), ["id", "h"])
