@@ -7,6 +7,9 @@ from functools import reduce
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from corpusmill.functions.matching import block_ratio
+from corpusmill.functions.stemming import stem_all
+
 # fixed values: code point ranges and punctuation of the Han script class
 HAN_IDEOGRAPHS = (
     r"\x{4E00}-\x{9FFF}\x{3400}-\x{4DBF}\x{20000}-\x{2A6DF}\x{2A700}-\x{2B73F}"
@@ -305,10 +308,12 @@ def alpha_ratio(c):  # H28
     return F.coalesce(F.try_divide(F.length(F.regexp_replace(_col(c), r"[^\p{L}]", "")).cast("double"), F.length(_col(c))), F.lit(0.0))
 
 
-def similarity(a, b):  # H29: after lower case and without white space; 1 - edits / the longer length
-    a, b = (F.regexp_replace(F.lower(_col(c)), r"\s+", "") for c in (a, b))
-    longest = F.greatest(F.length(a), F.length(b))
-    return F.when(longest == 0, 1.0).otherwise(1 - F.levenshtein(a, b) / longest)
+def bare(c):  # H29: lower case, without white space
+    return F.regexp_replace(F.lower(_col(c)), r"\s+", "")
+
+
+def similarity(extracted, truth):  # H29: the matching-block ratio of the bare texts
+    return block_ratio(bare(truth), bare(extracted))
 
 
 def coverage(extracted, truth):  # H29: at most 1
@@ -316,20 +321,13 @@ def coverage(extracted, truth):  # H29: at most 1
     return F.when(b == 0, 1.0).otherwise(F.least(F.lit(1.0), a / b))
 
 
-def light_stem(c):  # H30: plurals, -ing, -ed and -ly off words that stay long enough
-    c = _col(c)
-    for pattern, put in ((r"(?<=[a-z]{3})ies$", "y"), (r"(?<=[a-z]{3}[^s])s$", ""), (r"(?<=[a-z]{3})(ing|edly|ed|ly)$", "")):
-        c = F.regexp_replace(c, pattern, put)
-    return c
-
-
 def search_tokens(c, stem: bool = True):  # H30
     found = F.filter(F.regexp_extract_all(F.lower(_col(c)), F.lit(r"[\p{L}\p{N}]+"), F.lit(0)), lambda t: ~t.isin(*STOP_WORDS))
-    return F.array_distinct(F.transform(found, light_stem) if stem else found)
+    return F.array_distinct(stem_all(found) if stem else found)
 
 
 def matches_all(tokens, query: str, stem: bool = True):  # H30: every term of the query
-    return F.forall(search_tokens(F.lit(query), stem), lambda t: F.array_contains(_col(tokens), t))
+    return F.size(F.array_except(search_tokens(F.lit(query), stem), _col(tokens))) == 0
 
 
 def topic_match(text, subjects, patterns: list[tuple[str, str, str]]):  # H31

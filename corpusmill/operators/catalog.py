@@ -58,9 +58,9 @@ def paper(papers: DataFrame, id_: object) -> DataFrame:
 
 
 def subject_counts(papers: DataFrame, subjects: DataFrame) -> DataFrame:
-    """(subject, papers) over passed papers."""
+    """(subject, papers) over passed papers; subjects has each (paper_id, subject) once."""
     passed = papers.filter(F.col("qa_status") == "pass").select("id")
-    return subjects.join(passed, subjects["paper_id"] == passed["id"]).groupBy("subject").agg(F.countDistinct("paper_id").alias("papers"))
+    return subjects.join(passed, subjects["paper_id"] == passed["id"], "left_semi").groupBy("subject").agg(F.count("*").alias("papers"))
 
 
 def category_totals(counts: DataFrame, taxonomy: DataFrame) -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -106,11 +108,20 @@ def ocr_gate(df: DataFrame, least_rate: float = 90.0) -> DataFrame:
 
 
 def text_metrics(df: DataFrame, key: str, text: str) -> DataFrame:
-    """(key, chars, alpha_ratio, most_common_ratio), row by row: no character becomes a row."""
+    """(key, chars, alpha_ratio, most_common_ratio); characters are counted in Arrow batches, a text at a time."""
+
+    def most_common(texts: pd.Series) -> pd.Series:
+        def count(t):
+            places = np.frombuffer(t.encode("utf-32-le", "surrogatepass"), np.uint32)
+            low = np.bincount(places[places < 0x3000], minlength=1).max() if len(places) else 0
+            high = places[places >= 0x3000]
+            return max(int(low), int(np.unique(high, return_counts=True)[1].max()) if len(high) else 0)
+
+        return texts.map(count).astype("int64")
+
     base = df.select(key, F.coalesce(text, F.lit("")).alias("t"))
     n = F.length("t")
-    kinds = F.filter(F.array_distinct(F.split("t", "")), lambda c: c != "")
-    top = F.array_max(F.transform(kinds, lambda c: n - F.length(F.replace(F.col("t"), c, F.lit("")))))
+    top = F.pandas_udf(most_common, "long")(F.col("t"))
     return base.select(
         key, n.cast("long").alias("chars"), X.alpha_ratio("t").alias("alpha_ratio"), F.when(n == 0, 1.0).otherwise(top / n).alias("most_common_ratio")
     )

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from corpusmill.functions import text as X
+from corpusmill.functions.matching import block_ratio
 from corpusmill.operators.quality import first_by_key
 
 
@@ -238,12 +239,20 @@ def with_source(translations: DataFrame, records: DataFrame) -> DataFrame:
 
 
 def best_matches(expected: DataFrame, candidates: DataFrame, least: float = 0.85) -> DataFrame:
-    """(doc_id, text, best, score, matched): a text's best candidate of the same document; a contained one scores 0.95."""
-    a, b = F.lower(F.col("text")), F.lower(F.col("candidate"))
-    score = F.when(a == b, 1.0).when(F.instr(b, a) > 0, 0.95).otherwise(X.similarity("text", "candidate"))
-    scored = expected.join(candidates, "doc_id", "left").withColumn("score", F.coalesce(score, F.lit(0.0)))
-    best = scored.groupBy("doc_id", "text").agg(F.max(F.struct("score", "candidate")).alias("b"))
-    return best.select("doc_id", "text", F.col("b.candidate").alias("best"), F.round("b.score", 4).alias("score"), (F.col("b.score") >= least).alias("matched"))
+    """(doc_id, text, best, score, matched): a text's best candidate of the same document, of equals the smallest.
+
+    Without regard to case and outer white space, a text that holds the other scores 0.95, all others have the ratio of their matching
+    blocks; a blank text is matched.
+    """
+    texts = expected.select("doc_id", "text").distinct()
+    pairs = texts.join(candidates.select("doc_id", "candidate").distinct(), "doc_id", "left")
+    a, b = F.lower(F.trim("text")), F.lower(F.trim("candidate"))
+    held = F.contains(b, a) | F.contains(a, b)
+    pairs = pairs.withColumns({"a": F.when(~held, a), "b": F.when(~held, b), "held": held})  # what is held needs no blocks
+    score = F.when(F.col("held"), 0.95).otherwise(F.coalesce(block_ratio(F.col("a"), F.col("b")), F.lit(0.0)))
+    best = pairs.withColumn("score", score).groupBy("doc_id", "text").agg(F.min(F.struct((-F.col("score")).alias("s"), "candidate")).alias("b"))
+    score = -F.col("b.s")
+    return best.select("doc_id", "text", F.col("b.candidate").alias("best"), F.round(score, 4).alias("score"), ((score >= least) | (F.trim("text") == "")).alias("matched"))
 
 
 def match_rates(matches: DataFrame, least: float = 0.95) -> DataFrame:

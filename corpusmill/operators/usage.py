@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-import pandas as pd
+import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -204,38 +204,47 @@ class _Spaced:
     def __init__(self, seconds: int):
         self.seconds, self.last = seconds, None
 
-    def accept(self, at: float) -> bool:
-        if self.last is not None and at - self.last < self.seconds:
-            return False
-        self.last = at
-        return True
+    def accept(self, times: list[float]) -> list[bool]:
+        keep, last, seconds = [], self.last, self.seconds
+        for at in times:
+            ok = last is None or at - last >= seconds
+            last = at if ok else last
+            keep.append(ok)
+        self.last = last
+        return keep
 
 
 class _Limited:
     def __init__(self, seconds: int, most: int):
         self.seconds, self.most, self.reset, self.n = seconds, most, None, 0
 
-    def accept(self, at: float) -> bool:
-        if self.reset is None or at > self.reset:
-            self.reset, self.n = at + self.seconds, 0
-        self.n += 1
-        return self.n <= self.most
+    def accept(self, times: list[float]) -> list[bool]:
+        keep = []
+        for at in times:
+            if self.reset is None or at > self.reset:
+                self.reset, self.n = at + self.seconds, 0
+            self.n += 1
+            keep.append(self.n <= self.most)
+        return keep
 
 
 def _ordered_fold(events: DataFrame, keys: list[str], order: str, start) -> DataFrame:
     columns = events.columns
     stamped = events.withColumn("__s", F.unix_micros(F.col("created_at").cast("timestamp")) / 1e6)
-    dealt = stamped.repartition(*keys).sortWithinPartitions(*keys, "__s", order)
+    # a key as one string, nulls apart from all values: where it changes is found on arrays
+    stamped = stamped.withColumn("__key", F.to_json(F.struct(*keys)))
+    dealt = stamped.repartition(*keys).sortWithinPartitions("__key", "__s", order)
 
     def run(batches):
         key, rule = None, None
         for pdf in batches:
+            own, times = pdf["__key"].to_numpy(), pdf["__s"].tolist()
+            edges = [0, *(np.flatnonzero(own[1:] != own[:-1]) + 1).tolist(), len(own)] if len(own) else [0]
             keep = []
-            for now, at in zip(pdf[keys].itertuples(index=False, name=None), pdf["__s"], strict=True):
-                now = tuple(None if pd.isna(v) else v for v in now)
-                if rule is None or now != key:
-                    key, rule = now, start()
-                keep.append(rule.accept(at))
+            for a, b in zip(edges[:-1], edges[1:], strict=True):
+                if rule is None or own[a] != key:
+                    key, rule = own[a], start()
+                keep += rule.accept(times[a:b])
             yield pdf.loc[keep, columns]
 
     return dealt.mapInPandas(run, events.schema)

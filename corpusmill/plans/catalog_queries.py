@@ -2,11 +2,17 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from corpusmill.functions import text as X
-from corpusmill.operators import catalog
+from corpusmill.operators import catalog, search
 from corpusmill.plans.views import COUNTS, PAPERS, SUBJECTS, TAXONOMY, papers, subjects, table, taxonomy
+from corpusmill.sources.scratch import new_folder
+
+STEMMED = ("economies of rings", "the plates", "standards, widgets", "mediums of small gears")
 
 
 def _filtered(spark, sf):
@@ -58,6 +64,15 @@ def full_text_match(spark, sf):
     return docs.filter(X.matches_all("tokens", "The and thing", stem=False)).select("doc_id")
 
 
+def stemmed_search(spark, sf):
+    """Parts whose name, type and brand hold forms of all words of a query, by an index that is written first."""
+    parts = table(spark, sf, "part").select("p_partkey", "p_name", "p_type", "p_brand")
+    path = new_folder(spark, "index")
+    search.write_index(search.postings(parts, "p_partkey", ["p_name", "p_type", "p_brand"]), "p_partkey", path)
+    found = [search.find(spark, path, q).withColumn("query", F.lit(q)) for q in STEMMED]
+    return reduce(DataFrame.unionByName, found)
+
+
 def point_lookup(spark, sf):
     return catalog.paper(papers(spark, sf), 1).select("id", "qa_status")
 
@@ -109,6 +124,16 @@ PLANS = {
         full_text_match,
         "SELECT doc_id FROM documents WHERE list_contains(regexp_extract_all(lower(text), '[\\p{L}\\p{N}]+'), 'thing')",
     ),
+    # every word form of the table that has one of the queries' stems
+    "stemmed_search": (
+        stemmed_search,
+        """WITH stems(form, stem) AS (VALUES ('economy', 'economi'), ('ring', 'ring'), ('plate', 'plate'), ('standard', 'standard'), ('widget', 'widget'), ('medium', 'medium'), ('small', 'small'), ('gear', 'gear')),
+      wanted(query, stem) AS (VALUES ('economies of rings', 'economi'), ('economies of rings', 'ring'), ('the plates', 'plate'), ('standards, widgets', 'standard'), ('standards, widgets', 'widget'),
+        ('mediums of small gears', 'medium'), ('mediums of small gears', 'small'), ('mediums of small gears', 'gear')),
+      has AS (SELECT DISTINCT p_partkey, stem FROM (SELECT p_partkey, unnest(regexp_extract_all(lower(p_name || ' ' || p_type || ' ' || p_brand), '[\\p{L}\\p{N}]+')) AS form FROM part) JOIN stems USING (form)),
+      k AS (SELECT query, count(*) AS k FROM wanted GROUP BY query), g AS (SELECT p_partkey, query, count(*) AS n FROM has JOIN wanted USING (stem) GROUP BY p_partkey, query)
+      SELECT p_partkey, query FROM g JOIN k USING (query) WHERE n = k""",
+    ),
     "point_lookup": (point_lookup, f"WITH {PAPERS} SELECT id, qa_status FROM papers WHERE id = 1 AND qa_status = 'pass'"),
     "taxonomy": (taxonomy_rows, f"WITH {TAXONOMY} SELECT category_id, category_order, subject, pinned FROM taxonomy"),
     "latest_errors": (latest_errors, "SELECT event_id, user_id FROM events WHERE event_type = 'error' ORDER BY event_id DESC LIMIT 20"),

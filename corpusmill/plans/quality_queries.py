@@ -5,11 +5,14 @@ The tables hold no Han script, so accented Latin letters stand for the script cl
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import functions as F
 
 from corpusmill.functions import documents as D
+from corpusmill.functions import tables as T
 from corpusmill.functions import text as X
-from corpusmill.operators import quality, usage
+from corpusmill.operators import quality, reconcile, usage
 from corpusmill.plans.views import table
 
 ACCENTS = "éèêçàùâîôûäöüßñáíóú"
@@ -60,7 +63,7 @@ def records(spark, sf):
     """Documents as harvested records: every eleventh id is repeated, files are there where the quality label is 1."""
     docs = table(spark, sf, "documents").select(
         F.when(F.col("doc_id") % 11 == 0, F.lit("d-000000.00000")).otherwise(F.concat(F.lit("d-"), F.lpad(F.col("doc_id").cast("string"), 6, "0"), F.lit(".00001"))).alias("id"),
-        F.substring_index("text", "\n", 1).alias("title"), F.substring("text", 1, 300).alias("abstract"), F.array("source").alias("creators"), F.array("lang").alias("subjects"),
+        F.regexp_replace("text", r"\s+", " ").alias("title"), F.col("text").alias("abstract"), F.array("source").alias("creators"), F.array("lang").alias("subjects"),
         F.lit("2024-01-01").alias("date"), F.concat(F.lit("http://x/"), F.col("doc_id").cast("string")).alias("source_url"),
         F.when(F.col("doc_id") % 7 == 0, F.lit("local.pdf")).otherwise(F.lit("http://x/a.pdf")).alias("pdf_url"), "doc_id",
     )
@@ -70,7 +73,7 @@ def records(spark, sf):
 
 
 _R = """r AS (SELECT doc_id, CASE WHEN doc_id % 11 = 0 THEN 'd-000000.00000' ELSE 'd-' || lpad(CAST(doc_id AS VARCHAR), 6, '0') || '.00001' END AS id,
-  split_part(text, chr(10), 1) AS title, substr(text, 1, 300) AS abstract, doc_id % 7 <> 0 AS web,
+  regexp_replace(text, '\\s+', ' ', 'g') AS title, text AS abstract, doc_id % 7 <> 0 AS web,
   doc_id IN (SELECT doc_id FROM labels WHERE quality = 1) AS pdf_ok FROM documents),
 e AS (SELECT *, list_filter([CASE WHEN title = '' THEN 'missing_title' END, CASE WHEN abstract = '' THEN 'missing_abstract' END,
   CASE WHEN length(trim(title)) < 5 THEN 'title_short' END, CASE WHEN length(trim(abstract)) < 50 THEN 'abstract_short' END, CASE WHEN NOT web THEN 'pdf_url' END],
@@ -183,16 +186,81 @@ def formula_spans(spark, sf):
     return docs.select("doc_id", "at", "s.pattern", F.md5("s.span").alias("md5"))
 
 
+# how a line refers to a figure or table; N and L are a number and a letter of the line's own
+FORMS = (
+    "Figure N: ", "see Fig. N and ", "Supplementary Fig. SN, ", "Table N. ", "in Table N (", "Figures N-3 ", "Tables N and 4, ", "Fig. NL shows ", "Scheme N: ", "图N：", "如图 N 所示 ", "表 N.2 ", "附图N ", "扩展数据表N ",
+    "示意图N ", "SI图N ", "Figure 1L-C ", "Extended Data Table N ", "图表N：", "表NL ", "Table AN: ", "图 N～7 ", "补充表 N ", "Panel N. ",
+)
+
+
+def referring(spark, sf):
+    """Documents as paragraphs: every third line refers to a figure or table, in a form chosen by the line's length."""
+    line, forms = F.col("line"), F.array(*map(F.lit, FORMS))
+    rows = table(spark, sf, "documents").select("doc_id", F.posexplode(F.split("text", "\n")).alias("at", "line"))
+    form = F.element_at(forms, (F.length(line) % len(FORMS) + 1).cast("int"))
+    letter = F.substring(F.lit("abcde"), (F.length(line) % 5 + 1).cast("int"), 1)
+    woven = F.replace(F.replace(form, F.lit("N"), ((F.length(line) * 7 + F.col("at")) % 12 + 1).cast("string")), F.lit("L"), letter)
+    rows = rows.withColumn("line", F.when((F.col("at") + F.col("doc_id")) % 3 == 0, F.concat(woven, line)).otherwise(line))
+    listed = F.array_sort(F.collect_list(F.struct("at", "line")))
+    return rows.groupBy("doc_id").agg(F.transform(listed, lambda x: x["line"]).alias("paragraphs"))
+
+
 def figure_mentions(spark, sf):
-    docs = table(spark, sf, "documents").select("doc_id", F.split("text", "\n").alias("paragraphs"))
-    return D.mentions(docs, "doc_id", "paragraphs")
+    return T.mentions(referring(spark, sf), "doc_id", "paragraphs").withColumn("caption", F.md5("caption"))
+
+
+def body_mentions(spark, sf):
+    """Mentions of two bodies of a document, its odd and its even paragraphs: of each figure the first body that has it."""
+    docs = referring(spark, sf)
+    part = lambda k: F.filter("paragraphs", lambda x, i: i % 2 == k)
+    frames = [(tag, T.mentions(docs.select("doc_id", part(k).alias("p")), "doc_id", "p")) for tag, k in (("en", 1), ("md", 0))]
+    return reconcile.figures_of_bodies(frames, "doc_id").select("doc_id", "source", "type", "number", "paragraph")
+
+
+def marked_paragraphs(spark, sf):
+    """Whole paragraphs with markers behind first mentions."""
+    rows = T.marked(referring(spark, sf), "doc_id", "paragraphs")
+    return rows.select("doc_id", "paragraph", F.md5("text").alias("md5"), F.array_join("markers", ",").alias("markers"))
+
+
+def section_chunks(spark, sf):
+    """Sections of ten lines, the first naming them, packed into chunks of 300 tokens."""
+    rows = table(spark, sf, "documents").select("doc_id", F.posexplode(F.split("text", "\n")).alias("at", "line"))
+    rows = rows.groupBy("doc_id", F.expr("at div 10").alias("part")).agg(F.array_sort(F.collect_list(F.struct("at", "line"))).alias("l"))
+    rows = rows.select("doc_id", "part", F.col("l")[0]["line"].alias("name"), F.transform(F.slice("l", 2, 9), lambda x: x["line"]).alias("paragraphs"))
+    parts = rows.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("part", "name", "paragraphs"))).alias("s"))
+    parts = parts.select("doc_id", F.transform("s", lambda x: F.struct(x["name"].alias("name"), x["paragraphs"].alias("paragraphs"))).alias("sections"))
+    T.register(spark)
+    parts.createOrReplaceTempView("sections_of_documents")
+    return spark.sql("""SELECT doc_id, chunk, md5(name) AS name, size(paragraphs) AS n, md5(array_join(paragraphs, '\n')) AS md5
+      FROM sections_of_documents s, LATERAL section_chunks(s.sections, 300)""")
+
+
+def _mention_sql() -> str:
+    """One branch a pattern: where it hits first in a paragraph, and its number."""
+    branches = []
+    for rank, (kind, caption, pattern) in enumerate(T.MENTIONS):
+        q = pattern.replace("'", "''")
+        groups = re.compile(pattern).groups
+        more = f"regexp_extract(p, '{q}', 2)" if groups >= 2 else "''"
+        branches.append(f"SELECT doc_id, pn, p, {rank} AS rank, '{kind}' AS type, {caption} AS caption, regexp_extract(p, '{q}', 0) AS hit, regexp_extract(p, '{q}', 1) || CASE WHEN length({more}) <= 2 THEN {more} ELSE '' END AS number FROM para WHERE regexp_matches(p, '{q}')")
+    return " UNION ALL ".join(branches)
+
+
+_REFER = f"""line AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, unnest(range(len(string_split(text, chr(10))))) AS pn FROM documents),
+para AS (SELECT doc_id, pn, CASE WHEN (pn + doc_id) % 3 = 0 THEN replace(replace([{", ".join(f"'{x}'" for x in FORMS)}][length(line) % {len(FORMS)} + 1], 'N', CAST((length(line) * 7 + pn) % 12 + 1 AS VARCHAR)), 'L', substr('abcde', length(line) % 5 + 1, 1)) || line ELSE line END AS p FROM line)"""
+_MENTIONS = f"""{_REFER}, hits AS ({_mention_sql()}),
+once AS (SELECT *, instr(p, hit) - 1 AS start FROM hits QUALIFY row_number() OVER (PARTITION BY doc_id, type, number ORDER BY pn, rank) = 1),
+cut AS (SELECT *, trim(substr(p, start + length(hit) + 1)) AS rest, trim(substr(p, start + length(hit) + 1, 20)) AS post, lower(substr(p, greatest(1, start - 29), least(start, 30))) AS pre FROM once),
+cap AS (SELECT *, CASE WHEN substr(rest, 1, 1) IN (':', '：', '.', '．') THEN trim(substr(rest, 2)) ELSE rest END AS body FROM cut),
+stop AS (SELECT *, substr(body, 1, 500) AS head, list_max(list_transform(['. ', '。', '! ', '? '], lambda s: CASE WHEN contains(substr(body, 1, 500), s) THEN 500 - length(s) + 1 - instr(reverse(substr(body, 1, 500)), reverse(s)) ELSE -1 END)) AS last FROM cap)"""
 
 
 def document_similarity(spark, sf):
-    """The ASCII of each document's first 400 characters against that of the document twelve ids on."""
-    docs = table(spark, sf, "documents").select("doc_id", F.regexp_replace(F.substring("text", 1, 400), r"[^ -~\n]", "").alias("t"))
-    other = docs.select((F.col("doc_id") - 12).alias("doc_id"), F.col("t").alias("u"))
-    return docs.join(other, "doc_id").select("doc_id", F.round(X.similarity("t", "u"), 6).alias("similarity"), F.round(X.coverage("t", "u"), 6).alias("coverage"))
+    """Whole texts against those of the document twelve ids on, by matching blocks."""
+    docs = table(spark, sf, "documents").select("doc_id", "text")
+    other = docs.select((F.col("doc_id") - 12).alias("doc_id"), F.col("text").alias("truth"))
+    return docs.join(other, "doc_id").select("doc_id", F.round(X.similarity("text", "truth"), 6).alias("similarity"), F.round(X.coverage("text", "truth"), 6).alias("coverage"))
 
 
 PLANS = {
@@ -230,8 +298,16 @@ PLANS = {
     "fragments_merged": (fragments_merged, None),
     "markdown_bodies": (markdown_bodies, None),
     "formula_spans": (formula_spans, None),
-    "figure_mentions": (figure_mentions, None),
-    "document_similarity": (document_similarity, r"""WITH d AS (SELECT doc_id, regexp_replace(lower(substr(text, 1, 400)), '[^!-~]+', '', 'g') AS t, length(regexp_replace(substr(text, 1, 400), '[^!-~]+', '', 'g')) AS n FROM documents)
-      SELECT a.doc_id, CASE WHEN a.t = '' AND b.t = '' THEN 1.0 ELSE round(1 - damerau / greatest(length(a.t), length(b.t))::DOUBLE, 6) END AS similarity, CASE WHEN b.n = 0 THEN 1.0 ELSE round(least(1.0, a.n / b.n::DOUBLE), 6) END AS coverage
-      FROM (SELECT a.doc_id AS id, levenshtein(a.t, b.t) AS damerau FROM d a JOIN d b ON b.doc_id = a.doc_id + 12) x JOIN d a ON a.doc_id = x.id JOIN d b ON b.doc_id = x.id + 12"""),
+    "figure_mentions": (figure_mentions, f"""WITH {_MENTIONS} SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY type <> 'figure', regexp_extract(number, '^([A-Za-z]?)', 1), CAST(regexp_extract(number, '\\d+') AS BIGINT), pn, rank) AS INT) AS place,
+      type, number, CAST(pn AS INT) AS paragraph, caption AND start < 5 AS is_caption,
+      round((50 + CASE WHEN caption AND start < 5 THEN 30 WHEN start < 20 THEN 10 ELSE 0 END + CASE WHEN substr(post, 1, 1) IN (':', '：', '.', '．') THEN 15 ELSE 0 END
+        - CASE WHEN regexp_matches(pre, '{"|".join(T.REFERRING)}') THEN 15 ELSE 0 END + CASE WHEN length(p) > 200 THEN 5 ELSE 0 END) / 100.0::DOUBLE, 2) AS confidence,
+      md5(CASE WHEN body = '' THEN substr(p, 1, 500) WHEN length(body) <= 500 THEN body WHEN last > 250 THEN trim(substr(body, 1, last + 1)) ELSE trim(head) || '...' END) AS caption FROM stop"""),
+    "document_similarity": (document_similarity, None),  # matching blocks are a recursion: see tests
+    "body_mentions": (body_mentions, f"""WITH {_REFER.replace("para AS", "whole AS")}, halves AS (SELECT doc_id, pn % 2 AS half, row_number() OVER (PARTITION BY doc_id, pn % 2 ORDER BY pn) - 1 AS pn, p FROM whole),
+      para AS (SELECT doc_id * 2 + half AS doc_id, pn, p FROM halves), hits AS ({_mention_sql()}), once AS (SELECT * FROM hits QUALIFY row_number() OVER (PARTITION BY doc_id, type, number ORDER BY pn, rank) = 1)
+      SELECT doc_id // 2 AS doc_id, CASE WHEN doc_id % 2 = 1 THEN 'en' ELSE 'md' END AS source, type, number, CAST(pn AS INT) AS paragraph FROM once
+      QUALIFY row_number() OVER (PARTITION BY doc_id // 2, type, number ORDER BY doc_id % 2 DESC) = 1"""),
+    "marked_paragraphs": (marked_paragraphs, None),
+    "section_chunks": (section_chunks, None),
 }

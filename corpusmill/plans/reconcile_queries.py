@@ -267,12 +267,11 @@ def near_text_classes(spark, sf):
 
 
 def best_matches(spark, sf):
-    """A document's first lines sought among its own lines."""
-    lines = F.slice(F.split("text", "\n"), 1, 6)
-    docs = table(spark, sf, "documents").select("doc_id", lines.alias("l"))
-    texts = docs.select("doc_id", F.substring(F.col("l")[0], 3, 40).alias("text"))
-    found = docs.select("doc_id", F.explode("l").alias("candidate"))
-    return reconcile.best_matches(texts, found).select("doc_id", "score", "matched")
+    """The whole texts of a conversation's answers sought among those of its questions."""
+    turns = table(spark, sf, "conversations").select(F.col("conv_id").alias("doc_id"), "role", "text").filter("text IS NOT NULL")
+    texts = turns.filter("role = 'assistant'").select("doc_id", "text")
+    found = turns.filter("role <> 'assistant'").select("doc_id", F.col("text").alias("candidate"))
+    return reconcile.best_matches(texts, found).select("doc_id", F.md5("text").alias("md5"), "score", "matched")
 
 
 _CODES = r"""WITH w AS (SELECT doc_id, unnest(regexp_split_to_array(lower(text), '\s+')) AS w FROM documents),

@@ -8,7 +8,10 @@ import pytest
 from pyspark.sql import functions as F
 
 from corpusmill.functions import documents as D
+from corpusmill.functions import matching
+from corpusmill.functions import tables as T
 from corpusmill.functions import text as X
+from corpusmill.functions.stemming import stem
 
 
 @pytest.fixture(scope="module")
@@ -78,7 +81,7 @@ def cases():  # columns can only be made once there is a session
         (X.translation_issues(L("abcd"), L("efgh")), []),
         (X.strip_tokens(L("a⟪SENT⟫b")), "ab"),
         (X.alpha_ratio(L("ab12")), 0.5),
-        (X.similarity(L("Kitten"), L("sitting")), 1 - 3 / 7),
+        (X.similarity(L("sitting "), L("Kitten")), 8 / 13),
         (X.coverage(L("abc"), L("abcdef")), 0.5),
         (X.matches_all(X.search_tokens(L("Networks for learning")), "learned network"), True),
         (X.matches_all(X.search_tokens(L("Networks")), "graph network"), False),
@@ -149,11 +152,82 @@ def test_markdown_has_headings_and_fences(value):
 
 
 def test_mentions_keep_the_first(spark):
-    paragraphs = ["See Figure 2 and Table 1.", "Figure 2: A caption of the figure.", "Fig. 3a shows.", ""]
-    rows = D.mentions(spark.createDataFrame([(1, paragraphs)], "id long, p array<string>"), "id", "p").collect()
-    got = sorted((r["place"], r["type"], r["number"], r["paragraph"]) for r in rows)
-    assert got == [(1, "figure", "2", 0), (2, "figure", "3a", 2), (3, "table", "1", 0)]
-    assert {r["confidence"] for r in rows if r["number"] == "2"} == {0.45}
+    paragraphs = ["See Figure 2 and Table 1.", "Figure 2: A caption of the figure.", "Fig. 3a shows.", "", "Figures 1-3 and 图S", "图表 7：说明", "Supplementary Fig. S2 " + "x" * 600]
+    docs = spark.createDataFrame([(1, paragraphs), (2, None), (3, [])], "id long, p array<string>")
+    rows = T.mentions(docs, "id", "p").collect()
+    got = [(r["place"], r["type"], r["number"], r["paragraph"]) for r in sorted(rows, key=lambda r: r["place"])]
+    assert got == [
+        (1, "figure", "2", 0), (2, "figure", "3a", 2), (3, "figure", "7", 5), (4, "figure", "13", 4), (5, "figure", "S2", 6), (6, "table", "1", 0), (7, "table", "7", 5),
+    ]
+    held = {(r["type"], r["number"]): r for r in rows}
+    assert held["figure", "2"]["confidence"] == 0.45 and not held["figure", "2"]["is_caption"]
+    assert held["figure", "S2"]["caption"] == "x" * 500 + "..." and held["figure", "7"]["is_caption"]
+    assert len(T.MENTIONS) == 32 and {r["id"] for r in rows} == {1}
+
+
+def test_markers_stand_behind_first_mentions(spark):
+    docs = spark.createDataFrame([(1, ["Figure 1 and Fig. 2a, table 3.", None, "图 1 图4b"])], "id long, p array<string>")
+    rows = sorted(map(tuple, T.marked(docs, "id", "p").collect()))
+    assert rows == [
+        (1, 0, "Figure 1 [FIGURE:1] and Fig. 2a [FIGURE:2a], table 3 [TABLE:3].", ["FIGURE:1", "FIGURE:2a", "TABLE:3"]), (1, 1, None, []), (1, 2, "图 1 图4b [FIGURE:4b]", ["FIGURE:4b"]),
+    ]
+
+
+def test_sections_are_packed_together(spark):
+    sections = [("A", ["a" * 80]), ("B", ["b" * 80]), ("C", ["c" * 200, "d" * 200, "e" * 40]), ("D", ["f"])]
+    docs = spark.createDataFrame([(1, sections), (2, [])], "id long, s array<struct<name:string,paragraphs:array<string>>>")
+    rows = sorted((r["chunk"], r["name"], len(r["paragraphs"])) for r in T.packed_chunks(docs, "id", "s", 60).collect())
+    assert rows == [(0, "A", 1), (0, "B", 1), (1, "C", 1), (2, "C (continued)", 2), (3, "D", 1)]
+    T.register(spark)
+    docs.createOrReplaceTempView("sectioned")
+    assert spark.sql("SELECT id, c.* FROM sectioned, LATERAL section_chunks(s, 60) c").count() == 5
+
+
+def plain_ratio(a, b):
+    """The definition: the longest block, then what lies before and behind it."""
+    common = {c for c in set(b) if len(b) >= 200 and b.count(c) > len(b) // 100 + 1}
+
+    def blocks(alo, ahi, blo, bhi):
+        best = (0, alo, blo)
+        for i in range(alo, ahi):
+            for j in range(blo, bhi):
+                k = 0
+                while i + k < ahi and j + k < bhi and a[i + k] == b[j + k] and a[i + k] not in common:
+                    k += 1
+                if k > best[0]:
+                    best = (k, i, j)
+        k, i, j = best
+        while i > alo and j > blo and a[i - 1] == b[j - 1]:
+            i, j, k = i - 1, j - 1, k + 1
+        while i + k < ahi and j + k < bhi and a[i + k] == b[j + k]:
+            k += 1
+        return k + blocks(alo, i, blo, j) + blocks(i + k, ahi, j + k, bhi) if k else 0
+
+    return 2 * blocks(0, len(a), 0, len(b)) / (len(a) + len(b)) if a or b else 1.0
+
+
+@pytest.mark.parametrize("held", [1 << 20, 20])
+def test_block_ratio_equals_a_plain_recursion(held, monkeypatch):
+    import random
+
+    monkeypatch.setattr(matching, "PAIRS", held)
+    rng = random.Random(held)
+    for size in (0, 1, 5, 20, 60, 60, 60, 210, 230):
+        letters = rng.choice(["ab", "abcdefghij é中"])
+        a = "".join(rng.choices(letters, k=size))
+        b = "".join(c if rng.random() > 0.15 else rng.choice(letters) for c in a)[rng.randrange(4) :] if rng.random() > 0.3 else "".join(rng.choices(letters, k=size))
+        assert matching.ratio(a, b) == plain_ratio(a, b)
+
+
+def test_stems():
+    # fixed values: words and stems of the published sample
+    pairs = """consign consigned consigning consignment:consign consist consistency consistently:consist consolation consoling consolingly:consol consolatory:consolatori
+      conspicuous conspicuously:conspicu conspiracy:conspiraci constancy:constanc knack:knack knackeries:knackeri knaves:knave kneaded:knead knightly:knight knocked:knock generously:generous
+      hopping:hop hoping:hope tied:tie cries:cri gas:gas gaps:gap relational:relat electricity:electr adoption:adopt controlling:control say:say by:by agreed:agre feed:feed geology:geolog"""
+    for line in pairs.replace("\n", " ").split():
+        word, _, want = line.partition(":")
+        if want:
+            assert stem(word) == want
 
 
 def test_markers_become_images(value):

@@ -9,7 +9,7 @@ import os
 import pytest
 from pyspark.sql import functions as F
 
-from corpusmill.operators import catalog, neardup, quality, reconcile, usage, workset
+from corpusmill.operators import catalog, neardup, quality, reconcile, search, usage, workset
 from corpusmill.sources import io
 
 
@@ -207,8 +207,11 @@ def test_inputs_and_titles(spark):
 def test_sets_and_matches(spark):
     m, f = spark.createDataFrame([(1, "1"), (1, "2")], "paper_id int, number string"), spark.createDataFrame([(1, "2"), (1, "3"), (2, "1")], "paper_id int, number string")
     assert sorted(map(tuple, reconcile.marker_sets(m, f).collect())) == [(1, ["2"], ["1"], ["3"]), (2, [], [], ["1"])]
-    best = reconcile.best_matches(spark.createDataFrame([(1, "abc"), (1, "zzz")], "doc_id int, text string"), spark.createDataFrame([(1, "xx abc yy"), (1, "abd")], "doc_id int, candidate string"))
-    assert {r["text"]: (r["best"], r["score"], r["matched"]) for r in best.collect()}["abc"] == ("xx abc yy", 0.95, True)
+    found = spark.createDataFrame([(1, "xx ABC yy"), (1, "abd")], "doc_id int, candidate string")
+    best = reconcile.best_matches(spark.createDataFrame([(1, "abc"), (1, "zzz"), (2, "lone"), (1, "a b dx")], "doc_id int, text string"), found)
+    got = {r["text"]: (r["best"], r["score"], r["matched"]) for r in best.collect()}
+    assert got["abc"] == ("xx ABC yy", 0.95, True) and got["lone"] == (None, 0.0, False) and got["a b dx"] == ("abd", round(6 / 9, 4), False)
+    best = best.filter("text IN ('abc', 'zzz')")
     assert tuple(reconcile.match_rates(best).first()) == (1, 0.5, False)
     lost = spark.range(1).select(reconcile.lost_markers(F.lit("a [FIGURE:1] [TABLE:2]"), F.lit("[TABLE:2]")).alias("l")).first()["l"]
     assert lost == ["[FIGURE:1]"]
@@ -364,6 +367,16 @@ def test_greedy_keep_of_chains(spark):
     assert got == sorted((g, i) for g in (0, 1) for i, _ in folded([r for r in rows if r[0] % 2 == g], 7))
 
 
+def test_index_answers_by_stems(spark, tmp_path):
+    rows = [(1, "Connected networks", "of learning"), (2, "Connections", "networking learned"), (3, "network", None), (4, "the", "and")]
+    docs = spark.createDataFrame(rows, "id long, title string, abstract string")
+    search.write_index(search.postings(docs, "id", ["title", "abstract"]), "id", str(tmp_path / "i"))
+    find = lambda q: sorted(r["id"] for r in search.find(spark, str(tmp_path / "i"), q).collect())
+    assert find("the connecting NETWORK") == [1, 2] and find("networks") == [1, 2, 3] and find("connection missing") == [] and find("and the") == []
+    plan = search.find(spark, str(tmp_path / "i"), "networks")._jdf.queryExecution().toString()
+    assert "EqualTo(stem,network)" in plan and "PartitionFilters: []" not in plan
+
+
 def test_crowded_keys_are_dealt_to_blocks(spark, monkeypatch):
     import random
 
