@@ -18,7 +18,7 @@ _ROW_BITS = 33  # monotonically_increasing_id keeps the row's place in its parti
 
 
 _folders: WeakKeyDictionary[DataFrame, str] = WeakKeyDictionary()  # of the tables that materialize() wrote
-_step: ContextVar[list[str] | None] = ContextVar("step", default=None)  # the folders written in a step_of() block
+_step: ContextVar[list[str] | None] = ContextVar("step", default=None)  # the folders written in a recording() block
 
 
 def scratch_root(spark: SparkSession) -> str:
@@ -53,18 +53,8 @@ def _delete(spark: SparkSession, path: str) -> None:
 
 
 @contextmanager
-def step_of(written: list[str], reads: DataFrame) -> Iterator[None]:
-    """A block whose scratch folders are added to `written`.
-
-    Those that earlier blocks of the same list left are deleted first, but for what `reads`, the input, still comes from.
-    """
-    spark = reads.sparkSession
-    if written:
-        files = reads.inputFiles()
-        held = {p for p in written if any(f"/{p.rsplit('/', 1)[-1]}/" in f for f in files)}
-        for path in set(written) - held:
-            _delete(spark, path)
-        written[:] = sorted(held)
+def recording(written: list[str]) -> Iterator[None]:
+    """A block whose scratch folders are added to `written`, a list of the caller's own."""
     token = _step.set(written)
     try:
         yield
@@ -72,6 +62,15 @@ def step_of(written: list[str], reads: DataFrame) -> Iterator[None]:
         _step.reset(token)
 
 
+def delete(spark: SparkSession, paths: list[str], but: DataFrame | None = None) -> None:
+    """Delete recorded folders, except that of the table `but`; empties the list to what is left."""
+    kept = _folders.get(but) if but is not None else None
+    for path in paths:
+        if path != kept:
+            _delete(spark, path)
+    paths[:] = [p for p in paths if p == kept]
+
+
 def discard(*tables: DataFrame | None) -> None:
     """Delete written tables that nothing reads any more: what was made of them has been written itself."""
     for table in tables:
