@@ -1,7 +1,8 @@
 """The training-data pipeline over `documents`: reject, clean, deduplicate, mix, tokenise.
 
-Each stage takes the table its predecessor wrote. When a stage begins, scratch that earlier stages left is deleted, but for what
-its input still reads, so one pipeline runs at a time in a session.
+Each stage takes the table its predecessor wrote. A run owns what it writes to the shared scratch folder: once a stage's rows are written,
+what the stage itself wrote on the way and the table before it are deleted, by this run alone. The last stage's rows are computed when
+they are read, so what they read stays: until the end of the block with pipeline_run(), for good with run(), whose result anyone may hold.
 
 Defined cases of every stage: other columns pass through, and those an operator adds for itself are named `__...` (an input must not
 hold such names); repeated rows are rows of their own and stay, but where a stage says otherwise; an empty table gives an empty one.
@@ -9,19 +10,18 @@ hold such names); repeated rows are rows of their own and stay, but where a stag
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 from functools import wraps
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpusmill.llm import line_dedup, mixing, ngram_join, quality_crf, sentencepiece_codec
-from corpusmill.llm.shared import discard, materialize, numbered, step_of
+from corpusmill.llm.shared import delete, materialize, numbered, recording
 
 ORACLE_SQL = None  # a trained field, whole-text components and Viterbi paths have no SQL form
 
-_written: list[str] = []  # the scratch folders of the stages so far
-
 
 def _stage(function: Callable[[SparkSession, DataFrame, str], DataFrame]) -> Callable[[SparkSession, DataFrame, str], DataFrame]:
     @wraps(function)
@@ -29,8 +29,7 @@ def _stage(function: Callable[[SparkSession, DataFrame, str], DataFrame]) -> Cal
         taken = [c for c in docs.columns if c.startswith("__")]
         if taken:
             raise ValueError(f"columns {taken} have names that stages use themselves")
-        with step_of(_written, docs):
-            return function(spark, docs, sf_dir)
+        return function(spark, docs, sf_dir)
 
     return run_stage
 
@@ -96,9 +95,27 @@ def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 STAGES = [("quality", quality), ("lines", lines), ("near_copies", near_copies), ("mix", mix), ("tokens", tokens)]
 
 
-def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _chain(spark: SparkSession, sf_dir: str, owned: list[str]) -> DataFrame:
+    """The last stage's rows; owned: the folders that they read, when all is done."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES[:-1]:
-        before, docs = docs, materialize(stage(spark, docs, sf_dir), f"pipeline-{name}")
-        discard(before)
-    return STAGES[-1][1](spark, docs, sf_dir)
+        with recording(owned):
+            docs = materialize(stage(spark, docs, sf_dir), f"pipeline-{name}")
+        delete(spark, owned, but=docs)
+    with recording(owned):
+        return STAGES[-1][1](spark, docs, sf_dir)
+
+
+@contextmanager
+def pipeline_run(spark: SparkSession, sf_dir: str) -> Iterator[DataFrame]:
+    """The pipeline's rows; all that the run wrote is deleted at the end of the block."""
+    owned: list[str] = []
+    try:
+        yield _chain(spark, sf_dir, owned)
+    finally:
+        delete(spark, owned)
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The pipeline's rows."""
+    return _chain(spark, sf_dir, [])
