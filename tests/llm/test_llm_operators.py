@@ -7,6 +7,7 @@ import itertools
 import math
 import random
 import re
+import zlib
 from fractions import Fraction
 
 import numpy as np
@@ -100,23 +101,41 @@ def test_components_of_chains_stars_and_nothing(spark):
 # 1 -------------------------------------------------------------------------------------------------------------
 
 
-def test_accepted_moves_keep_capacity():
-    rng = random.Random(1)
-    for _ in range(200):
-        n = rng.randrange(2, 6)
-        capacity = [rng.randrange(5, 40) for _ in range(n)]
-        held = [rng.randrange(0, c + 1) for c in capacity]
-        proposed = [[0] * n for _ in range(n)]
-        for a in range(n):
-            left = held[a]
-            for b in range(n):
-                if a != b and left:
-                    proposed[a][b] = rng.randrange(left + 1)
-                    left -= proposed[a][b]
-        flow = sharding.accepted_moves(proposed, held, capacity)
-        for s in range(n):
-            assert held[s] + sum(flow[r][s] for r in range(n)) - sum(flow[s]) <= capacity[s]
-        assert all(0 <= flow[a][b] <= proposed[a][b] for a in range(n) for b in range(n))
+def test_large_groups_take_whole_shards():
+    room = [10, 10, 10, 3]
+    assert sharding.place_large([(25, [5, 9, 6, 5]), (4, [0, 0, 4, 0]), (5, [0, 0, 0, 5])], room) == [[5, 10, 10, 0], [4, 0, 0, 0], [1, 0, 0, 3]]
+    assert room == [0, 0, 0, 0]
+
+
+@pytest.mark.parametrize("lone", [4000, 0])
+def test_shards_cut_no_more_than_they_must(spark, lone):
+    pairs = (8000 - lone) // 2
+    texts = ["hot"] * 4000 + [f"pair {i // 2}" for i in range(2 * pairs)] + [f"lone {i}" for i in range(lone)]
+    random.Random(3).shuffle(texts)
+    rows = sharding.balanced_shards(docs_of(spark, texts)).select("doc_id", "shard", "text_crc32").collect()
+    shards = [0] * len(texts)
+    for r in rows:
+        shards[r["doc_id"]] = r["shard"]
+        assert r["text_crc32"] == zlib.crc32(texts[r["doc_id"]].encode())
+    assert np.bincount(shards, minlength=8).tolist() == [1500] * 8
+    df = spark.createDataFrame(list(zip(texts, shards, strict=True)), "text string, shard int")
+    report = sharding.cut_links(df, "text").first()
+    hot = np.bincount([s for t, s in zip(texts, shards, strict=True) if t == "hot"], minlength=8)
+    assert np.count_nonzero(hot) == 3  # 4000 rows in shards of 1500
+    assert report["groups"] == pairs + 1 and report["cut_groups"] == 1
+    assert report["cut_links"] == (4000**2 - (hot**2).sum()) // 2 and report["links"] == 4000 * 3999 // 2 + pairs
+
+
+def test_tight_shards_refuse_and_the_next_best_takes(spark):
+    rng = random.Random(4)
+    texts = [f"group {i}" for i in range(90) for _ in range(rng.randrange(2, 9))]
+    rows = sharding.balanced_shards(docs_of(spark, texts), num_shards=5).collect()
+    counts = np.bincount([r["shard"] for r in rows], minlength=5)
+    assert counts.max() - counts.min() <= 1
+    by_text = {}
+    for r in rows:
+        by_text.setdefault(texts[r["doc_id"]], set()).add(r["shard"])
+    assert sum(len(v) > 1 for v in by_text.values()) <= 4  # there are no lone rows: at most one group a border is cut
 
 
 def test_shards_are_even_and_keep_groups(spark):
