@@ -161,23 +161,34 @@ def chunk_totals(spark, sf):
     return docs.select("doc_id", F.md5(F.array_join(F.flatten("chunks"), "\n")).alias("md5"))
 
 
+# headings that stand before some of the lines, chosen by the line's length
+TITLES = ("3. Methods", "Abstract", "第三章 方法", "Results.", "2 Earlier work", "$\\alpha$", "References")
+
+
+def headed():
+    """The lines of `text`; those whose length is a multiple of nine have a heading before them."""
+    titles = F.array(*map(F.lit, TITLES))
+    title = lambda line: F.element_at(titles, (F.length(line) % len(TITLES) + 1).cast("int"))
+    return F.flatten(F.transform(F.split("text", "\n"), lambda x: F.when(F.length(x) % 9 == 0, F.array(title(x), x)).otherwise(F.array(x))))
+
+
 def paragraphs_merged(spark, sf):
-    docs = table(spark, sf, "documents").select("doc_id", D.merge_lines(F.split("text", "\n")).alias("p"))
+    docs = table(spark, sf, "documents").select("doc_id", D.merge_lines(headed()).alias("p"))
     return docs.select("doc_id", F.size("p").alias("paragraphs"), F.md5(F.array_join("p", "\n")).alias("md5"))
 
 
 def document_sections(spark, sf):
-    docs = table(spark, sf, "documents").select("doc_id", D.sections(F.split("text", "\n")).alias("s"))
+    docs = table(spark, sf, "documents").select("doc_id", D.sections(headed()).alias("s"))
     return docs.select("doc_id", F.size("s").alias("sections"))
 
 
 def fragments_merged(spark, sf):
-    docs = table(spark, sf, "documents").select("doc_id", D.merge_fragments(F.split("text", "\n")).alias("p"))
+    docs = table(spark, sf, "documents").select("doc_id", D.merge_fragments(headed()).alias("p"))
     return docs.select("doc_id", F.size("p").alias("paragraphs"), F.md5(F.array_join(D.clean_paragraphs("p"), "\n")).alias("md5"))
 
 
 def markdown_bodies(spark, sf):
-    docs = table(spark, sf, "documents").select("doc_id", X.markdown(D.merge_fragments(F.split("text", "\n"))).alias("md"))
+    docs = table(spark, sf, "documents").select("doc_id", X.markdown(D.merge_fragments(headed())).alias("md"))
     return docs.select("doc_id", F.length("md").alias("n"), F.md5("md").alias("md5"))
 
 
@@ -263,6 +274,32 @@ def document_similarity(spark, sf):
     return docs.join(other, "doc_id").select("doc_id", F.round(X.similarity("text", "truth"), 6).alias("similarity"), F.round(X.coverage("text", "truth"), 6).alias("coverage"))
 
 
+def _any(column: str, patterns) -> str:
+    return "(" + " OR ".join(f"regexp_matches({column}, '{p}')" for p in patterns) + ")"
+
+
+_HEADING = f"(length(t) <= 100 AND {_any('t', X.HEADINGS)})"
+_PLAIN_HEADING = f"""(regexp_matches(t, '^\\d+\\.?\\s+[A-Z]') OR (rtrim(lower(t), '.') IN ({", ".join(f"'{w}'" for w in X.HEADING_WORDS)}) AND length(t) < 50))"""
+_GARBAGE = f"""(length(t) < 5 OR ((length(t) - length(replace(t, ' ', ''))) / greatest(length(t), 1)::DOUBLE > 0.4 AND regexp_matches(t, '^[A-Za-z0-9]')) OR {_any('t', X.PAGE_WATERMARKS)} OR regexp_matches(t, '^[\\d\\s.\\-–—]+$'))"""
+_LINES = """docs AS (SELECT doc_id, string_split(text, chr(10)) AS ls FROM documents), line AS (SELECT doc_id, unnest(range(1, len(ls) + 1)) AS n, unnest(ls) AS raw, trim(unnest(ls)) AS t FROM docs)"""
+_HEADED = _LINES.replace("string_split(text, chr(10)) AS ls", f"""flatten(list_transform(string_split(text, chr(10)), lambda x: CASE WHEN length(x) % 9 = 0 THEN [[{", ".join(f"'{t}'" for t in TITLES)}][length(x) % {len(TITLES)} + 1], x] ELSE [x] END)) AS ls""")
+# a line ends its paragraph by what is open then, so lines are walked in order
+_MERGED = f"""{_HEADED}, kept AS (SELECT doc_id, t, {_HEADING} AS heading, row_number() OVER (PARTITION BY doc_id ORDER BY n) AS k FROM line WHERE t <> '' AND ({_HEADING} OR NOT {_GARBAGE})),
+walk AS (SELECT doc_id, k, CASE WHEN heading THEN '' ELSE t END AS held, CASE WHEN heading THEN [t] ELSE [] END AS done FROM kept WHERE k = 1
+  UNION ALL SELECT kept.doc_id, kept.k, CASE WHEN heading THEN '' WHEN held = '' OR ends THEN t ELSE held || ' ' || t END,
+    CASE WHEN heading THEN CASE WHEN held = '' THEN [t] ELSE [held, t] END WHEN ends THEN [held] ELSE [] END
+  FROM (SELECT w.*, regexp_matches(held, '[.!?。！？]$') AND length(held) >= 50 AS full FROM walk w) w JOIN (SELECT *, regexp_matches(t, '^[A-Z\\x{{4E00}}-\\x{{9FFF}}]') AS capital FROM kept) kept ON kept.doc_id = w.doc_id AND kept.k = w.k + 1,
+    LATERAL (SELECT w.full AND kept.capital AS ends)),
+parts AS (SELECT doc_id, k, unnest(range(len(done))) AS i, unnest(done) AS p FROM walk UNION ALL SELECT doc_id, k + 1, 0, held FROM walk WHERE held <> '' AND (doc_id, k) IN (SELECT (doc_id, max(k)) FROM kept GROUP BY doc_id))"""
+# a group of short lines ends with the next line that isn't; what is left at the end joins the last group
+_FRAGMENTS = f"""{_HEADED}, short AS (SELECT doc_id, n, t, length(t) < 50 AND NOT {_PLAIN_HEADING} AS s FROM line WHERE t <> ''),
+grouped AS (SELECT *, count(*) FILTER (NOT s) OVER (PARTITION BY doc_id ORDER BY n ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS g, count(*) FILTER (NOT s) OVER (PARTITION BY doc_id) AS whole FROM short),
+fragment AS (SELECT doc_id, least(g, greatest(whole - 1, 0)) AS g, string_agg(t, ' ' ORDER BY n) AS p FROM grouped GROUP BY ALL)"""
+_CLEAN = "trim(regexp_replace(p, '\\s+', ' ', 'g'))"
+for _mark in (r"\.", ",", ";", ":", "!", r"\?"):
+    _CLEAN = f"regexp_replace({_CLEAN}, '{_mark}{{2,}}', '{_mark[-1]}', 'g')"
+_FORMULA = r"""(regexp_matches(t, '\\[a-zA-Z]+') OR (length(t) > 0 AND length(regexp_replace(t, '[^∑∏∫∂∇±×÷≤≥≠≈∞∈∉⊂⊃∩∪∀∃()\[\]{}]', '', 'g')) / greatest(length(t), 1)::DOUBLE > 0.3))"""
+
 PLANS = {
     "doc_qa_verdict": (doc_qa_verdict, f"WITH {_V} SELECT id, status, issues AS n_issues, round(script_ratio, 6) AS ratio, round(greatest(0.0, 1 - script_ratio - issues * 0.1), 6) AS score, script_ratio <= 0.01 AND NOT (status0 = 'flag_content' AND watermarks > 0) AS display FROM v"),
     "doc_qa_histogram": (doc_qa_histogram, f"WITH {_V} SELECT s AS status, count(id) AS n FROM (VALUES ('pass'), ('flag_script'), ('flag_formatting'), ('flag_content')) x(s) LEFT JOIN v ON v.status = s GROUP BY s"),
@@ -291,12 +328,16 @@ PLANS = {
     "whitespace_clean": (whitespace_clean, r"SELECT doc_id, md5(trim(regexp_replace(text, '\s+', ' ', 'g'))) AS clean_md5 FROM documents"),
     "subject_normalise": (subject_normalise, "SELECT p_name, list_reduce(list_transform(string_split(p_name, ' '), lambda w: upper(w[1]) || lower(w[2:])), lambda a, b: a || ' ' || b) AS subject FROM (SELECT DISTINCT p_name FROM part)"),
     "token_counts": (token_counts, "SELECT doc_id, CASE WHEN length(text) > 0 THEN greatest(1, length(text) // 4) ELSE 0 END AS tokens FROM documents"),
-    "chunk_documents": (chunk_documents, None),
+    "chunk_documents": (chunk_documents, f"""WITH RECURSIVE {_LINES}, o AS (SELECT doc_id, n, raw, CASE WHEN raw = '' THEN 0 ELSE greatest(1, length(raw) // 4) END AS k FROM line),
+      w AS (SELECT doc_id, n, raw, 0 AS chunk, k AS held FROM o WHERE n = 1
+        UNION ALL SELECT o.doc_id, o.n, o.raw, CASE WHEN held + k > 200 THEN chunk + 1 ELSE chunk END, CASE WHEN held + k > 200 THEN k ELSE held + k END FROM w JOIN o ON o.doc_id = w.doc_id AND o.n = w.n + 1)
+      SELECT doc_id, chunk, CAST(count(*) AS INT) AS paragraphs, md5(string_agg(raw, chr(10) ORDER BY n)) AS md5 FROM w GROUP BY doc_id, chunk"""),
     "chunk_totals": (chunk_totals, "SELECT doc_id, md5(text) AS md5 FROM documents"),
-    "paragraphs_merged": (paragraphs_merged, None),
-    "document_sections": (document_sections, None),
-    "fragments_merged": (fragments_merged, None),
-    "markdown_bodies": (markdown_bodies, None),
+    "paragraphs_merged": (paragraphs_merged, f"WITH RECURSIVE {_MERGED} SELECT d.doc_id, CAST(count(p) AS INT) AS paragraphs, md5(coalesce(string_agg(p, chr(10) ORDER BY k, i), '')) AS md5 FROM docs d LEFT JOIN parts USING (doc_id) GROUP BY d.doc_id"),
+    "document_sections": (document_sections, f"WITH {_HEADED} SELECT doc_id, CAST(count(*) FILTER ({_HEADING} OR n = 1) AS INT) AS sections FROM line GROUP BY doc_id"),
+    "fragments_merged": (fragments_merged, f"WITH {_FRAGMENTS} SELECT d.doc_id, CAST(count(p) AS INT) AS paragraphs, md5(coalesce(string_agg({_CLEAN}, chr(10) ORDER BY g), '')) AS md5 FROM docs d LEFT JOIN fragment USING (doc_id) GROUP BY d.doc_id"),
+    "markdown_bodies": (markdown_bodies, f"""WITH {_FRAGMENTS}, m AS (SELECT doc_id, g, CASE WHEN {_PLAIN_HEADING} THEN chr(10) || '## ' || rtrim(t, '.') || chr(10) WHEN {_FORMULA} AND length(t) < 200 THEN '```' || chr(10) || t || chr(10) || '```' || chr(10) ELSE t || chr(10) END AS md
+      FROM (SELECT doc_id, g, trim(p) AS t FROM fragment)), b AS (SELECT d.doc_id, coalesce(string_agg(md, chr(10) ORDER BY g), '') AS md FROM docs d LEFT JOIN m USING (doc_id) GROUP BY d.doc_id) SELECT doc_id, CAST(length(md) AS INT) AS n, md5(md) AS md5 FROM b"""),
     "formula_spans": (formula_spans, None),
     "figure_mentions": (figure_mentions, f"""WITH {_MENTIONS} SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY type <> 'figure', regexp_extract(number, '^([A-Za-z]?)', 1), CAST(regexp_extract(number, '\\d+') AS BIGINT), pn, rank) AS INT) AS place,
       type, number, CAST(pn AS INT) AS paragraph, caption AND start < 5 AS is_caption,
