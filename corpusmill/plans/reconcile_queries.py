@@ -266,6 +266,14 @@ def near_text_classes(spark, sf):
     return neardup.code_classes(neardup.token_hash(docs, "doc_id", "text"), "doc_id", "code")
 
 
+def clamp_report(spark, sf):
+    """Documents as titles, some in tags: which a clamp changes, with the language as the title to fall back on."""
+    text = F.when(F.col("doc_id") % 3 == 0, F.concat(F.lit("<PARA id=1>"), "text", F.lit("</PARA>"))).otherwise(F.col("text"))
+    docs = table(spark, sf, "documents").select(F.col("doc_id").alias("id"), text.alias("title"))
+    sources = table(spark, sf, "documents").select(F.col("doc_id").alias("id"), F.lit(None).cast("string").alias("title"))
+    return reconcile.clamp_report(reconcile.title_fallback(docs, sources)).select("id", "old_length", "new_length", "had_tags", F.md5("prefix").alias("prefix"))
+
+
 def best_matches(spark, sf):
     """The whole texts of a conversation's answers sought among those of its questions."""
     turns = table(spark, sf, "conversations").select(F.col("conv_id").alias("doc_id"), "role", "text").filter("text IS NOT NULL")
@@ -335,6 +343,9 @@ PLANS = {
       SELECT r.label, r.vec_id, CAST(list_reduce(list_transform(embedding[1:64], lambda x: CASE WHEN x > 0 THEN CAST(1 AS HUGEINT) ELSE CAST(0 AS HUGEINT) END), lambda a, b: a * 2 + b)
         - CASE WHEN embedding[1] > 0 THEN CAST(18446744073709551616 AS HUGEINT) ELSE 0 END AS BIGINT) AS code FROM r JOIN embeddings USING (vec_id) WHERE kept""",
     ),
+    "clamp_report": (clamp_report, r"""WITH t AS (SELECT doc_id AS id, CASE WHEN doc_id % 3 = 0 THEN '<PARA id=1>' || text || '</PARA>' ELSE text END AS title FROM documents),
+      c AS (SELECT *, trim(regexp_replace(trim(regexp_replace(title, '(?i)</?\s*para\b[^>]*>', '', 'g')), '\s+', ' ', 'g')) AS t FROM t), n AS (SELECT *, CASE WHEN length(t) <= 300 THEN t ELSE rtrim(substr(t, 1, 297)) || '...' END AS new FROM c)
+      SELECT id, CAST(length(title) AS INT) AS old_length, CAST(length(new) AS INT) AS new_length, id % 3 = 0 AS had_tags, md5(substr(title, 1, 160)) AS prefix FROM n WHERE title <> new"""),
     "near_texts": (near_texts, f"""{_CODES}, f AS (SELECT min(doc_id) AS i, code FROM k GROUP BY code)
       SELECT x.i AS a, y.i AS b, CAST(bit_count(xor(x.code, y.code)) AS INT) AS distance FROM f x JOIN f y ON x.i < y.i WHERE bit_count(xor(x.code, y.code)) <= 5"""),
     "near_text_classes": (near_text_classes, f"{_CODES} SELECT doc_id, min(doc_id) OVER (PARTITION BY code) AS class FROM k"),

@@ -165,6 +165,15 @@ def page_records(spark, sf):
     return good.select("page_id", F.lit("record").alias("outcome")).union(rejects.select("page_id", "reason"))
 
 
+def page_record_fields(spark, sf):
+    """The records of pages whose own links are taken as subject links (even ids) or keyword links, and that have a PDF unless 5 divides the id."""
+    kind = F.when(F.col("page_id") % 2 == 0, "subject").otherwise("keyword")
+    html = F.replace("html", F.lit('<a href="/'), F.concat(F.lit('<a href="/'), kind, F.lit("/")))
+    pdf = F.when(F.col("page_id") % 5 != 0, F.concat(F.lit("<a class=x href='/files/"), F.col("page_id").cast("string"), F.lit(".pdf?v=1'>PDF</a>"))).otherwise("")
+    good, _ = io.page_records(table(spark, sf, "pages").withColumn("html", F.concat(html, pdf)))
+    return good.select("page_id", "title", F.array_join("subjects", "|").alias("subjects"), F.size("creators").alias("creators"), "pdf_url")
+
+
 def conversation_order(spark, sf):
     """Turns put together in order, one row a conversation."""
     rows = table(spark, sf, "conversations").groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", "text"))).alias("t"))
@@ -209,6 +218,10 @@ PLANS = {
     "figure_stats": (figure_stats, "WITH f AS (SELECT l_orderkey, count(*) FILTER (l_returnflag = 'R') AS n FROM lineitem GROUP BY 1) SELECT CAST(sum(n) AS BIGINT) AS total, count(*) FILTER (n > 0) AS papers_with, round(avg(n), 6) AS mean FROM f"),
     "archive_links": (archive_links, r"""SELECT page_id, CAST(len(list_filter(regexp_extract_all(html, '(?i)href\s*=\s*["'']([^"'']+)["'']', 1), lambda u: regexp_matches(u, '(?i)\.(html|pdf)(\?|$)|source'))) AS INT) AS links FROM pages"""),
     "page_texts": (page_texts, None),
-    "page_records": (page_records, None),
+    "page_records": (page_records, r"""WITH h AS (SELECT page_id, trim(regexp_replace(regexp_replace(regexp_extract(html, '(?is)<h1[^>]*>(.*?)</h1>', 1), '<[^>]+>', '', 'g'), '\s+', ' ', 'g')) AS h1, trim(regexp_replace(regexp_replace(regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1), '<[^>]+>', '', 'g'), '\s+', ' ', 'g')) AS t,
+      regexp_matches(html, '(?i)href=["''][^"'']+\.pdf(\?[^"'']*)?["'']') AS pdf FROM pages) SELECT page_id, CASE WHEN length(CASE WHEN h1 <> '' THEN h1 ELSE t END) < 3 THEN 'no_title' WHEN NOT pdf THEN 'no_pdf' ELSE 'record' END AS outcome FROM h"""),
+    "page_record_fields": (page_record_fields, r"""WITH h AS (SELECT page_id, trim(regexp_replace(regexp_replace(regexp_extract(html, '(?is)<h1[^>]*>(.*?)</h1>', 1), '<[^>]+>', '', 'g'), '\s+', ' ', 'g')) AS h1, trim(regexp_replace(regexp_replace(regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1), '<[^>]+>', '', 'g'), '\s+', ' ', 'g')) AS t,
+      list_filter(list_transform(regexp_extract_all(html, '(?is)<a href="/[^"'']*"[^>]*>(.*?)</a>', 1), lambda x: trim(regexp_replace(regexp_replace(x, '<[^>]+>', '', 'g'), '\s+', ' ', 'g'))), lambda x: x <> '') AS subjects FROM pages)
+      SELECT page_id, CASE WHEN h1 <> '' THEN h1 ELSE t END AS title, array_to_string(subjects, '|') AS subjects, 0 AS creators, '/files/' || page_id || '.pdf?v=1' AS pdf_url FROM h WHERE page_id % 5 <> 0 AND length(CASE WHEN h1 <> '' THEN h1 ELSE t END) >= 3"""),
     "conversation_order": (conversation_order, "SELECT conv_id, CAST(count(*) AS INT) AS turns, md5(string_agg(text, chr(10) ORDER BY turn, text)) AS md5 FROM conversations GROUP BY conv_id"),
 }
