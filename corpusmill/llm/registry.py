@@ -131,6 +131,16 @@ QUERIES = {
 # all pairs that share a shingle, and reachability over the links; the other operators have no SQL form or one that is
 # too slow on whole tables, and are tested against brute force
 ORACLES: dict[str, str] = {
+    # bytes as pairs of hexadecimal digits, cut from blocks of 1000 bytes; removed runs are islands of covered starts
+    "op6_suffix_dedup": r"""WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h, strlen(coalesce(text, '')) AS n FROM documents),
+    b AS (SELECT doc_id, n, b, substr(h, 2 * b + 1, 2098) AS h FROM (SELECT *, unnest(range(0, n, 1000)) AS b FROM d)),
+    s AS (SELECT doc_id, b + i AS place, md5_number(substr(h, 2 * i + 1, 100)) AS g FROM (SELECT *, unnest(range(0, least(1000, n - 49 - b))) AS i FROM b)),
+    m AS (SELECT g, min(doc_id) AS least FROM s GROUP BY g HAVING min(doc_id) < max(doc_id)), c AS (SELECT doc_id, place FROM s JOIN m USING (g) WHERE doc_id > least),
+    e AS (SELECT *, CAST(coalesce(place > lag(place) OVER (PARTITION BY doc_id ORDER BY place) + 50, true) AS INT) AS new FROM c),
+    r AS (SELECT doc_id, min(place) AS a, max(place) + 50 AS z FROM (SELECT *, sum(new) OVER (PARTITION BY doc_id ORDER BY place) AS run FROM e) GROUP BY doc_id, run),
+    k AS (SELECT r.doc_id, r.a, r.z, substr(h, 2 * coalesce(lag(z) OVER (PARTITION BY r.doc_id ORDER BY a), 0) + 1, 2 * (a - coalesce(lag(z) OVER (PARTITION BY r.doc_id ORDER BY a), 0))) AS before FROM r JOIN d USING (doc_id)),
+    t AS (SELECT doc_id, CAST(sum(z - a) AS BIGINT) AS removed, count(*) AS spans, string_agg(before, '' ORDER BY a) AS head, max(z) AS z FROM k GROUP BY doc_id)
+    SELECT d.doc_id, n AS n_bytes, coalesce(removed, 0) AS n_removed, coalesce(spans, 0) AS n_spans, sha256(unhex(coalesce(head || substr(h, 2 * z + 1), h))) AS kept_sha256 FROM d LEFT JOIN t USING (doc_id)""",
     "op12_debruijn_dedup": r"""WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
     s AS (SELECT doc_id, i, array_to_string(w[i:i + 12], ' ') AS g FROM (SELECT doc_id, w, unnest(range(1, len(w) - 11)) AS i FROM d)),
     m AS (SELECT g, min(doc_id) AS least FROM s GROUP BY g HAVING count(*) > 1), c AS (SELECT doc_id, i FROM s JOIN m USING (g) WHERE doc_id > least),
