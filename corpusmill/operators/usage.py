@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from corpusmill.functions import text as X
+from corpusmill.sources.scratch import new_folder
 
 SEVERITIES = ("info", "warning", "error", "critical")
 
@@ -58,11 +59,25 @@ def request_totals(df: DataFrame) -> DataFrame:
 
 
 def ranked_requests(counts: DataFrame, n: int | None = None) -> DataFrame:
-    """Rank from 1 by falling count, then key. With n the first n are taken before they are ranked; without it one task
-    ranks all papers that were asked for, as the list that is published is one file."""
+    """Rank from 1 by falling count, then key; with n the first n, which are taken before they are ranked.
+
+    A whole ranking has no single task: rows are range-partitioned and sorted, written with their places, and shifted by
+    the sizes of the partitions before theirs (a small row a partition).
+    """
+    order = [F.desc("n"), F.col("paper_id")]
     if n is not None:
-        counts = counts.orderBy(F.desc("n"), "paper_id").limit(n)
-    return counts.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("n"), "paper_id")))
+        return counts.orderBy(*order).limit(n).withColumn("rank", F.row_number().over(Window.orderBy(*order)))
+    spark, folder = counts.sparkSession, new_folder(counts.sparkSession, "ranking")
+    laid = counts.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("__place", F.monotonically_increasing_id())
+    laid.write.parquet(folder)
+    laid = spark.read.schema(laid.schema).parquet(folder).withColumn("__part", F.shiftright("__place", 33))
+    starts, before = [], 0
+    for r in sorted(laid.groupBy("__part").count().collect()):
+        starts.append((r["__part"], before))
+        before += r["count"]
+    starts = F.broadcast(spark.createDataFrame(starts, "__part long, __before long"))
+    rank = (F.col("__before") + F.col("__place").bitwiseAND((1 << 33) - 1) + 1).cast("int")
+    return laid.join(starts, "__part").withColumn("rank", rank).drop("__place", "__part", "__before")
 
 
 def run_totals(runs: DataFrame) -> DataFrame:

@@ -202,8 +202,8 @@ def append_costs(rows: DataFrame, path: str, time: str = "at") -> None:
 
 
 def write_id_list(ranked: DataFrame, path: str, column: str = "paper_id") -> None:
-    """A ranked list in one file; the ranking has one row a requested paper."""
-    ranked.orderBy("rank").select(F.col(column).cast("string").alias("value")).coalesce(1).write.mode("overwrite").text(path)
+    """A ranked list, whose files follow each other by name; a small one is one file."""
+    ranked.orderBy("rank").select(F.col(column).cast("string").alias("value")).write.mode("overwrite").text(path)
 
 
 def export_jsonl(rows: DataFrame, path: str) -> None:

@@ -377,6 +377,17 @@ def test_index_answers_by_stems(spark, tmp_path):
     assert "EqualTo(stem,network)" in plan and "PartitionFilters: []" not in plan
 
 
+def test_whole_rankings_have_no_gaps(spark):
+    import random
+
+    rng = random.Random(6)
+    rows = [(i, rng.randrange(5)) for i in range(300)]
+    got = usage.ranked_requests(spark.createDataFrame(rows, "paper_id long, n long").repartition(7)).collect()
+    want = sorted(rows, key=lambda r: (-r[1], r[0]))
+    assert [(r["paper_id"], r["n"]) for r in sorted(got, key=lambda r: r["rank"])] == want and sorted(r["rank"] for r in got) == list(range(1, 301))
+    assert usage.ranked_requests(spark.createDataFrame([], "paper_id long, n long")).collect() == []
+
+
 def test_crowded_keys_are_dealt_to_blocks(spark, monkeypatch):
     import random
 
