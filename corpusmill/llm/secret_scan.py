@@ -8,11 +8,12 @@ its characters (hex, base32 or base64) and three tests against "its symbols are
   uniformity  - chi-squared of symbol classes against their shares in the alphabet (Wilson-Hilferty),
   runs        - Wald-Wolfowitz runs above and below the middle of the alphabet,
   correlation - serial correlation of neighbouring symbols' places in the alphabet.
-A token's p-value is the least of the three, times three. Benjamini-Hochberg at `FDR` within each length stratum
-(short tokens have little power and don't share a rate with long ones) decides which tokens are proven not random;
-those that are left, and were long enough to be rejected, are reported. The step-up rule needs how many p-values
-lie at or below each level: tokens are counted by stratum and p-value bin (strata times bins rows), so no
-ranking of tokens takes place.
+A token's randomness is the least of the three p-values, times three: near 1 for a key, near 0 for words. What is controlled is the
+rate of ordinary tokens among those reported. Every document gives `PER_DOC` ordinary tokens to compare with, words from
+some places of its own text joined like identifiers. A token's p-value is the share of those, of its length stratum or a shorter one (short ones
+look more random), that are as random as the token, itself counted; Benjamini-Hochberg at `FDR` within each length stratum decides
+which tokens are reported. A stratum with too few to compare with has no power and reports nothing. Tokens are counted by
+stratum and bin of randomness (strata times bins rows), so no ranking of tokens takes place.
 
 All of it is DataFrame functions. Defined cases: null text counts as empty; a document without spans has zero
 counts and the hash of the empty string; a token that overlaps a base span is not reported again; equal starts are
@@ -35,6 +36,7 @@ TOKEN, MIN_TOKEN = r"[A-Za-z0-9+/_=-]{20,}", 20
 KINDS = ("assign", "access", "hex", "random")
 
 FDR = 0.05
+PER_DOC = 4  # ordinary tokens a document, to compare with
 BINS = 400  # of -ln(p), in steps of 1/10
 STRATA = (20, 24, 32, 48, 64, 128, 1024)
 
@@ -126,21 +128,42 @@ def _expected(lo: Column, hi: Column) -> Column:
     return F.col("n") * (hi - lo) / F.col("size")
 
 
-def random_tokens(docs: DataFrame, row: str, text: str, fdr: float = FDR) -> DataFrame:
-    """(row, kind, start, end): tokens that no length stratum's step-up rule rejects as not random."""
-    found = spans(docs, row, text, TOKEN, 3).filter(F.col("match").rlike("[0-9]"))
-    tested = battery(found).select(row, "kind", "start", "end", F.length("match").alias("len"), "p")
+def ordinary_tokens(docs: DataFrame, row: str, text: str) -> DataFrame:
+    """(match): `PER_DOC` tokens a document of words from its own text, at places and of lengths that hashes decide, with a number."""
+    words = F.filter(F.split(text, "[^A-Za-z0-9]+"), lambda w: w.rlike("^[A-Za-z]{1,15}$"))
+
+    def token(i):
+        at = F.pmod(F.xxhash64(row, F.lit(i)), F.greatest(F.size("w"), F.lit(1))).cast("int") + 1
+        some = F.slice("w", at, (3 + F.pmod(F.xxhash64(row, F.lit(i + PER_DOC)), F.lit(14))).cast("int"))
+        return F.concat_ws("-", F.array_join(some, "-"), F.pmod(F.xxhash64(row, F.lit(i + 2 * PER_DOC)), F.lit(1000)).cast("string"))
+
+    held = docs.select(row, words.alias("w"))
+    return held.select(F.explode(F.array(*map(token, range(PER_DOC)))).alias("match")).filter(F.length("match") >= MIN_TOKEN)
+
+
+def _binned(tokens: DataFrame, *keep: str) -> DataFrame:
+    """(*keep, stratum, bin) of tokens; bin 0 holds the most random ones."""
+    tested = battery(tokens).withColumn("len", F.length("match"))
     stratum = sum(((F.col("len") >= s).cast("int") for s in STRATA), F.lit(0))
     bin_ = F.when(F.col("p") <= 0, BINS).otherwise(F.least(F.lit(BINS), F.floor(-10 * F.log("p")))).cast("int")
-    tested = materialize(tested.withColumn("stratum", stratum).withColumn("bin", bin_), "tokens")
-    counts = tested.groupBy("stratum", "bin").count()
-    smaller = Window.partitionBy("stratum").orderBy(F.col("bin").desc()).rowsBetween(Window.unboundedPreceding, 0)
-    ranked = counts.withColumn("at_most", F.sum("count").over(smaller)).withColumn("all", F.sum("count").over(Window.partitionBy("stratum")))
-    # a bin's p-values are at most exp(-bin / 10)
-    met = ranked.filter(F.exp(-F.col("bin") / 10) <= fdr * F.col("at_most") / F.col("all"))
-    cut = met.groupBy("stratum").agg(F.min("bin").alias("cut"))  # a row a stratum
-    kept = tested.join(F.broadcast(cut), "stratum", "left").filter("cut IS NULL OR bin < cut")
-    return kept.select(row, "kind", "start", "end")
+    return tested.select(*keep, stratum.alias("stratum"), bin_.alias("bin"))
+
+
+def random_tokens(docs: DataFrame, row: str, text: str, fdr: float = FDR) -> DataFrame:
+    """(row, kind, start, end): tokens that are more random than ordinary ones, at a false-discovery rate of `fdr` a length stratum."""
+    found = spans(docs, row, text, TOKEN, 3).filter(F.col("match").rlike("[0-9]"))
+    tested = materialize(_binned(found, row, "kind", "start", "end"), "tokens")
+    ordinary = _binned(ordinary_tokens(docs, row, text)).groupBy("stratum", "bin").agg(F.count("*").alias("n"))
+    longer = F.explode(F.sequence("stratum", F.lit(len(STRATA))))  # a token is compared with ordinary ones of its stratum and below
+    nulls = ordinary.select(longer.alias("stratum"), "bin", F.lit(0).alias("t"), F.col("n").alias("d"))
+    counts = tested.groupBy("stratum", "bin").agg(F.count("*").alias("t")).withColumn("d", F.lit(0)).union(nulls)
+    counts = counts.groupBy("stratum", "bin").agg(F.sum("t").alias("t"), F.sum("d").alias("d"))
+    upto, whole = Window.partitionBy("stratum").orderBy("bin").rowsBetween(Window.unboundedPreceding, 0), Window.partitionBy("stratum")
+    ranked = counts.select("stratum", "bin", *(F.sum(c).over(w).alias(f"{c}_{k}") for c in "td" for k, w in (("upto", upto), ("all", whole))))
+    # (1 + d_upto) / (1 + d_all) is the p-value of a bin's tokens
+    met = ranked.filter((F.col("t_upto") > 0) & ((1 + F.col("d_upto")) * F.col("t_all") <= fdr * F.col("t_upto") * (1 + F.col("d_all"))))
+    cut = met.groupBy("stratum").agg(F.max("bin").alias("cut"))  # a row a stratum
+    return tested.join(F.broadcast(cut), "stratum").filter("bin <= cut").select(row, "kind", "start", "end")
 
 
 def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
