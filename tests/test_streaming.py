@@ -16,6 +16,14 @@ START = dt.datetime(2024, 1, 1)
 SCHEMA = "event_id long, key string, kind string, level int, message string, created_at timestamp"
 
 
+@pytest.fixture(scope="module", autouse=True)
+def few_partitions(spark):
+    kept = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "2")
+    yield
+    spark.conf.set("spark.sql.shuffle.partitions", kept)
+
+
 @pytest.fixture(scope="module")
 def rows():
     rng = random.Random(4)
