@@ -71,7 +71,7 @@ def variant_docs():
 
 @pytest.mark.parametrize("every", [None, 7])
 def test_variants_equal_all_pairs(spark, every):
-    docs = [*variant_docs(), (None, "banana banana aaaaaa"), (61, None), (62, ""), (1, "banana mississippi")]
+    docs = [*variant_docs(), (None, "banana banana aaaaaa"), (61, None), (62, ""), (1, "banana mississippi"), (63, "solitary " * 9)]
     df = spark.createDataFrame([(*d, "x") for d in docs], SCHEMA + ", word string").repartition(5)
     got = spelling_variants.spelling_variants(df, edit_every=every)
     rows = sorted((r["word"], r["form"], r["root"], r["n"], r["n_near"], r["form_n"]) for r in got.collect())
