@@ -26,7 +26,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corpusmill.llm.shared import discard, globally_ranked, materialize, numbered, shuffle_partitions
+from corpusmill.llm.shared import discard, globally_ranked, identified, materialize, shuffle_partitions
 
 BLOCK_ROWS = 16
 CHUNK = 100_000
@@ -89,7 +89,7 @@ def schedule(
 ) -> DataFrame:
     """(__row, id_col, source_col, block, slot, release, deadline, position), one row per document.
 
-    position is gapless; __row is row_col, a number that docs' rows hold (see numbered()); None: numbers of its own.
+    position is gapless; __row is row_col, a name that docs' rows hold (see identified()); None: numbers of its own.
     """
     spark = docs.sparkSession
     number = F.monotonically_increasing_id() if row_col is None else F.col(row_col)
@@ -135,7 +135,7 @@ def schedule(
 
 def mixed(docs: DataFrame, weights: dict[str, float] | None = None, id_col: str = "doc_id", source_col: str = "source", block_rows: int = BLOCK_ROWS) -> DataFrame:
     """docs in the schedule's order: partitions are ranges of positions, and rows are sorted inside them."""
-    rows = numbered(docs, "rows")
+    rows = identified(docs, "rows")
     places = schedule(rows, weights, id_col, source_col, block_rows, row_col="__row").select("__row", F.col("position").alias("__position"))
     whole = rows.join(places.hint("merge"), "__row")  # both sides are dealt at any size
     whole = whole.repartitionByRange(shuffle_partitions(docs.sparkSession), "__position").sortWithinPartitions("__position")

@@ -10,6 +10,7 @@ from contextlib import contextmanager
 from contextvars import ContextVar
 from weakref import WeakKeyDictionary
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -87,6 +88,14 @@ def numbered(df: DataFrame, label: str, row: str = "__row") -> DataFrame:
     return materialize(df.withColumn(row, F.monotonically_increasing_id()), label)
 
 
+def identified(df: DataFrame, label: str, row: str = "__row") -> DataFrame:
+    """df with a name for each row that every scan gives alike: its file and place there. What isn't a plain table of files is numbered."""
+    try:
+        return df.withColumn(row, F.struct(F.xxhash64("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("at")))
+    except AnalysisException:
+        return numbered(df, label, row)
+
+
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
