@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpusmill.llm import line_dedup, mixing, ngram_join, quality_crf, sentencepiece_codec
-from corpusmill.llm.shared import delete, materialize, numbered, recording
+from corpusmill.llm.shared import delete, identified, materialize, recording
 
 ORACLE_SQL = None  # a trained field, whole-text components and Viterbi paths have no SQL form
 
@@ -85,10 +85,10 @@ def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     Rows of files have no order that lasts, so the schedule is in columns: rows read by position keep the weights. A null or empty
     text has no pieces; null and repeated ids and null sources are as in mix.
     """
-    coded = sentencepiece_codec.encode(docs)
+    named = identified(docs, "rows")
+    places = mixing.schedule(named, row_col="__row").select("__row", "slot", "position")
+    coded = sentencepiece_codec.encode(named)
     coded = coded.withColumn("n_pieces", F.size("piece_ids").cast("long")).drop("text")
-    coded = numbered(coded, "coded")
-    places = mixing.schedule(coded, row_col="__row").select("__row", "slot", "position")
     return coded.join(places.hint("merge"), "__row").drop("__row")
 
 
