@@ -377,7 +377,8 @@ def archive_records(spark, sf):
 def migrated(spark, sf):
     """Rows with flags as numbers and lists as JSON, put over a target; the counts to compare."""
     rows = table(spark, sf, "orders").select(F.col("o_orderkey").alias("id"), (F.col("o_orderkey") % 2).cast("int").alias("has_figures"), F.lit('["Ada"]').alias("creators"), F.lit(1).cast("long").alias("seq"))
-    target = rows.filter("id % 5 = 0").select((F.col("id") + 1000000).alias("id"), F.lit(False).alias("has_figures"), F.array().cast("array<string>").alias("creators"), F.lit(0).cast("long").alias("seq"))
+    # ids of the target that no order has, however many there are: those below 0
+    target = rows.filter("id % 5 = 0").select((-1 - F.col("id")).alias("id"), F.lit(False).alias("has_figures"), F.array().cast("array<string>").alias("creators"), F.lit(0).cast("long").alias("seq"))
     merged, counts = io.migrate(rows, target)
     return merged.groupBy("has_figures", F.size("creators").alias("creators")).agg(F.count("*").alias("n")).crossJoin(counts)  # four rows at most by one
 
