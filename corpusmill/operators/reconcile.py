@@ -192,10 +192,10 @@ def move_to_source(papers: DataFrame) -> DataFrame:
     return out.drop("__move")
 
 
-def missing_source(records: DataFrame, papers: DataFrame, month: str) -> DataFrame:
-    """C17: records of one month whose paper lacks its source columns."""
-    lacking = papers.filter(F.col("source_title").isNull()).select("id")
-    return records.filter(X.month_of_id("id") == month).join(lacking, "id", "left_semi")
+def missing_source(records: DataFrame, papers: DataFrame, month: str, key: str = "id") -> DataFrame:
+    """C17: records of one month whose paper, by its key, lacks its source columns."""
+    lacking = papers.filter(F.col("source_title").isNull()).select(key)
+    return records.filter(X.month_of_id("id") == month).join(lacking, key, "left_semi")
 
 
 def not_found(requested: DataFrame, records: DataFrame) -> DataFrame:

@@ -28,3 +28,9 @@ def test_migrated_with_keys_over_a_million(spark, tmp_path):
     orders(spark, tmp_path, [0, 5, 10, 11, 1000005, 1000010, 2000010])
     found, expected = against_sql(spark, tmp_path, "migrated")
     assert found == expected and {r[3] for r in found} == {13}
+
+
+def test_missing_sources_of_orders_that_share_six_digits(spark, tmp_path):
+    orders(spark, tmp_path, [28, 29, 2800028, 2800029, 2800030, 2800031])  # the last four have the same id in part
+    found, expected = against_sql(spark, tmp_path, "missing_sources")
+    assert found == expected and len(found) == 3
