@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import datetime as dt
+import random
 
 import duckdb
 
@@ -34,3 +35,52 @@ def test_missing_sources_of_orders_that_share_six_digits(spark, tmp_path):
     orders(spark, tmp_path, [28, 29, 2800028, 2800029, 2800030, 2800031])  # the last four have the same id in part
     found, expected = against_sql(spark, tmp_path, "missing_sources")
     assert found == expected and len(found) == 3
+
+
+def test_pairs_of_a_key_are_no_rows(spark):
+    from corpusmill.operators import neardup
+
+    rng = random.Random(5)
+    codes = {rng.getrandbits(40) << 24: i for i in range(3000) for _ in [0]}  # all agree on the lowest bands, few are near
+    df = spark.createDataFrame([(i, c - (1 << 64) if c >> 63 else c) for c, i in codes.items()], "id long, code long")
+    pairs = neardup.near_pairs(df, "id", "code", 5)
+    plan = pairs._jdf.queryExecution().executedPlan().toString()
+    assert "FlatMapGroupsInArrow" in plan and plan.count("Join") <= 2  # the keys' sizes; codes meet as arrays
+    value = list(codes)
+    assert {(r["a"], r["b"]) for r in pairs.collect()} == {(i, j) for i in range(3000) for j in range(i + 1, 3000) if (value[i] ^ value[j]).bit_count() <= 5}
+
+
+def test_parts_of_a_fold_in_order(spark, monkeypatch):
+    from corpusmill.operators import neardup
+
+    monkeypatch.setattr(neardup, "PART", 8)  # eight parts
+    rng = random.Random(3)
+    codes = [rng.getrandbits(12) << 3 for _ in range(600)]
+    rows = [(i, c, i % 2) for i, c in enumerate(codes)]
+    kept = {0: [], 1: []}
+    for i, c, g in rows:
+        if all((c ^ codes[k]).bit_count() > 2 for k in kept[g]):
+            kept[g].append(i)
+    asked = []
+    monkeypatch.setattr(neardup, "first_of_each", lambda pairs, by, real=neardup.first_of_each: asked.append(pairs.count()) or real(pairs, by))
+    got = neardup.keep_greedy(spark.createDataFrame(rows, "id long, code long, g int"), "g", "id", "code", 2).collect()
+    assert {(r["g"], r["id"]) for r in got} == {(g, i) for g in kept for i in kept[g]}
+    assert len(asked) == 8 and sum(asked) < neardup.near_pairs(spark.createDataFrame(rows, "id long, code long, g int"), "id", "code", 2, by=["g"]).count() / 5
+
+
+def test_word_codes_deal_a_row_a_text(spark):
+    import hashlib
+
+    from corpusmill.operators import neardup
+
+    texts = ["Aa bb\tÉté x\x0bbb  cc\n", "", None, "one", " \n", "bb " * 70000 + "aa"]
+    df = spark.createDataFrame([*enumerate(texts), (3, "two three")], "id long, text string")  # words of rows with one key count together
+    got = {r["id"]: r["code"] & (2**64 - 1) for r in neardup.token_hash(df, "id", "text").collect()}
+
+    def code(words):
+        seen = [int(hashlib.md5(w.encode()).hexdigest()[:16], 16) for w in words]
+        return sum(1 << i for i in range(64) if 2 * sum(x >> i & 1 for x in seen) > len(seen))
+
+    assert got == {0: code(["aa", "bb", "été x", "bb", "cc"]), 3: code(["one", "two", "three"]), 5: code(["bb", "bb", "aa"])}
+    plan = neardup.token_hash(df, "id", "text")._jdf.queryExecution().executedPlan().toString()
+    assert "Generate" not in plan and plan.count("Exchange hashpartitioning") == 1
