@@ -11,11 +11,12 @@ State lives in RocksDB (use_rocksdb()), as value, list and map states need it.
 
 from __future__ import annotations
 
+import datetime as dt
 import math
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming.query import StreamingQuery
@@ -23,6 +24,7 @@ from pyspark.sql.streaming.stateful_processor import StatefulProcessor
 
 DAY = 24 * 3600
 DELAY = "10 minutes"
+EPOCH = dt.datetime(1970, 1, 1, tzinfo=dt.UTC)
 
 
 def use_rocksdb(spark: SparkSession) -> None:
@@ -43,11 +45,23 @@ def _in_time(frames: Iterator[pd.DataFrame], timers) -> pd.DataFrame:
     return rows[_seconds(rows) * 1000 > timers.getCurrentWatermarkInMs()]
 
 
+def _timed(rows: Iterator[Row], timers) -> list[tuple[float, Row]]:
+    """As _in_time(), but rows with their seconds: most keys have a few rows, for which a data frame costs more than the fold."""
+    timed = [(row["created_at"].timestamp(), row) for row in rows if row["created_at"] is not None]
+    mark = timers.getCurrentWatermarkInMs()
+    return sorted((x for x in timed if x[0] * 1000 > mark), key=lambda x: (x[0], x[1]["event_id"]))
+
+
+def _time(seconds: float) -> dt.datetime:
+    return EPOCH + dt.timedelta(microseconds=round(seconds * 1e6))
+
+
 class _Fold(StatefulProcessor):
     """One value state a key and one timer, at the time from which the state doesn't matter.
 
-    step(key, rows in order, state tuple or None) -> (output rows, new state or None, seconds of the timer or None);
-    close(key, state, seconds) -> output rows, when the timer fires.
+    step(key, (seconds, row) in order, state tuple or None) -> (output rows, new state or None, seconds of the timer or None);
+    close(key, state, seconds) -> output rows, when the timer fires. Every call on state or timers is a message to the JVM, so none is
+    made that can be spared: a key without state has no timer.
     """
 
     def __init__(self, schema: str, step, close=None):
@@ -57,28 +71,28 @@ class _Fold(StatefulProcessor):
         self.handle = handle
         self.state = handle.getValueState("state", self.schema)
 
-    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        rows = _in_time(rows, timerValues)
-        if not len(rows):
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
+        timed = _timed(rows, timerValues)
+        if not timed:
             return
-        produced, new, ends = self.step(key, rows, self.state.get() if self.state.exists() else None)
-        for at in list(self.handle.listTimers()):
-            self.handle.deleteTimer(at)
-        if new is None:
-            self.state.clear()
-        else:
+        old = self.state.get()
+        produced, new, ends = self.step(key, timed, old)
+        if old is not None:
+            for at in list(self.handle.listTimers()):
+                self.handle.deleteTimer(at)
+        if new is not None:
             self.state.update(new)
             if ends is not None:
                 self.handle.registerTimer(math.ceil(ends * 1000))
-        yield produced
+        elif old is not None:
+            self.state.clear()
+        yield from produced
 
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        if not self.state.exists():
-            return
-        state = self.state.get()
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
+        state = self.state.get() if self.close_state is not None else None
         self.state.clear()
-        if self.close_state is not None:
-            yield self.close_state(key, state, expiredTimerInfo.getExpiryTimeInMs() / 1000)
+        if state is not None:
+            yield from self.close_state(key, state, expiredTimerInfo.getExpiryTimeInMs() / 1000)
 
     def close(self) -> None:
         pass
@@ -87,7 +101,7 @@ class _Fold(StatefulProcessor):
 def _fold(stream: DataFrame, keys: list[str], out: T.StructType | str, state: str, step, late: str, close=None) -> DataFrame:
     use_rocksdb(stream.sparkSession)
     dealt = stream.withWatermark("created_at", late).groupBy(*keys)
-    return dealt.transformWithStateInPandas(_Fold(state, step, close), out, "append", "EventTime")
+    return dealt.transformWithState(_Fold(state, step, close), out, "append", "EventTime")
 
 
 def spaced(stream: DataFrame, keys: list[str], seconds: int, late: str = DELAY) -> DataFrame:
@@ -96,11 +110,11 @@ def spaced(stream: DataFrame, keys: list[str], seconds: int, late: str = DELAY)
     def step(key, rows, state):
         last = state[0] if state else None
         keep = []
-        for at in _seconds(rows):
-            ok = last is None or at - last >= seconds
-            last = at if ok else last
-            keep.append(ok)
-        return rows[keep], (last,), last + seconds
+        for at, row in rows:
+            if last is None or at - last >= seconds:
+                last = at
+                keep.append(row)
+        return keep, (last,), last + seconds
 
     return _fold(stream, keys, stream.schema, "last double", step, late)
 
@@ -111,12 +125,13 @@ def rate_limited(stream: DataFrame, keys: list[str], seconds: int = 3600, most:
     def step(key, rows, state):
         reset, n = state or (None, 0)
         keep = []
-        for at in _seconds(rows):
+        for at, row in rows:
             if reset is None or at > reset:
                 reset, n = at + seconds, 0
             n += 1
-            keep.append(n <= most)
-        return rows[keep], (reset, n), reset + 0.001
+            if n <= most:
+                keep.append(row)
+        return keep, (reset, n), reset + 0.001
 
     return _fold(stream, keys, stream.schema, "reset double, n long", step, late)
 
@@ -127,11 +142,13 @@ def breaker_trips(stream: DataFrame, by: str = "source", persistent: int = 2, tr
     def step(key, rows, state):
         kind, n, last = state or ("", 0, None)
         keep = []
-        for now, at in zip(rows["kind"], _seconds(rows), strict=True):
+        for at, row in rows:
+            now = row["kind"]
             same = now == kind and (last is None or at - last < idle)
             kind, n, last = (kind, n + 1, at) if same else (now, 1, at)
-            keep.append((now == "persistent" and n == persistent) or (now == "transient" and n == transient))
-        return rows.loc[keep], (kind, n, last), last + idle
+            if (now == "persistent" and n == persistent) or (now == "transient" and n == transient):
+                keep.append(row)
+        return keep, (kind, n, last), last + idle
 
     return _fold(stream, [by], stream.schema, "kind string, n long, last double", step, late)
 
@@ -142,29 +159,26 @@ def alert_sessions(stream: DataFrame, seconds: int = 60, late: str = DELAY) -> D
     (key, kind, start, n, level). A group goes out when an alert comes after its end or the watermark has passed it, whichever is first:
     every alert is in one group once the watermark is past it.
     """
-    columns = ["key", "kind", "start", "n", "level"]
-
-    def rows_of(out):
-        pdf = pd.DataFrame(out, columns=columns)
-        pdf["start"] = _times(list(pdf["start"]))
-        return pdf
+    def row_of(key, kind, start, n, level):
+        return Row(key=key[0], kind=kind, start=_time(start), n=n, level=level)
 
     def step(key, rows, state):
         start, n, level = state or (None, 0, 0)
         out = []
-        for at, now in zip(_seconds(rows), rows["level"], strict=True):
+        for at, row in rows:
+            now = row["level"]
             if now >= 3:
-                out.append((key[0], "critical", at, 1, int(now)))
+                out.append(row_of(key, "critical", at, 1, now))
                 continue
             if start is not None and at - start >= seconds:
-                out.append((key[0], "group", start, n, level))
+                out.append(row_of(key, "group", start, n, level))
                 start, n, level = None, 0, 0
             start = at if start is None else start
-            n, level = n + 1, max(level, int(now))
-        return rows_of(out), None if start is None else (start, n, level), None if start is None else start + seconds
+            n, level = n + 1, max(level, now)
+        return out, None if start is None else (start, n, level), None if start is None else start + seconds
 
     def close(key, state, at):
-        return rows_of([(key[0], "group", *state)])
+        return [row_of(key, "group", *state)]
 
     return _fold(stream, ["key"], "key string, kind string, start timestamp, n long, level int", "start double, n long, level int", step, late, close)
 
@@ -254,20 +268,17 @@ def job_states(stream: DataFrame, most: int = 3, stuck: int = 7200, keep: int =
     A claim takes a pending job; the third failure is final; a claim older than `stuck` seconds goes back to pending by timer or
     before the next event; reset reopens a failed job. A job is forgotten `keep` seconds after its last event.
     """
-    columns = ["job", "at", "status", "attempts"]
-
-    def rows_of(out):
-        pdf = pd.DataFrame(out, columns=columns)
-        pdf["at"] = _times(list(pdf["at"]))
-        return pdf
+    def row_of(key, at, status, attempts):
+        return Row(job=key[0], at=_time(at), status=status, attempts=attempts)
 
     def step(key, rows, state):
         status, attempts, since, last = state or ("pending", 0, 0.0, None)
         out = []
-        for at, event in zip(_seconds(rows), rows["event"], strict=True):
+        for at, row in rows:
+            event = row["event"]
             if status == "in_progress" and at - since >= stuck:
                 status = "pending"
-                out.append((key[0], since + stuck, status, attempts))
+                out.append(row_of(key, since + stuck, status, attempts))
             if last is not None and at - last >= keep:
                 status, attempts = "pending", 0
             last = at
@@ -284,8 +295,8 @@ def job_states(stream: DataFrame, most: int = 3, stuck: int = 7200, keep: int =
                 status, attempts = "pending", 0
             else:
                 continue
-            out.append((key[0], at, status, attempts))
-        return rows_of(out), (status, attempts, since, last), since + stuck if status == "in_progress" else last + keep
+            out.append(row_of(key, at, status, attempts))
+        return out, (status, attempts, since, last), since + stuck if status == "in_progress" else last + keep
 
     class _Jobs(_Fold):
         def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
@@ -295,12 +306,12 @@ def job_states(stream: DataFrame, most: int = 3, stuck: int = 7200, keep: int =
                 return
             self.state.update(("pending", attempts, since, last))
             self.handle.registerTimer(math.ceil((last + keep) * 1000))
-            yield rows_of([(key[0], since + stuck, "pending", attempts)])
+            yield row_of(key, since + stuck, "pending", attempts)
 
     use_rocksdb(stream.sparkSession)
     dealt = stream.withWatermark("created_at", late).groupBy("job")
     fold = _Jobs("status string, attempts int, since double, last double", step)
-    return dealt.transformWithStateInPandas(fold, "job long, at timestamp, status string, attempts int", "append", "EventTime")
+    return dealt.transformWithState(fold, "job long, at timestamp, status string, attempts int", "append", "EventTime")
 
 
 class _Seen(StatefulProcessor):

@@ -7,6 +7,7 @@ import os
 import random
 
 import pytest
+from pyspark.sql import Row
 from pyspark.sql import functions as F
 
 from corpusmill.operators import usage
@@ -249,3 +250,49 @@ def test_one_by_one_keeps_going(spark):
 
     got = stateful.one_by_one(spark.range(1, 4), work, "id long, status string, error string, out long").collect()
     assert sorted((r["id"], r["status"], r["error"]) for r in got) == [(1, "ok", None), (2, "error", "no"), (3, "ok", None)]
+
+
+class Told:
+    """A handle and its state, which count what they are asked."""
+
+    def __init__(self, state=None):
+        self.value, self.timers, self.asked = state, [], []
+
+    def getValueState(self, name, schema):
+        return self
+
+    def get(self):
+        self.asked.append("get")
+        return self.value
+
+    def update(self, value):
+        self.asked.append("update")
+        self.value = value
+
+    def clear(self):
+        self.asked.append("clear")
+        self.value = None
+
+    def listTimers(self):
+        self.asked.append("list")
+        return iter(self.timers)
+
+    def deleteTimer(self, at):
+        self.timers.remove(at)
+
+    def registerTimer(self, at):
+        self.asked.append("register")
+        self.timers.append(at)
+
+    def getCurrentWatermarkInMs(self):
+        return 0
+
+
+def test_a_new_key_asks_for_little():
+    fold = stateful._Fold("last double", lambda key, rows, state: ([r for _, r in rows], (rows[-1][0],), rows[-1][0] + 60))
+    told = Told()
+    fold.init(told)
+    made = [Row(event_id=i, created_at=START.replace(tzinfo=dt.UTC) + dt.timedelta(seconds=5 - i)) for i in range(5)]
+    got = list(fold.handleInputRows(("a",), iter([*made, Row(event_id=9, created_at=None)]), told))
+    assert [r["event_id"] for r in got] == [4, 3, 2, 1, 0] and told.asked == ["get", "update", "register"]
+    assert list(fold.handleExpiredTimer(("a",), told, None)) == [] and told.value is None and told.asked[3:] == ["clear"]
