@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from corpusmill.functions import text as X
 from corpusmill.operators import usage
-from corpusmill.plans.views import table
+from corpusmill.plans.views import table, texts
 from corpusmill.sources import io
 
 WINDOW = 6 * 3600  # events of a key come hours apart
@@ -157,11 +157,11 @@ def archive_links(spark, sf):
 
 
 def page_texts(spark, sf):
-    return table(spark, sf, "pages").select("page_id", F.length(io.html_text("html")).alias("n"))
+    return texts(spark, sf, "pages").select("page_id", F.length(io.html_text("html")).alias("n"))
 
 
 def page_records(spark, sf):
-    good, rejects = io.page_records(table(spark, sf, "pages"))
+    good, rejects = io.page_records(texts(spark, sf, "pages"))
     return good.select("page_id", F.lit("record").alias("outcome")).union(rejects.select("page_id", "reason"))
 
 
@@ -170,7 +170,7 @@ def page_record_fields(spark, sf):
     kind = F.when(F.col("page_id") % 2 == 0, "subject").otherwise("keyword")
     html = F.replace("html", F.lit('<a href="/'), F.concat(F.lit('<a href="/'), kind, F.lit("/")))
     pdf = F.when(F.col("page_id") % 5 != 0, F.concat(F.lit("<a class=x href='/files/"), F.col("page_id").cast("string"), F.lit(".pdf?v=1'>PDF</a>"))).otherwise("")
-    good, _ = io.page_records(table(spark, sf, "pages").withColumn("html", F.concat(html, pdf)))
+    good, _ = io.page_records(texts(spark, sf, "pages").withColumn("html", F.concat(html, pdf)))
     return good.select("page_id", "title", F.array_join("subjects", "|").alias("subjects"), F.size("creators").alias("creators"), "pdf_url")
 
 

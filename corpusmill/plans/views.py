@@ -10,6 +10,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+BATCH = "4m"  # of texts that go to Python at once
+
+
+def texts(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A table whose texts go to Python: the session's Arrow batches are bounded by bytes, as 10,000 texts are of any size."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH)
+    return table(spark, sf_dir, name)
+
+
 def papers(spark: SparkSession, sf_dir: str) -> DataFrame:
     qa = F.when(F.col("o_orderstatus") == "F", "pass").when(F.col("o_orderstatus") == "O", "pending").otherwise("fail")
     return table(spark, sf_dir, "orders").select(

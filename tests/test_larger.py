@@ -6,6 +6,7 @@ import datetime as dt
 import random
 
 import duckdb
+from pyspark.sql import functions as F
 
 import __spark_entry__
 
@@ -84,3 +85,18 @@ def test_word_codes_deal_a_row_a_text(spark):
     assert got == {0: code(["aa", "bb", "été x", "bb", "cc"]), 3: code(["one", "two", "three"]), 5: code(["bb", "bb", "aa"])}
     plan = neardup.token_hash(df, "id", "text")._jdf.queryExecution().executedPlan().toString()
     assert "Generate" not in plan and plan.count("Exchange hashpartitioning") == 1
+
+
+def batch_bytes(spark, df, column):
+    """The most characters that Python is given at once."""
+    sizes = df.select(column).mapInPandas(lambda it: (p.assign(n=p[column].str.len().sum())[["n"]][:1] for p in it), "n long")
+    return sizes.agg({"n": "max"}).first()[0]
+
+
+def test_pages_go_to_python_in_batches_of_bytes(spark, tmp_path):
+    spark.conf.unset("spark.sql.execution.arrow.maxBytesPerBatch")
+    page = F.concat(F.lit("<p>one</p><script>"), F.repeat(F.lit("x"), 100_000), F.lit("</script><p>two</p>"))
+    spark.range(300).select(F.col("id").alias("page_id"), page.alias("html")).coalesce(1).write.parquet(str(tmp_path / "pages.parquet"))
+    found = __spark_entry__.queries()["page_texts"](spark, str(tmp_path))
+    assert found.filter("n = 7").count() == 300
+    assert batch_bytes(spark, spark.read.parquet(str(tmp_path / "pages.parquet")), "html") < 8_000_000
