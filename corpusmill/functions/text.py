@@ -267,16 +267,28 @@ SPAN_PATTERNS = (
 )
 
 
+# what a text holds if one of the patterns hits in it
+SPAN_MARKS = {
+    "display_dollar": "$$", "display_bracket": "\\[", "inline_paren": "\\(", "inline_dollar": "$", "cite": "\\cite", "ref": "ref{", "label": "\\label{", "bracket_cite": "[",
+    "cases": "\\begin{cases}", "matrix": "matrix}", **{name: f"\\begin{{{name}" for name in ("equation", "align", "gather", "multline", "eqnarray")},
+}
+
+
 def spans(c):  # H24: array<struct<pattern, span>>; what an earlier pattern took is out of reach of the later ones
-    rest, found = _col(c), []
+    state = F.struct(_col(c).alias("rest"), F.array().cast("array<struct<pattern:string,span:string>>").alias("found"))
+
+    def step(name, pattern):
+        def one(s):
+            found = F.transform(F.regexp_extract_all(s["rest"], F.lit(pattern), F.lit(0)), lambda x: F.struct(F.lit(name).alias("pattern"), x.alias("span")))
+            taken = F.struct(F.regexp_replace(s["rest"], pattern, "\u27ea\u27eb").alias("rest"), F.concat(s["found"], found).alias("found"))
+            return F.when(F.contains(s["rest"], F.lit(SPAN_MARKS[name])), taken).otherwise(s)
 
-    def named(name):
-        return lambda s: F.struct(F.lit(name).alias("pattern"), s.alias("span"))
+        return one
 
+    # a lambda's variable holds what the earlier patterns left, which nested expressions would work out again for each later one
     for name, pattern in SPAN_PATTERNS:
-        found.append(F.transform(F.regexp_extract_all(rest, F.lit(pattern), F.lit(0)), named(name)))
-        rest = F.regexp_replace(rest, pattern, "\u27ea\u27eb")
-    return F.flatten(F.array(*found))
+        state = F.transform(F.array(state), step(name, pattern))[0]
+    return F.when(_col(c).isNotNull(), state["found"])
 
 
 def token_parity(source, target, pattern: str = r"⟪[A-Z]+_\d+⟫"):  # H24: each token of the source exactly once in the target

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import datetime
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -252,3 +253,24 @@ def test_entry_imports_without_a_session():
     root = Path(__file__).resolve().parent.parent
     code = "import __spark_entry__ as e; assert set(e.oracle_sql()) <= set(e.queries()) and len(e.queries()) > 90"
     subprocess.run([sys.executable, "-c", code], cwd=root, check=True)
+
+
+def test_spans_work_out_each_pattern_once(spark):
+    import re
+
+    parts = ["$$a$$", "$b$", r"\[c\]", r"\(d\)", r"\begin{align*}e\end{align*}", r"\begin{equation}f\end{equation}", r"\begin{pmatrix}g\end{pmatrix}", r"\begin{cases}h\end{cases}", r"\citep{i}", r"\eqref{j}", r"\label{k}", "[1-3]", r"\$", "$", "\\", "x\ny", "[z]", r"\begin{gather}", r"\end{gather}"]
+    rng = random.Random(7)
+    texts = ["", None, *(" ".join(rng.choices(parts, k=rng.randrange(1, 12))) for _ in range(300))]
+
+    def plain(t):
+        found = []
+        for name, pattern in X.SPAN_PATTERNS:
+            found += [(name, m.group()) for m in re.finditer(pattern, t)]
+            t = re.sub(pattern, "⟪⟫", t)
+        return found
+
+    df = spark.createDataFrame(list(enumerate(texts)), "id int, t string").select("id", X.spans("t").alias("s"))
+    got = {r["id"]: r["s"] for r in df.collect()}
+    assert got[1] is None
+    assert all([tuple(s) for s in got[i]] == plain(t) for i, t in enumerate(texts) if t is not None)
+    assert df._jdf.queryExecution().optimizedPlan().toString().count("regexp_replace(") == len(X.SPAN_PATTERNS)
