@@ -34,6 +34,26 @@ def arriving(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(folder)
 
 
+SLICE = 4_000_000  # rows of a micro-batch of in_order(), about
+
+
+def in_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The events in micro-batches of SLICE rows, each later than the one before: a key with many rows has no more than those in memory at once."""
+    rows = spark.read.parquet(f"{sf_dir}/events.parquet").withColumn("created_at", F.col("ts").cast("timestamp")).drop("ts")
+    parts = -(-rows.count() // SLICE)
+    if parts <= 1:
+        return events(spark, sf_dir)
+    at = F.coalesce(F.unix_micros("created_at"), F.lit(1 << 62))  # as in an order by time, no time comes last
+    edges = rows.select(at.alias("at")).approxQuantile("at", [k / parts for k in range(1, parts)], 0.05 / parts)
+    part = F.size(F.filter(F.array(*[F.lit(int(e)) for e in edges]), lambda e: e < at))
+    dealt, folder = new_folder(spark, "dealt"), new_folder(spark, "ordered")
+    rows.withColumn("part", part).write.partitionBy("part").parquet(dealt)
+    dealt_rows = spark.read.schema(f"{', '.join(f'{f.name} {f.dataType.simpleString()}' for f in rows.schema)}, part int").parquet(dealt)
+    for k in range(parts):  # a stream takes files in the order in which they were written
+        dealt_rows.filter(F.col("part") == k).drop("part").coalesce(1).write.mode("append").parquet(folder)
+    return spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(folder)
+
+
 def taken(stream: DataFrame, label: str) -> DataFrame:
     """The stream's rows, after everything that is there has passed."""
     spark = stream.sparkSession
@@ -67,14 +87,14 @@ def stream_alerts(spark, sf):
 
 def stream_throttled(spark, sf):
     """Every event type's messages, at most one an hour."""
-    rows = events(spark, sf).select("event_id", F.col("event_type").alias("key"), F.concat(F.lit("event "), F.col("event_id").cast("string")).alias("message"), "created_at")
+    rows = in_order(spark, sf).select("event_id", F.col("event_type").alias("key"), F.concat(F.lit("event "), F.col("event_id").cast("string")).alias("message"), "created_at")
     found = taken(stateful.throttled_messages(rows, 5, 3600), "throttled")
     return found.select("key", "n", "message", F.unix_micros("at").alias("at_us"))
 
 
 def stream_new_events(spark, sf):
     """Events of users that aren't among the 20 last new ones of their event type."""
-    rows = events(spark, sf).select("event_id", "event_type", "user_id", "created_at")
+    rows = in_order(spark, sf).select("event_id", "event_type", "user_id", "created_at")
     return taken(stateful.new_events(rows, "user_id", "event_type", 20), "new").select("event_id")
 
 

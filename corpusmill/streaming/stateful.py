@@ -330,7 +330,7 @@ class _Seen(StatefulProcessor):
         before = {k[0]: v[0] for k, v in self.ring.iterator()} if n else {}  # `memory` ids at most
         held = dict(sorted(before.items(), key=lambda x: x[1]))  # oldest first
         keep = []
-        for id_ in rows[self.id_col].astype(str):
+        for id_ in map(str, rows[self.id_col]):
             new = id_ not in held
             keep.append(new)
             if new:

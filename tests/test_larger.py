@@ -110,3 +110,22 @@ def test_texts_go_to_python_in_batches_of_bytes(spark, tmp_path):
     found = __spark_entry__.queries()["ocr_gate"](spark, str(tmp_path))
     assert found.first()["total"] == 300
     assert batch_bytes(spark, spark.read.parquet(str(tmp_path / "documents.parquet")), "text") < 8_000_000
+
+
+def test_few_keys_come_in_slices_of_time(spark, tmp_path, monkeypatch):
+    from corpusmill.plans import stream_queries
+
+    rng = random.Random(9)
+    rows = [(i, dt.datetime(2024, 1, 1) + dt.timedelta(seconds=rng.randrange(200_000)), rng.randrange(60), "ab"[i % 2], 1.0, '{"k": 1}') for i in range(2000)]
+    names = "event_id long, ts timestamp_ntz, user_id long, event_type string, value double, props string"
+    spark.createDataFrame(rows, names).write.parquet(str(tmp_path / "events.parquet"))
+    monkeypatch.setattr(stream_queries, "SLICE", 600)
+    seen = []
+    stream = stream_queries.in_order(spark, str(tmp_path))
+    each = lambda df, _: seen.append(tuple(df.agg(F.count("*"), F.min("created_at"), F.max("created_at")).first()))
+    stream.writeStream.option("checkpointLocation", str(tmp_path / "state")).trigger(availableNow=True).foreachBatch(each).start().awaitTermination()
+    assert len(seen) == 4 and sum(n for n, _, _ in seen) == 2000 and max(n for n, _, _ in seen) <= 600
+    assert all(a[2] < b[1] for a, b in zip(seen, seen[1:]))
+    for name in ("stream_new_events", "stream_throttled"):
+        found, expected = ([sorted(map(str, r)) for r in rows] for rows in against_sql(spark, tmp_path, name))  # columns come in another order
+        assert sorted(found) == sorted(expected) and found
