@@ -102,12 +102,20 @@ def moved_to_source(spark, sf):
     return reconcile.move_to_source(_source_papers(spark, sf)).select("id", "source_title", "title", "source_abstract", "abstract")
 
 
+PART = 1_000_000  # rows of a join's part in render_lists, about
+
+
 def render_lists(spark, sf):
-    papers = _source_papers(spark, sf).select("id", "modified")
-    files = table(spark, sf, "lineitem").groupBy(F.col("l_orderkey").alias("id")).agg((F.max("l_quantity") > 40).alias("has_figures"))
-    figures = table(spark, sf, "lineitem").filter("l_returnflag = 'R'").select(F.col("l_orderkey").alias("id"))
+    items = table(spark, sf, "lineitem").select(F.col("l_orderkey").alias("id"), "l_quantity", "l_returnflag")
+    # a part for so many rows: left alone, AQE joins parts by compressed bytes, and sorted keys compress so well that a task gets millions
+    parts = max(spark.sparkContext.defaultParallelism, -(-items.count() // PART))
+    items = items.repartition(parts, "id")
+    papers = _source_papers(spark, sf).select("id", "modified").repartition(parts, "id")
+    files = items.groupBy("id").agg((F.max("l_quantity") > 40).alias("has_figures"))
+    figures = items.filter("l_returnflag = 'R'").select("id")
     cutoff = F.lit("1998-01-01").cast("timestamp")
-    parts = [reconcile.render_list(papers, files, m, cutoff, figures).select(F.lit(m).alias("mode"), "id") for m in ("backfill", "incremental", "figures")]
+    modes = ("backfill", "incremental", "figures")
+    parts = [reconcile.render_list(papers, files, m, cutoff, figures).select(F.lit(m).alias("mode"), "id") for m in modes]
     return parts[0].union(parts[1]).union(parts[2])
 
 

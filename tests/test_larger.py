@@ -129,3 +129,18 @@ def test_few_keys_come_in_slices_of_time(spark, tmp_path, monkeypatch):
     for name in ("stream_new_events", "stream_throttled"):
         found, expected = ([sorted(map(str, r)) for r in rows] for rows in against_sql(spark, tmp_path, name))  # columns come in another order
         assert sorted(found) == sorted(expected) and found
+
+
+def test_render_lists_in_parts_of_rows(spark, tmp_path, monkeypatch):
+    from corpusmill.plans import record_queries
+
+    rng = random.Random(2)
+    orders(spark, tmp_path, range(900))
+    items = [(rng.randrange(1000), float(rng.randrange(60)), rng.choice("RNA")) for _ in range(2000)]
+    spark.createDataFrame(items, "l_orderkey long, l_quantity double, l_returnflag string").write.parquet(str(tmp_path / "lineitem.parquet"))
+    monkeypatch.setattr(record_queries, "PART", 100)
+    found, expected = against_sql(spark, tmp_path, "render_lists")
+    assert found == expected and {r[0] for r in found} >= {"backfill", "figures"}
+    plan = __spark_entry__.queries()["render_lists"](spark, str(tmp_path))._jdf.queryExecution().executedPlan().toString()
+    parts = [line for line in plan.splitlines() if "Exchange hashpartitioning" in line]
+    assert parts and all(", 20), REPARTITION_BY_NUM" in line for line in parts)
