@@ -274,3 +274,27 @@ def test_spans_work_out_each_pattern_once(spark):
     assert got[1] is None
     assert all([tuple(s) for s in got[i]] == plain(t) for i, t in enumerate(texts) if t is not None)
     assert df._jdf.queryExecution().optimizedPlan().toString().count("regexp_replace(") == len(X.SPAN_PATTERNS)
+
+
+def test_waiting_boxes_hold_their_own_runs_alone():
+    import tracemalloc
+
+    rng = random.Random(1)
+    letters = [chr(0x4E00 + k) for k in range(300)]
+    a, b = ("".join(rng.choices(letters, k=9000)) for _ in "ab")
+    once = matching._runs(matching._places(a), matching._places(b), (0, len(a), 0, len(b)))
+    assert len(once[0]) > 200_000
+    tracemalloc.start()
+    assert 0 < matching.matched(a, b) < 9000
+    assert tracemalloc.get_traced_memory()[1] < 40 * 8 * len(once[0])
+    tracemalloc.stop()
+
+
+def test_a_box_of_no_long_runs_costs_a_look(monkeypatch):
+    """Runs are found once a pair of texts; boxes only cut them."""
+    asked = []
+    monkeypatch.setattr(matching, "_runs", lambda x, y, box, real=matching._runs: asked.append(box) or real(x, y, box))
+    rng = random.Random(2)
+    letters = [chr(0x4E00 + k) for k in range(150)]
+    a, b = ("".join(rng.choices(letters, k=1500)) for _ in "ab")
+    assert matching.ratio(a, b) == plain_ratio(a, b) and len(asked) == 1
