@@ -11,12 +11,12 @@ State lives in RocksDB (use_rocksdb()), as value, list and map states need it.
 
 from __future__ import annotations
 
-import datetime as dt
+import json
 import math
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, Row, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming.query import StreamingQuery
@@ -24,7 +24,7 @@ from pyspark.sql.streaming.stateful_processor import StatefulProcessor
 
 DAY = 24 * 3600
 DELAY = "10 minutes"
-EPOCH = dt.datetime(1970, 1, 1, tzinfo=dt.UTC)
+PARTS = 4096  # groups of keys that are folded together; it is in the checkpoint, as the state is by group
 
 
 def use_rocksdb(spark: SparkSession) -> None:
@@ -45,63 +45,96 @@ def _in_time(frames: Iterator[pd.DataFrame], timers) -> pd.DataFrame:
     return rows[_seconds(rows) * 1000 > timers.getCurrentWatermarkInMs()]
 
 
-def _timed(rows: Iterator[Row], timers) -> list[tuple[float, Row]]:
-    """As _in_time(), but rows with their seconds: most keys have a few rows, for which a data frame costs more than the fold."""
-    timed = [(row["created_at"].timestamp(), row) for row in rows if row["created_at"] is not None]
-    mark = timers.getCurrentWatermarkInMs()
-    return sorted((x for x in timed if x[0] * 1000 > mark), key=lambda x: (x[0], x[1]["event_id"]))
-
-
-def _time(seconds: float) -> dt.datetime:
-    return EPOCH + dt.timedelta(microseconds=round(seconds * 1e6))
-
-
 class _Fold(StatefulProcessor):
-    """One value state a key and one timer, at the time from which the state doesn't matter.
+    """Folds of many keys: a group holds the keys of one hash, their states as a map and one timer, at the soonest time a state ends.
 
-    step(key, (seconds, row) in order, state tuple or None) -> (output rows, new state or None, seconds of the timer or None);
-    close(key, state, seconds) -> output rows, when the timer fires. Every call on state or timers is a message to the JVM, so none is
-    made that can be spared: a key without state has no timer.
+    step(key, (seconds, row) in order, state tuple or None) -> (output rows, new state or None, seconds of its end or None);
+    close(key, state) -> the same, at its end. A group of a single key would cost a data frame and half a dozen messages to the JVM a key;
+    here a key's state is read, written and removed by a message each.
     """
 
-    def __init__(self, schema: str, step, close=None):
-        self.schema, self.step, self.close_state = schema, step, close
+    def __init__(self, out: T.StructType, times: list[str], schema: str, step, close=None):
+        self.names, self.times, self.schema, self.step, self.close_state = out.names, times, schema, step, close
 
     def init(self, handle) -> None:
         self.handle = handle
-        self.state = handle.getValueState("state", self.schema)
+        self.state = handle.getMapState("state", "key string", f"{self.schema}, ends double")
 
-    def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
-        timed = _timed(rows, timerValues)
-        if not timed:
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        rows = _in_time(rows, timerValues)
+        if not len(rows):
             return
-        old = self.state.get()
-        produced, new, ends = self.step(key, timed, old)
-        if old is not None:
-            for at in list(self.handle.listTimers()):
-                self.handle.deleteTimer(at)
+        dealt: dict[str, list] = {}
+        for at, row in zip(_seconds(rows).tolist(), rows.itertuples(index=False), strict=True):
+            dealt.setdefault(row.fold_key, []).append((at, row))
+        known = self.state.exists()
+        out, due = [], list(self.handle.listTimers()) if known else []
+        soonest = min(due, default=None)
+        for own, timed in dealt.items():
+            old = self.state.getValue((own,)) if known else None
+            found, new, ends = self.step(_key(own), timed, old and tuple(old)[:-1])
+            out += found
+            soonest = self._keep(own, new, ends, old is not None, soonest)
+        self._wake(soonest, due)
+        yield from self._rows(out)
+
+    def _keep(self, own: str, new, ends, had: bool, soonest):
+        """The key's new state; the soonest timer, with it."""
         if new is not None:
-            self.state.update(new)
-            if ends is not None:
-                self.handle.registerTimer(math.ceil(ends * 1000))
-        elif old is not None:
+            self.state.updateValue((own,), (*new, ends))
+        elif had:
+            self.state.removeKey((own,))
+        at = None if new is None or ends is None else math.ceil(ends * 1000)
+        return min((x for x in (soonest, at) if x is not None), default=None)
+
+    def _wake(self, soonest, due: list[int]) -> None:
+        for at in due:
+            if at != soonest:
+                self.handle.deleteTimer(at)
+        if soonest is not None and soonest not in due:
+            self.handle.registerTimer(soonest)
+
+    def _rows(self, out: list[tuple]) -> Iterator[pd.DataFrame]:
+        if out:
+            pdf = pd.DataFrame([tuple(row)[: len(self.names)] for row in out], columns=self.names)
+            yield pdf.assign(**{c: _times(pdf[c].tolist()) for c in self.times})
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        mark, out, over, soonest = timerValues.getCurrentWatermarkInMs(), [], [], None
+        held = [(own, tuple(value)) for (own,), value in self.state.iterator()]
+        for own, (*state, ends) in held:
+            at = None if ends is None else math.ceil(ends * 1000)
+            if at is None or at > mark:
+                soonest = min((x for x in (soonest, at) if x is not None), default=None)
+                continue
+            found, new, ends = self.close_state(_key(own), tuple(state)) if self.close_state else ([], None, None)
+            out += found
+            if new is None:
+                over.append(own)
+            else:
+                soonest = self._keep(own, new, ends, True, soonest)
+        if len(over) == len(held):
             self.state.clear()
-        yield from produced
-
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
-        state = self.state.get() if self.close_state is not None else None
-        self.state.clear()
-        if state is not None:
-            yield from self.close_state(key, state, expiredTimerInfo.getExpiryTimeInMs() / 1000)
+        else:
+            for own in over:
+                self.state.removeKey((own,))
+        self._wake(soonest, [])
+        yield from self._rows(out)
 
     def close(self) -> None:
         pass
 
 
-def _fold(stream: DataFrame, keys: list[str], out: T.StructType | str, state: str, step, late: str, close=None) -> DataFrame:
+def _key(own: str) -> tuple:
+    return tuple(json.loads(own).values())
+
+
+def _fold(stream: DataFrame, keys: list[str], out: T.StructType | str, state: str, step, late: str, close=None, times: tuple[str, ...] = ()) -> DataFrame:
     use_rocksdb(stream.sparkSession)
-    dealt = stream.withWatermark("created_at", late).groupBy(*keys)
-    return dealt.transformWithState(_Fold(state, step, close), out, "append", "EventTime")
+    out = T.StructType.fromDDL(out) if isinstance(out, str) else out
+    rows = stream.withWatermark("created_at", late).withColumn("fold_key", F.to_json(F.struct(*keys), {"ignoreNullFields": "false"}))
+    dealt = rows.withColumn("fold_part", F.pmod(F.xxhash64("fold_key"), F.lit(PARTS))).groupBy("fold_part")
+    return dealt.transformWithStateInPandas(_Fold(out, list(times), state, step, close), out, "append", "EventTime")
 
 
 def spaced(stream: DataFrame, keys: list[str], seconds: int, late: str = DELAY) -> DataFrame:
@@ -143,7 +176,7 @@ def breaker_trips(stream: DataFrame, by: str = "source", persistent: int = 2, tr
         kind, n, last = state or ("", 0, None)
         keep = []
         for at, row in rows:
-            now = row["kind"]
+            now = row.kind
             same = now == kind and (last is None or at - last < idle)
             kind, n, last = (kind, n + 1, at) if same else (now, 1, at)
             if (now == "persistent" and n == persistent) or (now == "transient" and n == transient):
@@ -160,13 +193,13 @@ def alert_sessions(stream: DataFrame, seconds: int = 60, late: str = DELAY) -> D
     every alert is in one group once the watermark is past it.
     """
     def row_of(key, kind, start, n, level):
-        return Row(key=key[0], kind=kind, start=_time(start), n=n, level=level)
+        return key[0], kind, start, n, level
 
     def step(key, rows, state):
         start, n, level = state or (None, 0, 0)
         out = []
         for at, row in rows:
-            now = row["level"]
+            now = int(row.level)
             if now >= 3:
                 out.append(row_of(key, "critical", at, 1, now))
                 continue
@@ -177,10 +210,10 @@ def alert_sessions(stream: DataFrame, seconds: int = 60, late: str = DELAY) -> D
             n, level = n + 1, max(level, now)
         return out, None if start is None else (start, n, level), None if start is None else start + seconds
 
-    def close(key, state, at):
-        return [row_of(key, "group", *state)]
+    def close(key, state):
+        return [row_of(key, "group", *state)], None, None
 
-    return _fold(stream, ["key"], "key string, kind string, start timestamp, n long, level int", "start double, n long, level int", step, late, close)
+    return _fold(stream, ["key"], "key string, kind string, start timestamp, n long, level int", "start double, n long, level int", step, late, close, ("start",))
 
 
 def alert_windows(stream: DataFrame, window: str = "60 seconds", late: str = DELAY) -> DataFrame:
@@ -269,13 +302,13 @@ def job_states(stream: DataFrame, most: int = 3, stuck: int = 7200, keep: int =
     before the next event; reset reopens a failed job. A job is forgotten `keep` seconds after its last event.
     """
     def row_of(key, at, status, attempts):
-        return Row(job=key[0], at=_time(at), status=status, attempts=attempts)
+        return key[0], at, status, attempts
 
     def step(key, rows, state):
         status, attempts, since, last = state or ("pending", 0, 0.0, None)
         out = []
         for at, row in rows:
-            event = row["event"]
+            event = row.event
             if status == "in_progress" and at - since >= stuck:
                 status = "pending"
                 out.append(row_of(key, since + stuck, status, attempts))
@@ -298,20 +331,14 @@ def job_states(stream: DataFrame, most: int = 3, stuck: int = 7200, keep: int =
             out.append(row_of(key, at, status, attempts))
         return out, (status, attempts, since, last), since + stuck if status == "in_progress" else last + keep
 
-    class _Jobs(_Fold):
-        def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
-            status, attempts, since, last = self.state.get()
-            if status != "in_progress":
-                self.state.clear()
-                return
-            self.state.update(("pending", attempts, since, last))
-            self.handle.registerTimer(math.ceil((last + keep) * 1000))
-            yield row_of(key, since + stuck, "pending", attempts)
+    def close(key, state):
+        status, attempts, since, last = state
+        if status != "in_progress":
+            return [], None, None
+        return [row_of(key, since + stuck, "pending", attempts)], ("pending", attempts, since, last), last + keep
 
-    use_rocksdb(stream.sparkSession)
-    dealt = stream.withWatermark("created_at", late).groupBy("job")
-    fold = _Jobs("status string, attempts int, since double, last double", step)
-    return dealt.transformWithState(fold, "job long, at timestamp, status string, attempts int", "append", "EventTime")
+    out = "job long, at timestamp, status string, attempts int"
+    return _fold(stream, ["job"], out, "status string, attempts int, since double, last double", step, late, close, ("at",))
 
 
 class _Seen(StatefulProcessor):

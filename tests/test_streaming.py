@@ -6,9 +6,10 @@ import datetime as dt
 import os
 import random
 
+import pandas as pd
 import pytest
-from pyspark.sql import Row
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from corpusmill.operators import usage
 from corpusmill.streaming import sinks, stateful
@@ -253,28 +254,37 @@ def test_one_by_one_keeps_going(spark):
 
 
 class Told:
-    """A handle and its state, which count what they are asked."""
+    """A handle and its map state, which count what they are asked."""
 
-    def __init__(self, state=None):
-        self.value, self.timers, self.asked = state, [], []
+    def __init__(self):
+        self.held, self.timers, self.asked, self.mark = {}, [], [], 0
 
-    def getValueState(self, name, schema):
+    def getMapState(self, name, key, value):
         return self
 
-    def get(self):
+    def exists(self):
+        return bool(self.held)
+
+    def getValue(self, key):
         self.asked.append("get")
-        return self.value
+        return self.held.get(key)
 
-    def update(self, value):
+    def updateValue(self, key, value):
         self.asked.append("update")
-        self.value = value
+        self.held[key] = value
+
+    def removeKey(self, key):
+        self.asked.append("remove")
+        del self.held[key]
+
+    def iterator(self):
+        return iter(self.held.items())
 
     def clear(self):
         self.asked.append("clear")
-        self.value = None
+        self.held = {}
 
     def listTimers(self):
-        self.asked.append("list")
         return iter(self.timers)
 
     def deleteTimer(self, at):
@@ -285,14 +295,24 @@ class Told:
         self.timers.append(at)
 
     def getCurrentWatermarkInMs(self):
-        return 0
+        return self.mark
 
 
-def test_a_new_key_asks_for_little():
-    fold = stateful._Fold("last double", lambda key, rows, state: ([r for _, r in rows], (rows[-1][0],), rows[-1][0] + 60))
+def test_keys_of_a_group_share_a_timer_and_ask_for_little():
+    step = lambda key, rows, state: ([r for _, r in rows], (rows[-1][0],), rows[-1][0] + 60)
+    fold = stateful._Fold(T.StructType.fromDDL("event_id long, created_at timestamp"), [], "last double", step)
     told = Told()
     fold.init(told)
-    made = [Row(event_id=i, created_at=START.replace(tzinfo=dt.UTC) + dt.timedelta(seconds=5 - i)) for i in range(5)]
-    got = list(fold.handleInputRows(("a",), iter([*made, Row(event_id=9, created_at=None)]), told))
-    assert [r["event_id"] for r in got] == [4, 3, 2, 1, 0] and told.asked == ["get", "update", "register"]
-    assert list(fold.handleExpiredTimer(("a",), told, None)) == [] and told.value is None and told.asked[3:] == ["clear"]
+
+    def given(rows):
+        made = [(i, pd.Timestamp(START + dt.timedelta(seconds=s)) if s is not None else pd.NaT, f'{{"k":{k}}}') for i, k, s in rows]
+        return [e for pdf in fold.handleInputRows((0,), iter([pd.DataFrame(made, columns=["event_id", "created_at", "fold_key"])]), told) for e in pdf["event_id"]]
+
+    assert given([(0, 1, 30), (1, 2, 20), (2, 1, 10), (3, 3, None)]) == [2, 0, 1]
+    base = round(START.replace(tzinfo=dt.UTC).timestamp() * 1000)
+    assert told.asked == ["update", "update", "register"] and told.timers == [base + 80_000]
+    assert given([(4, 2, 100)]) == [4] and told.asked[3:] == ["get", "update"]
+    told.mark, told.timers = base + 100_000, []
+    assert list(fold.handleExpiredTimer((0,), told, None)) == [] and set(told.held) == {('{"k":2}',)} and told.timers == [base + 160_000]
+    told.mark, told.timers = base + 160_000, []
+    assert list(fold.handleExpiredTimer((0,), told, None)) == [] and not told.held and not told.timers
