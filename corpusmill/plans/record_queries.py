@@ -115,8 +115,8 @@ def render_lists(spark, sf):
     figures = items.filter("l_returnflag = 'R'").select("id")
     cutoff = F.lit("1998-01-01").cast("timestamp")
     modes = ("backfill", "incremental", "figures")
-    parts = [reconcile.render_list(papers, files, m, cutoff, figures).select(F.lit(m).alias("mode"), "id") for m in modes]
-    return parts[0].union(parts[1]).union(parts[2])
+    lists = [reconcile.render_list(papers, files, m, cutoff, figures).select(F.lit(m).alias("mode"), "id") for m in modes]
+    return lists[0].union(lists[1]).union(lists[2])
 
 
 def reconciled_qa(spark, sf):
